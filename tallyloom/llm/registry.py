@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import host_rules, hilbert_sharding
+from tallyloom.llm import hilbert_sharding, host_rules, pii_anchors, simhash_anchors
 
-_MODULES = (host_rules, hilbert_sharding)
+_MODULES = (simhash_anchors, pii_anchors, host_rules, hilbert_sharding)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
