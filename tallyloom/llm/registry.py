@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import hilbert_sharding, host_rules, pii_anchors, simhash_anchors
+from tallyloom.llm import (
+    best_fit_packing,
+    hilbert_sharding,
+    host_rules,
+    line_dedup,
+    pii_anchors,
+    simhash_anchors,
+)
 
-_MODULES = (simhash_anchors, pii_anchors, host_rules, hilbert_sharding)
+_MODULES = (line_dedup, best_fit_packing, simhash_anchors, pii_anchors, host_rules, hilbert_sharding)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
