@@ -7,11 +7,13 @@ from tallyloom.llm import (
     hilbert_sharding,
     host_rules,
     line_dedup,
+    piece_codec,
     pii_anchors,
+    quality_fm,
     simhash_anchors,
 )
 
-_MODULES = (line_dedup, best_fit_packing, simhash_anchors, pii_anchors, host_rules, hilbert_sharding)
+_MODULES = (line_dedup, best_fit_packing, piece_codec, simhash_anchors, pii_anchors, host_rules, hilbert_sharding, quality_fm)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
