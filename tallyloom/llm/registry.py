@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallyloom.llm import (
+    attention_lm,
     best_fit_packing,
     hilbert_sharding,
     host_rules,
@@ -13,7 +14,7 @@ from tallyloom.llm import (
     simhash_anchors,
 )
 
-_MODULES = (line_dedup, best_fit_packing, piece_codec, simhash_anchors, pii_anchors, host_rules, hilbert_sharding, quality_fm)
+_MODULES = (line_dedup, best_fit_packing, piece_codec, simhash_anchors, pii_anchors, host_rules, hilbert_sharding, quality_fm, attention_lm)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
