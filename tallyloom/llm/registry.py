@@ -8,13 +8,25 @@ from tallyloom.llm import (
     hilbert_sharding,
     host_rules,
     line_dedup,
-    piece_codec,
     pii_anchors,
+    piece_codec,
+    progressive_jpeg,
     quality_fm,
     simhash_anchors,
 )
 
-_MODULES = (line_dedup, best_fit_packing, piece_codec, simhash_anchors, pii_anchors, host_rules, hilbert_sharding, quality_fm, attention_lm)
+_MODULES = (
+    line_dedup,
+    best_fit_packing,
+    piece_codec,
+    simhash_anchors,
+    pii_anchors,
+    progressive_jpeg,
+    host_rules,
+    attention_lm,
+    hilbert_sharding,
+    quality_fm,
+)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
