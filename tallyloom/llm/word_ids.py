@@ -19,8 +19,8 @@ from tokenizers import Tokenizer
 VOCABULARY = "word_bpe_49k.json"
 #: Ids below this number.
 VOCABULARY_SIZE = 49_408
-#: Words that a worker remembers at most (about 150 bytes each).
-REMEMBERED = 1_000_000
+#: Words that a worker remembers at most (about 200 bytes each).
+REMEMBERED = 700_000
 
 _LETTERS = "a-zªµºß-öø-ÿ"
 _NUMBERS = "0-9²³¹¼½¾"
@@ -48,11 +48,14 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        text = word.decode()
-        ids = b"".join(map(self._part, _PARTS.findall(text.lower()))) if _PLAIN.fullmatch(text) else self._whole(text)
-        self[word] = ids
+        self[word] = ids = self.spell(word)
         return ids
 
+    def spell(self, word: bytes) -> bytes:
+        """Ids of a lower-case word, not remembered."""
+        text = word.decode()
+        return b"".join(map(self._part, _PARTS.findall(text.lower()))) if _PLAIN.fullmatch(text) else self._whole(text)
+
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
