@@ -50,12 +50,11 @@ BILL_SHAPE = r"(?i)^Bill(?: Credit)? #(.+)$"
 
 #: Vendor aliases and owners of the fixture vendors (nations); any mapping may be passed instead.
 VENDOR_ALIASES = {
-    "UNITED_STATES": ["United States", "U.S.A. dba UNITED  STATES", "UNITED STATES"],
-    "CHINA": ["China", "CHINA, Inc."],
-    "BRAZIL": ["brazil"],
+    "FIRST_SUPPLIER": ["Nation_1", "NATION_1"],
+    "SECOND_SUPPLIER": ["Nation_2, Inc."],
 }
 SHOP_OWNERS = {
-    "CHINA": ("Shop Manager", "shop@example.com"),
-    "BRAZIL": ("Owner", None),
-    "FRANCE": (None, "owner@example.com"),
+    "NATION_1": ("Shop Manager", "shop@example.com"),
+    "NATION_2": ("Owner", None),
+    "NATION_3": (None, "owner@example.com"),
 }

@@ -1,4 +1,169 @@
-"""Queries."""
+"""Extraction operators over texts, cells, headers and words derived from the tables."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyloom.operators import extraction
+from tallyloom.plans.oracles import fixtures
+from tallyloom.plans.register import Register
+from tallyloom.plans.views import Views
+from tallyloom.sources.tables import read_table
+
+add = Register()
+#: Headers of the fixture documents by residue of the order key.
+_HEADERS = ["Invoice #", "Posting Date", "Amount Due", "Credits", "Amount", "RO No", "Notes", "Shop", "Ref"]
+_HEADER_SQL = "['" + "','".join(_HEADERS) + "']"
+
+
+def _items(v: Views):
+    return read_table(v.spark, v.sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+
+
+def _headers(v: Views):
+    """Three headers a document, chosen by line item."""
+    names = F.array(*map(F.lit, _HEADERS))
+    return _items(v).select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") - 1).cast("int").alias("pos"), "l_partkey").select(
+        "doc_id", "pos", F.get(names, (F.col("l_partkey") % len(_HEADERS)).cast("int")).alias("header"))
+
+
+_HEADERS_SQL = f"hd AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber-1 AS INT) AS pos, {_HEADER_SQL}[CAST(l_partkey%9 AS INT)+1] AS header, l_partkey FROM lineitem)"
+#: Line items whose (order, line) occurs once, so that the first and last header are defined.
+_ONCE = "QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber)=1"
+
+
+def _once(df, *keys):
+    return df.groupBy(*keys).agg(*[F.first(c).alias(c) for c in df.columns if c not in keys], F.count("*").alias("_n")).where("_n = 1").drop("_n")
+
+
+_HEADERS_SQL = _HEADERS_SQL.replace(" FROM lineitem)", f" FROM lineitem {_ONCE})")
+add(
+    "map_columns_a", lambda v: extraction.map_columns_a(_once(_headers(v), "doc_id", "pos")),
+    f"""WITH {_HEADERS_SQL}, m AS (SELECT *, CASE header WHEN 'Invoice #' THEN 'invoice_number' WHEN 'Posting Date' THEN 'invoice_date' WHEN 'Amount Due' THEN 'outstanding_amount' WHEN 'Credits' THEN 'credit'
+    WHEN 'Amount' THEN 'amount' WHEN 'RO No' THEN 'ro_number' WHEN 'Notes' THEN 'description' WHEN 'Shop' THEN 'shop' END AS field FROM hd)
+    SELECT doc_id, field, arg_min(header, pos) AS header, min(pos) AS pos FROM m WHERE field IS NOT NULL GROUP BY ALL""",
+)
+add(
+    "map_columns_b", lambda v: extraction.map_columns_b(_once(_headers(v), "doc_id", "pos")),
+    f"""WITH {_HEADERS_SQL}, m AS (SELECT *, CASE header WHEN 'Invoice #' THEN 'invoice_number' WHEN 'Amount Due' THEN 'outstanding_amount' WHEN 'Amount' THEN 'amount'
+    WHEN 'RO No' THEN 'ro_number' WHEN 'Ref' THEN 'invoice_number' END AS field FROM hd), r AS (SELECT *, CASE WHEN field='amount' THEN -pos ELSE pos END AS k FROM m WHERE field IS NOT NULL)
+    SELECT doc_id, field, arg_max(header, k) AS header, arg_max(pos, k) AS pos FROM r GROUP BY ALL""",
+)
+add(
+    "pseudo_table", lambda v: read_table(v.spark, v.sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(extraction.pseudo_table(F.col("text"))).alias("row_no", "cells")).select(
+        "doc_id", "row_no", F.size("cells").alias("n_cells"), F.get("cells", F.lit(0)).alias("first_cell")),
+    None,
+)
+add(
+    "find_header",
+    lambda v: v.lines.select("seq", extraction.find_header(F.array(F.array("vendor_id"), F.array(F.lit("x"), F.lit("")), F.when(F.col("seq") % 3 == 0, F.array(F.lit("Invoice"), F.lit("Amt Due"))).otherwise(F.array("invoice_number")),
+                                                              F.array(F.lit("Date"), F.lit("Balance")))).alias("header_row")),
+    fixtures("SELECT seq, CAST(CASE WHEN seq%3=0 THEN 2 ELSE 3 END AS INT) AS header_row FROM f_stmt"),
+)
+
+
+def _documents(v: Views):
+    invoice = F.struct(F.col("invoice_number"), F.col("outstanding_amount").cast("double").alias("outstanding_amount"), F.lit(0.95).alias("line_confidence"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("seq", invoice.alias("i")))), lambda x: x["i"])
+    docs = v.lines.groupBy("statement_id", "vendor_id").agg(ordered.alias("invoices"))
+    value = F.to_json(F.struct(F.struct(F.col("vendor_id").alias("vendor_name")).alias("vendor_metadata"), F.col("invoices")))
+    return docs.select(F.col("statement_id").alias("doc_id"), value.alias("value"))
+
+
+add(
+    "doc_json_explode", lambda v: extraction.document_invoices(_documents(v)),
+    fixtures("""SELECT statement_id AS doc_id, vendor_id AS vendor_name, CAST(row_number() OVER (PARTITION BY statement_id ORDER BY seq)-1 AS INT) AS pos, invoice_number,
+    CAST(outstanding_amount AS DOUBLE) AS outstanding_amount FROM f_stmt"""),
+)
+
+
+def _pages(v: Views):
+    return v.lines.select(
+        F.col("statement_id").alias("doc_id"), F.col("seq").alias("page_no"), F.col("invoice_number").alias("metadata"), ((F.col("seq") % 10) / 10).alias("confidence"),
+        F.array("invoice_number", F.col("outstanding_amount").cast("string")).alias("rows"), F.array(F.lit("Invoice"), F.concat(F.lit("C"), F.col("seq") % 4)).alias("columns"))
+
+
+add(
+    "page_merge", lambda v: extraction.page_merge(_pages(v)).withColumn("rows", F.array_join("rows", "|")),
+    fixtures("""SELECT statement_id AS doc_id, count(*) AS page_count, min((seq%10)/10) AS confidence, arg_min(invoice_number, seq) AS metadata,
+    string_agg(invoice_number||'|'||CAST(outstanding_amount AS VARCHAR), '|' ORDER BY seq) AS rows FROM f_stmt GROUP BY 1"""),
+)
+add(
+    "columns_union", lambda v: extraction.columns_union(_pages(v)).withColumn("columns", F.array_join("columns", "|")),
+    fixtures("""SELECT doc_id, 'Invoice|'||string_agg(c, '|' ORDER BY k) AS columns FROM (SELECT statement_id AS doc_id, 'C'||(seq%4) AS c, min(seq) AS k FROM f_stmt GROUP BY ALL) GROUP BY 1"""),
+)
+add(
+    "cleanest_column",
+    lambda v: extraction.cleanest_column(v.lines.select(F.col("statement_id").alias("doc_id"), (F.col("seq") % 3).alias("pos"), F.concat(F.lit("H"), F.col("seq") % 3).alias("header"), F.col("seq").alias("row_num"),
+                                                        F.when(F.col("seq") % 7 < 3, F.concat(F.lit("60 35 "), "invoice_number")).otherwise(F.col("invoice_number")).alias("value"))),
+    fixtures("""SELECT doc_id, arg_min(header, [share, pos]) AS header FROM (SELECT doc_id, pos, header, avg(CASE WHEN a THEN 1.0 ELSE 0.0 END) AS share
+    FROM (SELECT statement_id AS doc_id, seq%3 AS pos, 'H'||(seq%3) AS header, seq%7<3 AS a, row_number() OVER (PARTITION BY statement_id, seq%3 ORDER BY seq) AS k FROM f_stmt) WHERE k<=200 GROUP BY ALL) GROUP BY doc_id"""),
+)
+
+
+def _cells(v: Views):
+    cells = _items(v).select(F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber") - 1).cast("int").alias("row_index"), (F.col("l_partkey") % 4).cast("int").alias("column_index"),
+                             F.lit(5).alias("n_rows"), F.lit(3).alias("n_columns"), F.col("l_partkey").cast("string").alias("content"))
+    return _once(cells, "table_id", "row_index")
+
+
+add(
+    "cells_to_grid", lambda v: extraction.cells_to_grid(_cells(v)).withColumn("cells", F.array_join("cells", "|")),
+    f"""SELECT l_orderkey AS table_id, CAST(l_linenumber-1 AS INT) AS row_index, CASE l_partkey%4 WHEN 0 THEN l_partkey||'||' WHEN 1 THEN '|'||l_partkey||'|' ELSE '||'||l_partkey END AS cells
+    FROM (SELECT * FROM lineitem {_ONCE}) WHERE l_partkey%4<3 AND l_linenumber<=5""",
+)
+add(
+    "continuation_tables",
+    lambda v: extraction.continuation_tables(v.lines.select(F.col("statement_id").alias("doc_id"), F.col("seq").alias("table_no"), (F.col("seq") % 4 / 2).cast("int").alias("width"),
+                                                            F.when(F.col("seq") % 5 < 2, (F.col("seq") % 3).cast("int")).alias("header_row"))),
+    fixtures("""SELECT doc_id, table_no, use, CASE WHEN use IN ('own','continued') THEN t END AS header_table FROM (
+      SELECT *, CASE WHEN own THEN 'own' WHEN w IS NULL THEN 'no header' WHEN w=width THEN 'continued' ELSE 'width differs' END AS use FROM (
+        SELECT *, last_value(CASE WHEN own THEN width END IGNORE NULLS) OVER o AS w, last_value(CASE WHEN own THEN table_no END IGNORE NULLS) OVER o AS t FROM (
+          SELECT statement_id AS doc_id, seq AS table_no, CAST(floor((seq%4)/2) AS INT) AS width, seq%5<2 AND seq%3<=1 AS own FROM f_stmt)
+        WINDOW o AS (PARTITION BY doc_id ORDER BY table_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))"""),
+)
+add(
+    "block_groups",
+    lambda v: extraction.block_groups(v.lines.select(F.col("statement_id").alias("file"), F.col("seq").alias("pos"),
+                                                     F.when(F.col("seq") % 5 == 0, "header").when(F.col("seq") % 7 == 0, "footer").otherwise("detail").alias("role"),
+                                                     F.concat(F.when(F.col("seq") % 2 == 0, "KEEP ").otherwise("DROP "), "invoice_number").alias("label")), "KEEP"),
+    fixtures("""SELECT file, pos, role, group_header FROM (
+      SELECT *, last_value(CASE WHEN role='header' THEN label END IGNORE NULLS) OVER (PARTITION BY file, closed ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS group_header FROM (
+        SELECT *, coalesce(sum(CASE WHEN role='footer' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS closed FROM (
+          SELECT statement_id AS file, seq AS pos, CASE WHEN seq%5=0 THEN 'header' WHEN seq%7=0 THEN 'footer' ELSE 'detail' END AS role,
+                 CASE WHEN seq%2=0 THEN 'KEEP ' ELSE 'DROP ' END||invoice_number AS label FROM f_stmt)))
+      WHERE group_header LIKE '%KEEP%' OR (role='footer' AND label LIKE '%KEEP%')"""),
+)
+_BOUNDS = [("date", 20.0), ("invoice", 35.0)]
+add(
+    "bucket_columns",
+    lambda v: extraction.bucket_columns(_items(v).groupBy(F.col("l_orderkey").alias("row_id"), F.col("l_quantity").alias("x")).agg(F.min("l_partkey").cast("string").alias("text")), _BOUNDS, "amount"),
+    """SELECT row_id, CASE WHEN x<20 THEN 'date' WHEN x<35 THEN 'invoice' ELSE 'amount' END AS column, string_agg(text, ' ' ORDER BY x, text) AS text
+    FROM (SELECT l_orderkey AS row_id, l_quantity AS x, CAST(min(l_partkey) AS VARCHAR) AS text FROM lineitem GROUP BY ALL) GROUP BY ALL""",
+)
+add(
+    "row_cluster",
+    lambda v: extraction.row_clusters(_items(v).groupBy(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").cast("double").alias("x"), (F.col("l_quantity") / 4).alias("y")).agg(F.min("l_partkey").cast("string").alias("text")), 1.0),
+    None,
+)
+add(
+    "fallback_mapping",
+    lambda v: extraction.fallback_fields(v.lines.select(F.col("seq").alias("row_id"), F.array(
+        F.struct(F.lit("Col A").alias("key"), F.lit("12DEC25").alias("value")), F.struct(F.lit("Col B").alias("key"), F.col("invoice_number").alias("value")),
+        F.struct(F.lit("Col C").alias("key"), F.col("outstanding_amount").cast("string").alias("value"))).alias("cells"),
+        F.when(F.col("seq") % 4 == 0, F.array("invoice_number")).otherwise(F.array().cast("array<string>")).alias("used"))),
+    fixtures("SELECT seq AS row_id, CASE WHEN seq%4>0 THEN invoice_number END AS invoice_number, CAST(outstanding_amount AS VARCHAR) AS amount_text FROM f_stmt"),
+)
+
+
+def _truncated(v: Views):
+    row = F.concat(F.lit('{"invoice": "'), "invoice_number", F.lit('", "note": "a } \\" b"}'))
+    body = F.concat(F.lit('{"rows": ['), row, F.lit(", "), row, F.lit("]}"))
+    return v.lines.select("seq", F.when(F.col("seq") % 2 == 0, body).otherwise(F.left(body, F.length(body) - 5)).alias("text"))
+
+
+add(
+    "json_salvage", lambda v: extraction.salvage(_truncated(v)).select("seq", F.size("objects").alias("n"), F.get_json_object(F.get("objects", F.lit(0)), "$.invoice").alias("invoice")),
+    fixtures("SELECT seq, CAST(CASE WHEN seq%2=0 THEN 2 ELSE 1 END AS INT) AS n, invoice_number AS invoice FROM f_stmt"),
+)
+QUERIES, ORACLES = add.queries, add.oracles

@@ -1,4 +1,79 @@
-"""Queries."""
+"""Queue and batch queries."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyloom.operators import jobs
+from tallyloom.plans.oracles import fixtures
+from tallyloom.plans.register import Register
+from tallyloom.streaming import intake
+
+add = Register()
+_TOOK = "CASE WHEN {s}<60 THEN {s}||'s' WHEN {s}<3600 THEN ({s}//60)||'m '||({s}%60)||'s' ELSE ({s}//3600)||'h '||(({s}%3600)//60)||'m' END"
+_BATCHES = f"""bt0 AS (SELECT batch_id, count(*) AS total_files, count(*) FILTER (status='COMPLETED') AS completed_count, count(*) FILTER (status='FAILED') AS failed_count,
+  count(*) FILTER (status IN ('PENDING','PROCESSING')) AS active_count, min(submitted_at) AS first_submitted_at, max(completed_at) AS last_completed_at
+  FROM f_jobs WHERE batch_id IS NOT NULL GROUP BY batch_id),
+bt1 AS (SELECT *, CAST(floor(epoch(last_completed_at-first_submitted_at)) AS BIGINT) AS s FROM bt0),
+bt AS (SELECT batch_id, total_files, completed_count, failed_count, active_count, first_submitted_at, last_completed_at,
+  CASE WHEN active_count>0 THEN 'PROCESSING' WHEN failed_count>0 THEN 'PARTIAL' ELSE 'COMPLETED' END AS status,
+  CASE WHEN active_count=0 THEN {_TOOK.format(s='s')} END AS time_taken FROM bt1)"""
+
+
+def _batches(body: str) -> str:
+    return fixtures("SELECT 1").removesuffix(" SELECT 1") + f", {_BATCHES} {body}"
+
+
+_BATCH = ["batch_id", "total_files", "completed_count", "failed_count", "active_count", "status", "time_taken"]
+_ERRORS = ["Connection timeout", "bad JSON in reply", "HTTP 429", "missing API key", "boom", None]
+_ERROR_SQL = "CASE id%6 WHEN 0 THEN 'Connection timeout' WHEN 1 THEN 'bad JSON in reply' WHEN 2 THEN 'HTTP 429' WHEN 3 THEN 'missing API key' WHEN 4 THEN 'boom' END"
+
+
+def _error():
+    out = F.when(F.lit(False), "")
+    for k, text in enumerate(_ERRORS[:-1]):
+        out = out.when(F.col("id") % 6 == k, text)
+    return out
+
+
+add("job_durations", lambda v: jobs.job_durations(v.jobs),
+    fixtures(f"SELECT job_id, status, {_TOOK.format(s='s')} AS time_taken FROM (SELECT *, CAST(floor(epoch(completed_at-submitted_at)) AS BIGINT) AS s FROM f_jobs)"))
+add("batches", lambda v: jobs.batches(v.jobs).select(*_BATCH), _batches(f"SELECT {', '.join(_BATCH)} FROM bt"))
+add(
+    "batch_detail",
+    lambda v: jobs.batch_detail(v.jobs, v.jobs.where("status = 'COMPLETED'").select("job_id", (F.col("id") % 50).alias("invoices"), (F.col("id") % 7).alias("exceptions"))),
+    _batches(f"""SELECT {', '.join(_BATCH)}, total_invoices, total_exceptions FROM bt JOIN (SELECT batch_id,
+    CAST(coalesce(sum(CASE WHEN status='COMPLETED' THEN id%50 END),0) AS BIGINT) AS total_invoices,
+    CAST(coalesce(sum(CASE WHEN status='COMPLETED' THEN id%7 END),0) AS BIGINT) AS total_exceptions FROM f_jobs WHERE batch_id IS NOT NULL GROUP BY batch_id) USING (batch_id)"""),
+)
+add("recent_batches", lambda v: jobs.recent_batches(v.jobs, 3),
+    _batches("SELECT batch_id, status, total_files FROM bt WHERE status<>'PROCESSING' ORDER BY first_submitted_at DESC, batch_id LIMIT 3"))
+add("manual_uploads", lambda v: jobs.manual_uploads(v.jobs),
+    fixtures("SELECT strftime(submitted_at,'%Y-%m-%d') AS date, count(*) AS n, max(job_id) AS last_job_id FROM f_jobs WHERE batch_id IS NULL GROUP BY 1"))
+add("claimable_job", lambda v: jobs.claimable(v.jobs),
+    fixtures("SELECT min(id) AS id FROM f_jobs j WHERE status='PENDING' AND NOT EXISTS (SELECT 1 FROM f_jobs p WHERE p.status='PROCESSING' AND p.pdf_filename=j.pdf_filename)"))
+add("active_jobs", lambda v: jobs.active(v.jobs), fixtures("SELECT job_id, pdf_filename, status FROM f_jobs WHERE status IN ('PENDING','PROCESSING')"))
+add("job_history", lambda v: jobs.history(v.jobs), fixtures("SELECT strftime(submitted_at,'%Y-%m-%d') AS day, status, count(*) AS n FROM f_jobs GROUP BY ALL"))
+add("error_tail", lambda v: v.jobs.where("status = 'FAILED'").select("job_id", jobs.error_tail(F.concat_ws(" at ", "pdf_filename", "batch_id"), 20).alias("tail")),
+    fixtures("SELECT job_id, right(concat_ws(' at ', pdf_filename, batch_id), 20) AS tail FROM f_jobs WHERE status='FAILED'"))
+add(
+    "error_class", lambda v: v.jobs.select("job_id", jobs.error_class(F.col("status") == "COMPLETED", _error()).alias("error_class")),
+    fixtures(f"""SELECT job_id, CASE WHEN status='COMPLETED' THEN 'SUCCESS' WHEN e LIKE '%API key%' THEN 'MISSING_API_KEY' WHEN e LIKE '%timeout%' THEN 'TRANSPORT_ERROR'
+    WHEN e LIKE '%JSON%' THEN 'PARSE_ERROR' WHEN e LIKE '%429%' THEN 'RATE_LIMITED' ELSE 'UNKNOWN_ERROR' END AS error_class FROM (SELECT *, {_ERROR_SQL} AS e FROM f_jobs)"""),
+)
+add(
+    "cache_lookup",
+    lambda v: jobs.cache_lookup(v.jobs.select(F.sha2("pdf_filename", 256).alias("document_hash"), (F.col("id") % 5).alias("row_count"), F.col("submitted_at").alias("cached_at"), "job_id")),
+    fixtures("""SELECT document_hash, row_count, cached_at, job_id FROM (SELECT sha256(pdf_filename) AS document_hash, id%5 AS row_count, submitted_at AS cached_at, job_id,
+    row_number() OVER (PARTITION BY pdf_filename ORDER BY submitted_at DESC, job_id DESC) AS k FROM f_jobs WHERE id%5>0) WHERE k=1"""),
+)
+add(
+    "job_state", lambda v: jobs.fold_events(intake.status_events(v.jobs)),
+    fixtures("SELECT job_id, status, completed_at FROM f_jobs"),
+)
+add(
+    "stream_intake", lambda v: intake.run_once(v.spark, v.sf_dir),
+    """SELECT 'file_'||(event_id%400)||'.pdf' AS pdf_filename, 'BATCH-'||strftime(ts,'%Y%m%d') AS batch_id, count(*) AS n_events, min(event_id) AS first_id
+    FROM events WHERE event_type IN ('purchase','click') GROUP BY ALL""",
+)
+QUERIES, ORACLES = add.queries, add.oracles

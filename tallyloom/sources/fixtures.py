@@ -100,7 +100,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = F.when(
         F.col("user_id") % 5 != 0, F.concat(F.lit("BATCH-"), "user_id", F.lit("-"), F.date_format("ts", "yyyyMMdd"))
     )
-    ended = F.timestamp_seconds(F.unix_micros("ts") / 1_000_000 + F.floor(F.col("value") * 10))
+    ended = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.floor(F.col("value") * 10) * 1_000_000)
     return e.select(
         F.col("event_id").alias("id"), F.concat(F.lit("JOB-"), "event_id").alias("job_id"),
         F.concat(F.lit("file_"), F.col("event_id") % 400, F.lit(".pdf")).alias("pdf_filename"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -45,3 +47,12 @@ def upsert(current: DataFrame, changes: DataFrame, key: list[str], order: str) -
 def copy_rows(spark: SparkSession, source: str, target: str) -> None:
     """Row copy between stores."""
     spark.read.parquet(source).write.mode("overwrite").parquet(target)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        found = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found

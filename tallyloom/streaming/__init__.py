@@ -1 +1 @@
-"""streaming of the reconciliation library."""
+"""Structured Streaming intake of the reconciliation library."""
