@@ -13,8 +13,10 @@ class Register:
     def __init__(self) -> None:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.oracles: dict[str, str] = {}
+        self.builds: dict[str, Callable[[Views], DataFrame]] = {}
 
     def __call__(self, name: str, build: Callable[[Views], DataFrame], sql: str | None = None) -> None:
+        self.builds[name] = build
         self.queries[name] = lambda spark, sf_dir: build(Views(spark, sf_dir))
         if sql is not None:
             self.oracles[name] = sql
