@@ -778,7 +778,7 @@ def _encode_sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     kept: list[pa.Array] = []
     done = 0
     for out in _encode(sized()):
-        if done == len(kept[0]):
+        while done == len(kept[0]):
             kept.pop(0)
             done = 0
         yield out.append_column("n_bytes", kept[0].slice(done, out.num_rows))
