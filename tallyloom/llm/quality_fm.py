@@ -109,7 +109,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Machine:
     bias = np.zeros(1, np.float32)
     state = [(p, np.zeros_like(p), np.zeros_like(p)) for p in (bias, weights, factors)]
     step = 0
-    for _ in range(max(EPOCHS, -(-MIN_STEPS * BATCH // len(y)))):
+    for _ in range(max(EPOCHS, -(-MIN_STEPS // -(-len(y) // BATCH)))):
         order = random.permutation(len(y))
         for k in range(0, len(y), BATCH):
             rows = order[k : k + BATCH]
