@@ -1,0 +1,533 @@
+"""Each operator against a brute-force version, a round trip or held-out accuracy, and on awkward tables."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from hypothesis import example, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from compare import of_duck, of_spark
+from tallyloom.llm import (
+    attention_lm,
+    best_fit_packing,
+    components,
+    hilbert_sharding,
+    host_rules,
+    line_dedup,
+    pii_anchors,
+    piece_codec,
+    progressive_jpeg,
+    quality_fm,
+    simhash_anchors,
+)
+
+SPACE = re.compile(r"[\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row int, h string, _words string, fp long, bin long"
+
+
+def words_of(text):
+    return [w for w in SPACE.split(text or "") if w]
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def row(doc_id, text, source="s"):
+    return (doc_id, text, None if doc_id == 3 else "en", source, None if text is None else len(text), 1, "x", "y", 2, 3)
+
+
+AWKWARD = [
+    row(1, "Alpha beta GAMMA delta"), row(2, None), row(3, ""), row(4, " \n\t"), row(1, "Alpha beta GAMMA delta"), row(None, "no id here a b c"),
+    row(5, "a\nb\nc\nd\ne"), row(6, "x\na\nb\nc\ny\nz"), row(7, "long " * 20_000), row(8, "café ▁ 日本語 <|endoftext|> \U0001f600 fin\nA@b.co"), row(9, "one", None),
+]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return spark.createDataFrame(AWKWARD, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] for r in docs.collect()}
+
+
+# 1: line de-duplication
+
+
+def deduped(rows):
+    """Brute force over (id, text), ids ascending; rows that share an id are one document's copies."""
+    places = defaultdict(list)
+    lines = {i: (t or "").split("\n") for i, t in rows if i is not None}
+    for i, part in sorted(lines.items()):
+        for k in range(len(part) - 2):
+            places[tuple(part[k : k + 3])].append((i, k))
+    gone = defaultdict(set)
+    for found in places.values():
+        for i, k in found[1:]:
+            gone[i] |= {k, k + 1, k + 2}
+    return {i: "\n".join(s for k, s in enumerate(part) if k not in gone[i]) for i, part in lines.items()}
+
+
+def test_line_dedup_equals_brute_force(spark, docs, texts, sf_dir, duck):
+    found = line_dedup.op1_line_dedup(spark, sf_dir)
+    expected = deduped(texts.items())
+    assert {r["doc_id"]: r["text"] or "" for r in found.collect()} == expected
+    assert sum(len(t) for t in expected.values()) < sum(len(t or "") for t in texts.values())
+    assert of_spark(found) == of_duck(duck, line_dedup.SQL)
+
+
+def test_line_dedup_cases(awkward, empty):
+    out, (n_lines, removed, spans) = line_dedup.dedup(awkward)
+    by_id = {r["doc_id"]: r for r in out.collect() if r["doc_id"] != 1}
+    assert by_id[6]["text"] == "x\ny\nz" and by_id[6][spans] == "1-3" and by_id[5][removed] == 0
+    assert by_id[2]["text"] is None and by_id[2][n_lines] == 0 and by_id[None]["text"] == "no id here a b c"
+    assert out.count() == len(AWKWARD) and set(SCHEMA.replace(",", "").split()[::2]) <= set(out.columns)
+    assert line_dedup.dedup(empty)[0].count() == 0
+
+
+# 2: packing
+
+
+def check_packing(rows, packed, capacity):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    expected = Counter()
+    for doc_id, text in rows:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
+        for piece, k in enumerate(range(0, len(ids), capacity)):
+            part = ids[k : k + capacity]
+            expected[doc_id, piece, k, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    got = packed.collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == expected
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(bins), sum(k[3] * n for k, n in expected.items())
+
+
+def test_packing(spark, texts, sf_dir):
+    bins, total = check_packing(texts.items(), best_fit_packing.op2_best_fit_packing(spark, sf_dir), 2048)
+    assert bins <= -(-total // 2048) + 1
+
+
+def test_packing_through_several_rounds(docs, texts):
+    many = docs.repartition(8)
+    bins, total = check_packing(texts.items(), best_fit_packing.pack(many, capacity=512, node_bins=20), 512)
+    assert bins <= 1.03 * total / 512 + 8
+
+
+def test_packing_cases(awkward, empty):
+    check_packing([r[:2] for r in AWKWARD], best_fit_packing.pack(awkward), 2048)
+    assert best_fit_packing.pack(empty).count() == 0
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=60))
+def test_best_fit_takes_the_fullest_bin(lengths):
+    bins, offsets = best_fit_packing.best_fit(np.array(lengths, np.int64), 40)
+    fills, want = [], []
+    for length in sorted(lengths, reverse=True):
+        room = [(40 - f, k) for k, f in enumerate(fills) if 40 - f >= length]
+        if room:
+            fills[min(room)[1]] += length
+        else:
+            fills.append(length)
+    if lengths:
+        want = np.bincount(bins, weights=lengths).astype(int).tolist()
+    assert sorted(want) == sorted(fills)
+
+
+def test_sequences_hold_the_ids(docs):
+    some = docs.where("doc_id < 20")
+    packed = best_fit_packing.pack(some)
+    whole = best_fit_packing.sequences(some, packed)
+    assert whole.select(F.sum(F.size("ids"))).first()[0] == packed.select(F.sum("length")).first()[0]
+
+
+# 3: SentencePiece
+
+
+def best_score(text, codec):
+    best = [0.0] + [-1e18] * len(text)
+    for end in range(1, len(text) + 1):
+        for start in range(max(0, end - 20), end):
+            if (piece := text[start:end]) in codec.pieces:
+                best[end] = max(best[end], best[start] + codec.pieces[piece][1])
+    return best[-1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abcdehilnorst▁", min_size=1, max_size=18))
+def test_viterbi_finds_the_best_sum(text):
+    codec = piece_codec.codec()
+    scores = {k: s for k, s in codec.pieces.values()}
+    ids = codec.viterbi(text)
+    assert "".join(next(p for p, (k, _) in codec.pieces.items() if k == i) for i in ids) == text
+    assert sum(scores[i] for i in ids) == pytest.approx(best_score(text, codec))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=40))
+@example("▁▁ a▁b \n\n\t x")
+@example("  lead and trail  ")
+def test_piece_round_trip(text):
+    codec = piece_codec.codec()
+    assert codec.decode(np.frombuffer(codec.encode(text), np.int32).tolist()) == text
+
+
+def test_piece_columns(awkward, empty, docs, texts):
+    back = piece_codec.decode(piece_codec.encode(docs))
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: t or "" for i, t in texts.items()}
+    assert sorted(r["text"] for r in piece_codec.decode(piece_codec.encode(awkward)).collect()) == sorted(r[1] or "" for r in AWKWARD)
+    assert piece_codec.encode(empty).count() == 0
+
+
+# 4: SimHash
+
+
+def fingerprint(text):
+    words = words_of(lower(text))
+    grams = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def grouped(prints):
+    """Smallest id of each component of (id, fingerprint) by comparing all pairs."""
+    ids, parent = [i for i, _ in prints], {}
+    for i in ids:
+        parent[i] = i
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for n, (i, a) in enumerate(prints):
+        for j, b in prints[:n]:
+            if (a ^ b).bit_count() <= 2:
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    return {i: root(i) for i in ids}
+
+
+def test_simhash_equals_all_pairs(spark, texts, sf_dir):
+    prints = [(i, fingerprint(t)) for i, t in texts.items()]
+    labels = grouped(prints)
+    found = simhash_anchors.op4_simhash_anchors(spark, sf_dir).collect()
+    assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in found} == {(i, f"{p:016x}", labels[i]) for i, p in prints}
+    assert len(found) == len(texts) and len(set(labels.values())) < len(labels)
+
+
+@pytest.mark.parametrize("anchor_rows,dense_rows", [(200_000, 6_000), (200_000, 1), (3, 6_000)])
+def test_simhash_links_by_every_route(spark, monkeypatch, anchor_rows, dense_rows):
+    monkeypatch.setattr(simhash_anchors, "DENSE_ROWS", dense_rows)
+    r = random.Random(5)
+    prints = {r.getrandbits(64) for _ in range(60)}
+    for p in list(prints):
+        for _ in range(5):
+            p ^= (1 << r.randrange(64)) | (1 << r.randrange(64))
+            prints.add(p)
+    rows = list(enumerate(sorted(prints)))
+    frame = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p, i) for i, p in rows], "fp long, rep long")
+    found = components.component_labels(simhash_anchors.near_edges(frame, anchor_rows)).collect()
+    labels = {i: i for i, _ in rows} | {x["node"]: x["label"] for x in found}
+    assert labels == grouped(rows)
+
+
+def test_every_word_has_an_anchor_within_reach():
+    prints = np.random.default_rng(1).integers(0, 1 << 23, 300)
+    near, anchor = simhash_anchors.anchors_of(prints, simhash_anchors.RADIUS)
+    assert set(near) == set(range(300)) and anchor.max() < 4096
+
+
+def test_simhash_cases(awkward, empty):
+    found = [(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash_anchors.near_duplicates(awkward).collect()]
+    assert len(found) == len(AWKWARD)
+    assert {c for i, p, c in found if i in (2, 3, 4)} == {2} and {p for i, p, c in found if i == 3} == {"0" * 16}
+    assert simhash_anchors.near_duplicates(empty).count() == 0
+
+
+# 5: personal data
+
+BASE = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def base_spans(text):
+    def good(kind, s):
+        digits = [int(c) for c in s if c in "0123456789"]
+        if kind == "ip":
+            return all(int(p) <= 255 for p in s.split("."))
+        if kind == "card":
+            total = sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(digits[::-1]))
+            return 16 <= len(digits) <= 19 and total % 10 == 0
+        return kind == "email" or 8 <= len(digits) <= 15
+
+    return {k: [m.span() for m in p.finditer(text) if good(k, m.group())] for k, p in BASE.items()}
+
+
+_PARTS = st.sampled_from(["a", "b.c", "@", "@@", ".", "..", "-", "+", "+1", "192", "1.2.3.4", "300.1.1.1", "4111 1111 1111 1111", "0000000000000000", "555-0100", " ", "(", ")", "x@y.zz", "%", "٣", "9", "\n"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(_PARTS, max_size=14).map("".join))
+@example("a@b.c@d.e")
+@example("1.2.3.4.5.6.7.8.9 +1 (2) 3-4.5 6 7 8 9")
+def test_base_spans_equal_the_patterns(text):
+    found = pii_anchors.find_spans(text)
+    assert {k: sorted(found[k]) for k in BASE} == base_spans(text)
+
+
+def test_personal_data_over_all_documents(spark, texts, sf_dir):
+    found = {r["doc_id"]: r for r in pii_anchors.op5_pii_anchors(spark, sf_dir).collect()}
+    assert len(found) == len(texts) and sum(r["n_email"] for r in found.values()) > 0
+    for i, t in texts.items():
+        spans = base_spans(t or "")
+        line = ",".join(f"{k}:{a}:{b}" for k in spans for a, b in spans[k])
+        assert found[i]["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+        assert [found[i][f"n_{k}"] for k in spans] == [len(v) for v in spans.values()]
+        assert set(filter(None, line.split(","))) <= set(found[i]["spans"].split(","))
+
+
+def test_personal_data_cases(awkward, empty):
+    out = pii_anchors.redact(awkward)
+    assert out.columns == awkward.columns and out.count() == len(AWKWARD)
+    assert out.where("doc_id = 8").first()["text"].endswith("\n<EMAIL>") and out.where("doc_id = 2").first()["text"] is None
+    assert pii_anchors.redacted("token: ab12cd34, see ssh://me@host/x.") == "token: <ACCOUNT>, see <ADDRESS>."
+    assert pii_anchors.detect(empty).count() == 0 and pii_anchors.detect(awkward).count() == len(AWKWARD)
+
+
+# 6: media
+
+
+def test_media_round_trip(awkward, empty):
+    found = progressive_jpeg.media_features(awkward).collect()
+    assert len(found) == len(AWKWARD)
+    padded = {}
+    for r in AWKWARD:
+        raw = (r[1] or "").encode()
+        padded[r[0]] = (len(raw), raw + bytes(-len(raw) % 64 if raw else 64))
+    for r in found:
+        n, payload = padded[r["doc_id"]]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (n, len(payload), hashlib.sha256(payload).hexdigest())
+        assert r["tail_crc32"] == zlib.crc32(payload[-64:])
+    assert progressive_jpeg.media_features(empty).count() == 0
+    tensors = progressive_jpeg.decode_column(progressive_jpeg.encode_column(awkward)).collect()
+    assert all(len(t["rgb"]) == 3 * t["height"] * t["width"] for t in tensors)
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=700), min_size=1, max_size=3))
+def test_media_keeps_any_bytes(payloads):
+    payloads = [p + bytes(-len(p) % 64) for p in payloads]
+    files = progressive_jpeg.encode(payloads)
+    assert all(f.startswith(b"\xff\xd8\xff") and b"\xff\xc2" in f for f in files)
+    assert [p for p, _ in progressive_jpeg.decode(files)] == payloads
+
+
+def test_media_tensor_equals_a_float_transform():
+    payload = "The quick brown fox jumps over the lazy dog. ".encode() * 20
+    payload += bytes(-len(payload) % 64)
+    image = progressive_jpeg.parse(progressive_jpeg.encode([payload])[0])
+    coefficients = progressive_jpeg.coefficients_of([image])
+    got = progressive_jpeg.samples_by_block([image], coefficients).astype(int)
+    raster = np.zeros((len(coefficients), 64))
+    raster[:, progressive_jpeg.ZIGZAG] = coefficients
+    table = np.zeros(64)
+    table[progressive_jpeg.ZIGZAG] = 1
+    k = np.arange(8)
+    basis = np.cos((2 * k[:, None] + 1) * k[None, :] * np.pi / 16) * np.where(k == 0, np.sqrt(1 / 8), 0.5)
+    want = np.einsum("xu,nuv,yv->nxy", basis, raster.reshape(-1, 8, 8), basis) + 128
+    scale = np.abs(got - np.clip(want, 0, 255)).max()
+    assert scale <= 1.5
+
+
+# 7: quality rules
+
+
+def statistics(text):
+    words, lines = words_of(text), [s for s in (text or "").split("\n") if words_of(s)]
+    windows = Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
+    repeated = {k + d for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for d in range(3)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(repeated)
+
+
+def test_rules_equal_brute_force_and_sql(spark, texts, sf_dir, duck):
+    found = host_rules.op7_host_rules(spark, sf_dir)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    for r in found.collect():
+        n = statistics(texts[r["doc_id"]])
+        assert tuple(r[c] for c in names) == n
+        assert r["base_failed"] == (n[0] < 50 or 100 * n[4] > 50 * n[0]) and not (r["base_failed"] and r["kept"])
+    assert of_spark(found) == of_duck(duck, host_rules.SQL)
+
+
+def test_rules_cases(awkward, empty):
+    found = host_rules.judge(awkward).collect()
+    assert sorted((r["n_words"], r["n_repeat_words"]) for r in found) == sorted((statistics(x[1])[0], statistics(x[1])[4]) for x in AWKWARD)
+    assert host_rules.judge(empty).count() == 0
+
+
+def test_bad_host_is_rejected_and_small_ones_shrink(spark):
+    good, bad = " ".join(f"w{k}" for k in range(80)), "short"
+    rows = [(f"good{h}", good) for h in range(20) for _ in range(40)] + [("bad", bad)] * 95 + [("bad", good)] * 5 + [("tiny", bad)]
+    docs = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    kept = {(r["source"], r["kept"]) for r in host_rules.judge(docs).join(docs, "doc_id").where("n_words > 1").select("source", "kept").distinct().collect()}
+    assert kept == {(f"good{h}", True) for h in range(20)} | {("bad", False)}
+
+
+# 8: language model
+
+
+def test_base_scores_equal_brute_force(spark, texts, sf_dir):
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    tokens = {i: words_of(lower(t)) + [None] for i, t in texts.items()}
+    c = Counter(w for i, line in tokens.items() if not held[i] for w in line)
+    total, distinct = sum(c.values()), len(c)
+    found = attention_lm.op8_attention_lm(spark, sf_dir).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        line = tokens[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(line), sum(c[w] > 0 for w in line), total)
+        assert r["base_score"] == pytest.approx(sum(np.log10((c[w] + 1) / (total + distinct + 1)) for w in line), rel=1e-9)
+
+
+def test_model_learns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learnt, untrained = (attention_lm.score(docs, rounds=n).where("held_out").agg(F.sum("score")).first()[0] for n in (attention_lm.ROUNDS, 0))
+    assert learnt > 0.92 * untrained
+
+
+def test_probabilities_of_an_id_sum_to_one():
+    counts = np.random.default_rng(3).integers(0, 50, attention_lm.VOCABULARY_SIZE)
+    classes = attention_lm.frequency_classes(counts, counts % 2 == 0)
+    mass = np.bincount(classes.of_id, weights=10**classes.share, minlength=attention_lm.CLASSES)
+    assert np.allclose(mass[np.unique(classes.of_id)], 1)
+
+
+def test_gradient_is_right():
+    rng = np.random.default_rng(2)
+    classes = attention_lm.Classes(np.arange(attention_lm.VOCABULARY_SIZE) % attention_lm.CLASSES, np.zeros(attention_lm.VOCABULARY_SIZE))
+    flat = attention_lm.initial_weights().astype(np.float64)
+    ids = rng.integers(0, 500, (3, attention_lm.WINDOW + 1))
+    valid = np.ones(ids.shape, bool)
+    slope, _ = attention_lm._train_batch(flat, ids, valid, classes)
+    largest = np.argsort(-np.abs(slope))[:400:40]
+    for k in largest:
+        step = np.zeros_like(flat)
+        step[k] = 1e-5
+        up, down = (attention_lm._train_batch(flat + s * step, ids, valid, classes)[1] for s in (1, -1))
+        assert (up - down) / 2e-5 == pytest.approx(slope[k], rel=2e-3)
+
+
+def test_each_id_is_scored_once_whatever_the_batch():
+    rng = np.random.default_rng(4)
+    classes = attention_lm.frequency_classes(rng.integers(0, 9, attention_lm.VOCABULARY_SIZE), np.zeros(attention_lm.VOCABULARY_SIZE, bool))
+    scorer = attention_lm.Scorer(attention_lm.Model(attention_lm.initial_weights(), classes))
+    texts = [rng.integers(0, 49_000, n).astype(np.uint32) for n in (1, 23, 24, 25, 200)]
+    together, alone = scorer.log10(texts), np.array([scorer.log10([t])[0] for t in texts])
+    assert np.allclose(together, alone, rtol=1e-5) and (np.diff(together) < 0).all()
+
+
+def test_language_model_cases(awkward, empty):
+    found = attention_lm.score(awkward, rounds=1).collect()
+    assert len(found) == len(AWKWARD) and {r["n_tokens"] for r in found if r["doc_id"] in (2, 3, 4)} == {1}
+    assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in found)
+    assert attention_lm.score(empty, rounds=1).count() == 0
+
+
+# 9: sharding
+
+
+def check_shards(rows, texts, shards):
+    sizes = Counter(r["shard"] for r in rows)
+    assert max(sizes.values()) - min([*sizes.values(), *([0] if len(sizes) < shards else [])]) <= 1
+    for s, n in sizes.items():
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(n))
+    raw = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in texts)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == raw
+
+
+def test_sharding(spark, texts, sf_dir, duck):
+    found = hilbert_sharding.op9_hilbert_sharding(spark, sf_dir)
+    check_shards(found.collect(), texts.items(), 24)
+    assert of_spark(found.drop("text_crc32")) == of_duck(duck, hilbert_sharding.SQL_WITHOUT_CRC)
+    cells = sorted((r["shard"], r["slot"], r["hilbert_cell"]) for r in found.collect())
+    assert [c for _, _, c in cells] == sorted(c for _, _, c in cells)
+
+
+@pytest.mark.parametrize("slice_rows", [1, 3, 50_000])
+def test_sharding_cases(awkward, empty, slice_rows):
+    check_shards(hilbert_sharding.shard(awkward, slice_rows=slice_rows).collect(), [r[:2] for r in AWKWARD], 24)
+    check_shards(hilbert_sharding.shard(awkward, 4, slice_rows=slice_rows).collect(), [r[:2] for r in AWKWARD], 4)
+    assert hilbert_sharding.shard(empty).count() == 0
+
+
+def test_curve_visits_neighbours(spark):
+    cells = spark.range(1 << 12).select(*[((F.col("id") / (1 << 4 * k)).cast("long") % 16).alias(c) for k, c in enumerate("xyz")])
+    rows = cells.select("x", "y", "z", hilbert_sharding.hilbert_index(*map(F.col, "xyz")).alias("i")).orderBy("i").collect()
+    assert [r["i"] for r in rows] == list(range(1 << 12))
+    assert all(sum(abs(a[c] - b[c]) for c in "xyz") == 1 for a, b in zip(rows, rows[1:]))
+
+
+# 10: quality classifier
+
+
+def test_pairs_equal_the_sum_over_all_pairs():
+    rng = np.random.default_rng(0)
+    machine = quality_fm.Machine(0.3, rng.normal(size=12).astype(np.float32), rng.normal(size=(12, 4)).astype(np.float32))
+    x = rng.normal(size=(5, 12)).astype(np.float32)
+    pairs = [sum(v[i] * v[j] * (machine.factors[i] @ machine.factors[j]) for i in range(12) for j in range(i)) for v in x]
+    assert np.allclose(machine.margin(x), 0.3 + x @ machine.weights + pairs, atol=1e-4)
+
+
+def test_classifier_on_held_out_rows(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    found = quality_fm.op10_quality_fm(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality is not null")
+    rows = found.join(labels, "doc_id").where("held_out").select("score", "predicted", "quality").collect()
+    good, bad = ([r["score"] for r in rows if r["quality"] == q] for q in (1, 0))
+    auc = np.mean([(g > b) + (g == b) / 2 for g in good for b in bad])
+    assert auc > 0.85 and np.mean([r["predicted"] for r in rows if r["quality"] == 1]) > 0.9
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in found.collect())
+
+
+def test_classifier_cases(spark, awkward, empty):
+    labels = spark.createDataFrame([(1, 1, None), (7, 0, None), (99, 1, None), (5, None, None), (None, 1, None)], "doc_id long, quality int, toxic int")
+    machine = quality_fm.train(awkward, labels)
+    found = quality_fm.classify(awkward, machine).collect()
+    assert len(found) == len(AWKWARD) and all(0 <= r["score"] <= 1 for r in found)
+    assert quality_fm.classify(empty, machine).count() == 0 and quality_fm.accepted(empty, machine).columns == empty.columns
+    nothing = quality_fm.train(awkward, labels.limit(0))
+    assert {r["score"] for r in quality_fm.classify(awkward, nothing).collect()} == {0.5}
