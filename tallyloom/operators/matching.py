@@ -15,7 +15,7 @@ and not the square of a vendor's rows.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,11 +89,11 @@ def level2_edges(lines: DataFrame, ledger: DataFrame) -> DataFrame:
     return joined.select(*LINE, F.lit(2).alias("level"), "erp_seq", "erp_amount", "erp_invoice", F.lit(True).alias("ok"))
 
 
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
+def _fold(rows: pa.Table) -> pa.Table:
     """Decisions of one statement's contested lines, in order."""
     used: set[int] = set()
     edges: dict[int, list[tuple]] = {}
-    for edge in zip(*(rows[c].tolist() for c in ("seq", "level", "erp_seq", "ok", "erp_amount", "erp_invoice")), strict=True):
+    for edge in zip(*(rows.column(c).to_pylist() for c in ("seq", "level", "erp_seq", "ok", "erp_amount", "erp_invoice")), strict=True):
         edges.setdefault(edge[0], []).append(edge[1:])
     out = []
     for seq in sorted(edges):
@@ -105,11 +105,15 @@ def _fold(rows: pd.DataFrame) -> pd.DataFrame:
             out.append((seq, pick[0], None, pick[1], pick[3], pick[4]))
         else:
             out.append((seq, None, "Amount Mismatch" if first else "Invoice Missing", None, first[0][3] if first else None, None))
-    frame = pd.DataFrame(out, columns=["seq", "level", "reason", "erp_seq", "erp_amount", "erp_invoice"])
-    frame.insert(0, "statement_id", rows["statement_id"].iloc[0])
-    return frame.astype({"level": "Int32", "erp_seq": "Int64"})
+    statement = rows.column("statement_id")[0].as_py()
+    columns = zip(*((statement, *row) for row in out), strict=True)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _FOLDED, strict=True)], schema=_FOLDED)
 
 
+_FOLDED = pa.schema([
+    ("statement_id", pa.string()), ("seq", pa.int64()), ("level", pa.int32()), ("reason", pa.string()), ("erp_seq", pa.int64()),
+    ("erp_amount", pa.decimal128(18, 2)), ("erp_invoice", pa.string()),
+])
 _DECISION = f"statement_id string, seq long, level int, reason string, erp_seq long, erp_amount {MONEY}, erp_invoice string"
 
 
@@ -141,7 +145,7 @@ def match(lines: DataFrame, ledger: DataFrame) -> DataFrame:
     line = marked.groupBy(*LINE).agg(F.max("contested").alias("folded"))
     marked = marked.drop("contested").join(line, LINE)
     decided = _decided(marked.where(~F.col("folded")))
-    folded = marked.where("folded").drop("folded").groupBy("statement_id").applyInPandas(_fold, _DECISION)
+    folded = marked.where("folded").drop("folded").groupBy("statement_id").applyInArrow(_fold, _DECISION)
     decisions = decided.unionByName(folded)
     reason = F.when(F.col("level").isNull(), F.coalesce("reason", F.lit("Invoice Missing")))
     return lines.join(decisions, LINE, "left").withColumn("reason", reason).withColumn(
@@ -152,7 +156,7 @@ def match(lines: DataFrame, ledger: DataFrame) -> DataFrame:
 def fold_all(lines: DataFrame, ledger: DataFrame) -> DataFrame:
     """The same decisions by folding every statement whole; for comparison in tests."""
     edges = level1_edges(lines, ledger).unionByName(level2_edges(lines, ledger))
-    decisions = edges.groupBy("statement_id").applyInPandas(_fold, _DECISION)
+    decisions = edges.groupBy("statement_id").applyInArrow(_fold, _DECISION)
     reason = F.when(F.col("level").isNull(), F.coalesce("reason", F.lit("Invoice Missing")))
     return lines.join(decisions, LINE, "left").withColumn("reason", reason).withColumn(
         "status", F.when(F.col("level").isNotNull(), "MATCHED").otherwise("EXCEPTION")
