@@ -64,9 +64,9 @@ def header_field_a(header: Column) -> Column:
 
 
 def map_columns_a(headers: DataFrame) -> DataFrame:
-    """First header of each field; ``headers``: doc_id, pos, header."""
+    """First header of each field, at one position the first by text; ``headers``: doc_id, pos, header."""
     mapped = headers.withColumn("field", header_field_a(F.col("header"))).where("field is not null")
-    return mapped.groupBy("doc_id", "field").agg(F.min_by("header", "pos").alias("header"), F.min("pos").alias("pos"))
+    return mapped.groupBy("doc_id", "field").agg(F.min_by("header", F.struct("pos", "header")).alias("header"), F.min("pos").alias("pos"))
 
 
 def header_field_b(header: Column) -> Column:
@@ -87,10 +87,10 @@ def header_field_b(header: Column) -> Column:
 
 
 def map_columns_b(headers: DataFrame) -> DataFrame:
-    """Last header of each field, but the first of ``amount``."""
+    """Last header of each field, but the first of ``amount``; at one position the first by text."""
     mapped = headers.where("header is not null and header <> ''").withColumn("field", header_field_b(F.col("header"))).where("field is not null")
     rank = F.when(F.col("field") == "amount", -F.col("pos")).otherwise(F.col("pos"))
-    return mapped.groupBy("doc_id", "field").agg(F.max_by("header", rank).alias("header"), F.max_by("pos", rank).alias("pos"))
+    return mapped.groupBy("doc_id", "field").agg(F.min_by("header", F.struct(-rank, "header")).alias("header"), F.max_by("pos", rank).alias("pos"))
 
 
 def header_info(text: Column, shop_words: tuple[str, ...] = ("collision", "auto body", "shop")) -> tuple[Column, Column]:
@@ -121,8 +121,9 @@ def fallback_fields(rows: DataFrame) -> DataFrame:
 
 
 def cells_to_grid(cells: DataFrame) -> DataFrame:
-    """Rows of cells from (table_id, row_index, column_index, n_rows, n_columns, content); gaps are empty."""
+    """Rows of cells from (table_id, row_index, column_index, n_rows, n_columns, content); gaps are empty, of several cells at one place the first by text stays."""
     inside = cells.where("row_index between 0 and n_rows - 1 and column_index between 0 and n_columns - 1")
+    inside = inside.groupBy("table_id", "row_index", "n_columns", "column_index").agg(F.min("content").alias("content"))
     by_row = inside.groupBy("table_id", "row_index", "n_columns").agg(F.map_from_entries(F.collect_list(F.struct("column_index", "content"))).alias("m"))
     filled = F.transform(F.sequence(F.lit(0), F.col("n_columns") - 1), lambda k: F.coalesce(F.element_at("m", k), F.lit("")))
     return by_row.select("table_id", "row_index", filled.alias("cells"))

@@ -49,6 +49,20 @@ add(
     WHEN 'RO No' THEN 'ro_number' WHEN 'Ref' THEN 'invoice_number' END AS field FROM hd), r AS (SELECT *, CASE WHEN field='amount' THEN -pos ELSE pos END AS k FROM m WHERE field IS NOT NULL)
     SELECT doc_id, field, arg_max(header, k) AS header, arg_max(pos, k) AS pos FROM r GROUP BY ALL""",
 )
+#: The same over all line items; several at one position are settled by text.
+_ALL_HEADERS_SQL = _HEADERS_SQL.replace(f" {_ONCE})", ")")
+add(
+    "map_columns_a_all", lambda v: extraction.map_columns_a(_headers(v)),
+    f"""WITH {_ALL_HEADERS_SQL}, m AS (SELECT *, CASE header WHEN 'Invoice #' THEN 'invoice_number' WHEN 'Posting Date' THEN 'invoice_date' WHEN 'Amount Due' THEN 'outstanding_amount' WHEN 'Credits' THEN 'credit'
+    WHEN 'Amount' THEN 'amount' WHEN 'RO No' THEN 'ro_number' WHEN 'Notes' THEN 'description' WHEN 'Shop' THEN 'shop' END AS field FROM hd)
+    SELECT doc_id, field, header, pos FROM m WHERE field IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY pos, header)=1""",
+)
+add(
+    "map_columns_b_all", lambda v: extraction.map_columns_b(_headers(v)),
+    f"""WITH {_ALL_HEADERS_SQL}, m AS (SELECT *, CASE header WHEN 'Invoice #' THEN 'invoice_number' WHEN 'Amount Due' THEN 'outstanding_amount' WHEN 'Amount' THEN 'amount'
+    WHEN 'RO No' THEN 'ro_number' WHEN 'Ref' THEN 'invoice_number' END AS field FROM hd), r AS (SELECT *, CASE WHEN field='amount' THEN pos ELSE -pos END AS k FROM m WHERE field IS NOT NULL)
+    SELECT doc_id, field, header, pos FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY k, header)=1""",
+)
 add(
     "pseudo_table", lambda v: read_table(v.spark, v.sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(extraction.pseudo_table(F.col("text"))).alias("row_no", "cells")).select(
         "doc_id", "row_no", F.size("cells").alias("n_cells"), F.get("cells", F.lit(0)).alias("first_cell")),
@@ -101,10 +115,13 @@ add(
 )
 
 
-def _cells(v: Views):
-    cells = _items(v).select(F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber") - 1).cast("int").alias("row_index"), (F.col("l_partkey") % 4).cast("int").alias("column_index"),
+def _all_cells(v: Views):
+    return _items(v).select(F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber") - 1).cast("int").alias("row_index"), (F.col("l_partkey") % 4).cast("int").alias("column_index"),
                              F.lit(5).alias("n_rows"), F.lit(3).alias("n_columns"), F.col("l_partkey").cast("string").alias("content"))
-    return _once(cells, "table_id", "row_index")
+
+
+def _cells(v: Views):
+    return _once(_all_cells(v), "table_id", "row_index")
 
 
 add(
@@ -112,6 +129,12 @@ add(
     f"""SELECT l_orderkey AS table_id, CAST(l_linenumber-1 AS INT) AS row_index, CASE l_partkey%4 WHEN 0 THEN l_partkey||'||' WHEN 1 THEN '|'||l_partkey||'|' ELSE '||'||l_partkey END AS cells
     FROM (SELECT * FROM lineitem {_ONCE}) WHERE l_partkey%4<3 AND l_linenumber<=5""",
 )
+add(
+    "cells_to_grid_all", lambda v: extraction.cells_to_grid(_all_cells(v)).withColumn("cells", F.array_join("cells", "|")),
+    """SELECT l_orderkey AS table_id, CAST(l_linenumber-1 AS INT) AS row_index,
+    concat_ws('|', coalesce(min(t) FILTER (c=0),''), coalesce(min(t) FILTER (c=1),''), coalesce(min(t) FILTER (c=2),'')) AS cells
+    FROM (SELECT *, l_partkey%4 AS c, CAST(l_partkey AS VARCHAR) AS t FROM lineitem) WHERE c<3 AND l_linenumber<=5 GROUP BY ALL""",
+)
 add(
     "continuation_tables",
     lambda v: extraction.continuation_tables(v.lines.select(F.col("statement_id").alias("doc_id"), F.col("seq").alias("table_no"), (F.col("seq") % 4 / 2).cast("int").alias("width"),
