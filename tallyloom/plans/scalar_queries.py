@@ -97,6 +97,12 @@ add(
     "initials", lambda v: _names(v).where("id % 3 = 0").select("id", texts.initials(F.col("vendor_name")).alias("initials")),
     f"WITH {_NAMES_SQL} SELECT id, CASE WHEN vendor_name LIKE '% %' THEN left(vendor_name,1)||left(split_part(vendor_name,' ',2),1) ELSE left(vendor_name,2) END AS initials FROM nm WHERE id%3=0",
 )
+#: The same over all names: two words of letters give their initials, one its first two letters, none the name's first two.
+add(
+    "initials_all", lambda v: _names(v).select("id", texts.initials(F.col("vendor_name")).alias("initials")),
+    f"""WITH {_NAMES_SQL}, w AS (SELECT id, vendor_name, list_filter(regexp_split_to_array(translate(vendor_name,'/,','  '),'\\s+'), lambda x: regexp_full_match(x,'\\p{{L}}+')) AS w FROM nm)
+    SELECT id, upper(CASE WHEN coalesce(vendor_name,'')='' THEN '??' WHEN len(w)>=2 THEN left(w[1],1)||left(w[2],1) WHEN len(w)=1 THEN left(w[1],2) ELSE left(vendor_name,2) END) AS initials FROM w""",
+)
 add(
     "blob_path",
     lambda v: v.lines.select("seq", texts.blob_path(F.col("vendor_id"), F.left("statement_period", F.lit(4)), F.right("statement_period", F.lit(2)), F.sha2("invoice_number", 256)).alias("path")),
