@@ -1,12 +1,12 @@
 """Language-model scoring with a causal self-attention model trained in numpy.
 
-Three passes over all documents, none of which keeps texts anywhere:
+Passes over all documents, none of which keeps texts anywhere:
 
-1. ``gather`` counts words and subword ids of every training document and takes
-   a window of ids from each stretch of ``TRAIN_STRIDE`` words, so every training
-   document teaches the model and the windows grow with the corpus.
-2. Training rounds: partitions start from the same weights, run Adam over their
-   windows, and the weights are averaged in two levels, by number of windows.
+1. ``gather`` counts words and subword ids of every training document.
+2. Training rounds: partitions start from the same weights, run Adam over the
+   contiguous windows of their texts, cut anew in each round, so every id of a
+   training document is a target once a round. The weights are averaged in two
+   levels, by number of windows.
 3. Scoring: each text becomes overlapping windows of ids; a window scores only
    the ids behind its context, so every id is scored once, with batched masked
    attention. The model predicts an id's class (frequency classes of about equal
@@ -44,8 +44,6 @@ HELD_OUT = (7, 2)
 START_ID, END_ID = 49_406, 49_407
 CONTEXT, SCORED = 8, 24
 WINDOW = CONTEXT + SCORED
-#: Words from one training window of a document to its next.
-TRAIN_STRIDE = 128
 COMMON_WORDS = 500_000
 #: Distinct words that a task counts before it sends them on, and words that a scoring task remembers.
 COUNTED = 300_000
@@ -54,11 +52,13 @@ CLASSES, WIDTH, BUCKETS = 64, 16, 4_096
 ROUNDS, BATCH, RATE, NODES, SEED = 3, 128, 0.01, 64, 11
 #: Steps of a partition in a round: its windows are passed again until it has so many, but not too often.
 MIN_STEPS, MAX_PASSES = 100, 4
+#: Training windows that a task holds and shuffles at a time.
+HELD = 10_000
 #: Windows scored at a time.
 BLOCK = 128
 
 _END_KEY = xxhash.xxh64_intdigest(b" end") - (1 << 63)
-_WORD, _ID, _SAMPLE = 0, 1, 2
+_WORD, _ID = 0, 1
 _START, _END = START_ID.to_bytes(4, "little"), END_ID.to_bytes(4, "little")
 
 
@@ -71,29 +71,27 @@ def _key(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
-def sample_windows(words: list[bytes], ids_of_word: dict[bytes, bytes]) -> list[bytes]:
-    """A window of ids for the words from every ``TRAIN_STRIDE``-th on, behind the ids that precede them."""
-    out = []
-    for k in range(0, max(1, len(words)), TRAIN_STRIDE):
-        before = b"".join(map(ids_of_word.__getitem__, words[max(0, k - CONTEXT - 1) : k]))[-4 * (CONTEXT + 1) :]
-        lack = CONTEXT + 1 - len(before) // 4
-        here = b"".join(map(ids_of_word.__getitem__, words[k : k + SCORED]))
-        if k + SCORED >= len(words):
-            here += _END
-        out.append(_START * lack + before + here[: 4 * SCORED])
-    return out
+def training_windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of a text of ids closed by the end id, as in scoring, and which of their places hold ids."""
+    n = -(-len(ids) // SCORED)
+    line = np.full(n * SCORED + CONTEXT + 1, END_ID, np.int32)
+    line[: CONTEXT + 1] = START_ID
+    line[CONTEXT + 1 : CONTEXT + 1 + len(ids)] = ids
+    known = np.arange(len(line)) < CONTEXT + 1 + len(ids)
+    every = slice(None, None, SCORED)
+    cut = np.lib.stride_tricks.sliding_window_view
+    return cut(line, WINDOW + 1)[every], cut(known, WINDOW + 1)[every]
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, key, n, ids): word counts, id counts and training windows of the rows not held out."""
+    """Rows (kind, key, n): word counts and id counts of the rows not held out."""
     table_ = word_ids()
     words: Counter = Counter()
     id_counts = np.zeros(VOCABULARY_SIZE)
 
-    def rows(kind: int, keys: np.ndarray, n: np.ndarray, ids: list | None = None) -> pa.RecordBatch:
-        packed = pa.array(ids, pa.binary()) if ids is not None else pa.nulls(len(keys), pa.binary())
-        columns = [pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys), pa.array(n), packed]
-        return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "n", "ids"])
+    def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys), pa.array(n)]
+        return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "n"])
 
     def counted() -> pa.RecordBatch:
         nonlocal id_counts
@@ -107,16 +105,12 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     ends = 0
     for batch in batches:
-        windows: list[bytes] = []
         for value in batch.column(0):
             line = (value.as_py() or "").encode().lower().split()
             words.update(line)
             ends += 1
-            windows += sample_windows(line, table_)
             if len(words) >= COUNTED:
                 yield counted()
-        nothing = np.zeros(len(windows), np.int64)
-        yield rows(_SAMPLE, nothing, nothing, windows)
     if words:
         yield counted()
     if ends:
@@ -234,20 +228,30 @@ def fit_windows(flat: np.ndarray, windows: np.ndarray, valid: np.ndarray, classe
     return flat
 
 
+def _held(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The batch's training windows, about ``HELD`` at a time."""
+    table_, parts, n = word_ids(), [], 0
+    for value in batch.column(0):
+        line = (value.as_py() or "").encode().lower().split()
+        ids = np.frombuffer(b"".join(map(table_.__getitem__, line)) + _END, "<u4")
+        parts.append(training_windows(ids))
+        n += len(parts[-1][0])
+        if n >= HELD:
+            yield tuple(map(np.concatenate, zip(*parts, strict=True)))
+            parts, n = [], 0
+    if parts:
+        yield tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+
 def _fit_partition(flat: np.ndarray, classes: Classes, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, seen = flat, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            packed = [np.frombuffer(b, "<u4") for b in batch.column(0).to_pylist()]
-            windows = np.full((len(packed), WINDOW + 1), END_ID, np.int64)
-            valid = np.zeros(windows.shape, bool)
-            for row, ids in enumerate(packed):
-                windows[row, : len(ids)] = ids
-                valid[row, : len(ids)] = True
-            weights = fit_windows(weights, windows, valid, classes, SEED + turn)
-            seen += len(packed)
+            for windows, valid in _held(batch):
+                weights = fit_windows(weights, windows, valid, classes, SEED + turn)
+                seen += len(windows)
         if seen:
             node = TaskContext.get().partitionId() % NODES
             yield pa.RecordBatch.from_arrays(
@@ -270,7 +274,7 @@ class Model(NamedTuple):
     classes: Classes
 
 
-def train(gathered: DataFrame, rounds: int = ROUNDS) -> Model:
+def train(gathered: DataFrame, texts: DataFrame, rounds: int = ROUNDS) -> Model:
     """Classes from all id counts, weights averaged over partitions after every round."""
     counts = np.zeros(VOCABULARY_SIZE, np.int64)
     by_id = gathered.where(F.col("kind") == _ID).groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # of the vocabulary
@@ -278,9 +282,8 @@ def train(gathered: DataFrame, rounds: int = ROUNDS) -> Model:
     name_of = word_ids().tokenizer.id_to_token
     closes = np.array([(name_of(k) or "").endswith("</w>") for k in range(VOCABULARY_SIZE)])
     classes, weights = frequency_classes(counts, closes), initial_weights()
-    windows = gathered.where(F.col("kind") == _SAMPLE).select("ids")
     for turn in range(rounds):
-        fitted = windows.mapInArrow(_fit_partition(weights, classes, turn), "node int, n long, weights binary")
+        fitted = texts.mapInArrow(_fit_partition(weights, classes, turn), "node int, n long, weights binary")
         nodes = fitted.groupBy("node").applyInArrow(_average, "n long, weights binary").toArrow()  # at most NODES rows
         if nodes.num_rows:
             weights = np.frombuffer(_average(nodes).column("weights")[0].as_py(), np.float32)
@@ -419,9 +422,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     picked = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text")
     )
-    gathered = settle(
-        picked.where(~F.col("held_out")).select("text").mapInArrow(_gather, "kind byte, key long, n long, ids binary"), "gathered"
-    )
+    taught = picked.where(~F.col("held_out")).select("text")
+    gathered = settle(taught.mapInArrow(_gather, "kind byte, key long, n long"), "gathered")
     counts = settle(gathered.where(F.col("kind") == _WORD).groupBy("key").agg(F.sum("n").alias("c")), "counts")
     bits = counts.groupBy(F.length(F.bin("c")).alias("bits")).agg(F.count("*").alias("n"), F.sum("c").alias("total"))
     by_bits = sorted(bits.collect(), reverse=True)  # at most 63 rows
@@ -436,7 +438,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     order = np.argsort(keys)
     ends = [int(r["c"]) for r in counts.where(F.col("key") == _END_KEY).collect()]
     logs = np.log10(values[order] + 1.0)
-    model = train(gathered, rounds)
+    model = train(gathered, taught, rounds)
     run = _score(model, keys[order], logs, float(np.log10(sum(ends) + 1.0)))
     scored = settle(picked.mapInArrow(run, _SCORED), "scored")
 
