@@ -164,9 +164,16 @@ add(
     """SELECT row_id, CASE WHEN x<20 THEN 'date' WHEN x<35 THEN 'invoice' ELSE 'amount' END AS column, string_agg(text, ' ' ORDER BY x, text) AS text
     FROM (SELECT l_orderkey AS row_id, l_quantity AS x, CAST(min(l_partkey) AS VARCHAR) AS text FROM lineitem GROUP BY ALL) GROUP BY ALL""",
 )
+#: The same over all line items; words at one place go by text.
+add(
+    "bucket_columns_all",
+    lambda v: extraction.bucket_columns(_items(v).select(F.col("l_orderkey").alias("row_id"), F.col("l_quantity").alias("x"), F.col("l_partkey").cast("string").alias("text")), _BOUNDS, "amount"),
+    """SELECT l_orderkey AS row_id, CASE WHEN l_quantity<20 THEN 'date' WHEN l_quantity<35 THEN 'invoice' ELSE 'amount' END AS column,
+    string_agg(CAST(l_partkey AS VARCHAR), ' ' ORDER BY l_quantity, CAST(l_partkey AS VARCHAR)) AS text FROM lineitem GROUP BY ALL""",
+)
 add(
     "row_cluster",
-    lambda v: extraction.row_clusters(_items(v).groupBy(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").cast("double").alias("x"), (F.col("l_quantity") / 4).alias("y")).agg(F.min("l_partkey").cast("string").alias("text")), 1.0),
+    lambda v: extraction.row_clusters(_items(v).select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").cast("double").alias("x"), (F.col("l_quantity") / 4).alias("y"), F.col("l_partkey").cast("string").alias("text")), 1.0),
     None,
 )
 add(
