@@ -12,16 +12,20 @@ of a payload is the coefficient ``int8(b - 96)``, 64 to a block in zigzag order,
 blocks in the raster order of Y, Cb and Cr (4:2:0). Reading the scans back gives
 the payload bit by bit; a comment holds its length.
 
-Defined cases: null and empty texts are 64 zero bytes; null ids, repeated rows
-and extra columns do not matter; a broken stream raises ``ValueError``.
+Memory: texts are taken in chunks of ``CHUNK_BYTES``; within a chunk, or within
+one longer text, segments are coded and blocks transformed in groups of fixed
+size, so that only the text's own bytes, coefficients and tensor (about ten times
+the text) are held whole.
+
+Defined cases: null and empty texts are 64 zero bytes; null ids and repeated rows
+pass as they are; extra columns, also of clashing names, do not matter; an empty
+table gives an empty result; a broken stream raises ``ValueError``.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 import struct
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache, lru_cache
@@ -30,14 +34,19 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyloom.llm.common import table
 
 BLOCK = 64
 #: Added to a coefficient to give its byte: lower-case letters become small numbers.
 CENTRE = 96
-#: Payload bytes coded or decoded together.
-CHUNK_BYTES = 6_000_000
+#: Payload bytes of the texts that are taken together.
+CHUNK_BYTES = 3_000_000
+#: Blocks coded, transformed or put into one tensor band at a time, and blocks decoded at a time.
+CODED_BLOCKS, DECODED_BLOCKS = 8_192, 65_536
+#: Images of at most so many blocks have their scan orders remembered.
+SMALL_IMAGE = 1_024
 
 
 class Script(NamedTuple):
@@ -110,7 +119,6 @@ def stock_tables() -> dict[str, Huffman]:
     return {"dc": Huffman.of_lengths(dict.fromkeys(range(12), 4)), "ac": Huffman.of_lengths(first), "refine": Huffman.of_lengths(refine)}
 
 
-@lru_cache(4096)
 def _scan_order(mcus: tuple[int, int], shapes: tuple[tuple[int, ...], ...], chosen: tuple[int, ...]) -> tuple[np.ndarray, int]:
     if len(chosen) == 1:
         _, _, base, stride, _, wide, high = shapes[chosen[0]]
@@ -123,6 +131,9 @@ def _scan_order(mcus: tuple[int, int], shapes: tuple[tuple[int, ...], ...], chos
     return joined.ravel(), joined.shape[1]
 
 
+_small_scan_order = lru_cache(2048)(_scan_order)
+
+
 @dataclass
 class Component:
     name: int
@@ -161,7 +172,7 @@ class Frame:
     def order(self, chosen: tuple[int, ...]) -> tuple[np.ndarray, int]:
         """Blocks in the order of a scan over the chosen components, and blocks per MCU."""
         shapes = tuple((c.h, c.v, c.base - self.components[0].base, c.stride, c.lines, c.wide, c.high) for c in self.components)
-        order, each = _scan_order(self.mcus, shapes, chosen)
+        order, each = (_small_scan_order if self.blocks <= SMALL_IMAGE else _scan_order)(self.mcus, shapes, chosen)
         return order + self.components[0].base, each
 
     def slots(self, chosen: tuple[int, ...]) -> np.ndarray:
@@ -200,6 +211,17 @@ def _segments(scans: list[tuple[Frame, Scan]]) -> Segments:
     return Segments(np.concatenate(orders), np.repeat(np.arange(len(count)), count), np.cumsum(count) - count, count, by_image)
 
 
+def _groups(s: Segments, most: int) -> Iterator[tuple[int, int, Segments]]:
+    """Runs of segments with at most ``most`` blocks (or one segment): first and last one's number, and the run itself."""
+    ends, a = np.cumsum(s.count), 0
+    while a < len(s.count):
+        begin = int(s.first[a])
+        b = max(a + 1, int(np.searchsorted(ends, begin + most, side="right")))
+        cut = slice(begin, int(ends[b - 1]))
+        yield a, b, Segments(s.order[cut], s.of_block[cut] - a, s.first[a:b] - begin, s.count[a:b], [])
+        a = b
+
+
 def _pack_bits(segment: np.ndarray, values: np.ndarray, lengths: np.ndarray, n: int) -> list[bytes]:
     """Bytes of ``n`` segments from codes of up to 32 bits in order, padded with ones, stuffed."""
     bits = np.bincount(segment, weights=lengths, minlength=n).astype(np.int64)
@@ -330,12 +352,14 @@ def encode(payloads: list[bytes], script: tuple[Script, ...] = SCRIPT) -> list[b
         ])
     for scan in script:
         s = _segments([(frame, Scan(scan, [], None, [])) for frame in frames])
-        if scan.first == 0:
-            cut = _encode_dc(coefficients, frames, scan, s, tables["dc"])
-        elif scan.high:
-            cut = _encode_ac_refine(coefficients, scan, s, tables["refine"])
-        else:
-            cut = _encode_ac_first(coefficients, scan, s, tables["ac"])
+        cut: list[bytes] = []
+        for _, _, part in _groups(s, CODED_BLOCKS):
+            if scan.first == 0:
+                cut += _encode_dc(coefficients, frames, scan, part, tables["dc"])
+            elif scan.high:
+                cut += _encode_ac_refine(coefficients, scan, part, tables["refine"])
+            else:
+                cut += _encode_ac_first(coefficients, scan, part, tables["ac"])
         ac = 1 if scan.high and scan.first else 0
         head = bytes([len(scan.components)]) + b"".join(bytes([frames[0].components[c].name, ac]) for c in scan.components)
         head = _marker(0xDD, struct.pack(">H", scan.restart)) + _marker(0xDA, head + bytes([scan.first, scan.last, scan.high << 4 | scan.low]))
@@ -601,13 +625,15 @@ def coefficients_of(images: list[Parsed]) -> np.ndarray:
             s = _segments(group)
             if any(len(x.segments) != n for x, n in zip(scans, s.by_image, strict=True)):
                 raise ValueError("restart markers missing")
-            bits = _Bits([piece for x in scans for piece in x.segments])
-            if scans[0].script.first == 0:
-                _decode_dc(bits, out, scans[0], s, np.array(key[3]))
-            elif scans[0].script.high:
-                _decode_ac_refine(bits, flat, scans[0], s)
-            else:
-                _decode_ac_first(bits, flat, scans[0], s)
+            pieces = [piece for x in scans for piece in x.segments]
+            for a, b, part in _groups(s, DECODED_BLOCKS):
+                bits = _Bits(pieces[a:b])
+                if scans[0].script.first == 0:
+                    _decode_dc(bits, out, scans[0], part, np.array(key[3]))
+                elif scans[0].script.high:
+                    _decode_ac_refine(bits, flat, scans[0], part)
+                else:
+                    _decode_ac_first(bits, flat, scans[0], part)
     return out
 
 
@@ -623,12 +649,16 @@ def _basis() -> np.ndarray:
 
 def samples_of(coefficients: np.ndarray, quantiser: np.ndarray) -> np.ndarray:
     """8 by 8 samples (0 to 255) of each block; the same block gives the same samples in any batch."""
-    raster = np.zeros((len(coefficients), BLOCK))
-    raster[:, ZIGZAG] = coefficients * quantiser
     basis = _basis()
-    rows = (raster.reshape(-1, 8) @ basis).reshape(-1, 8, 8)
-    both = (rows.transpose(0, 2, 1).reshape(-1, 8) @ basis).reshape(-1, 8, 8).transpose(0, 2, 1)
-    return np.clip(np.floor(both / (1 << 2 * _BASIS_BITS) + 0.5) + 128, 0, 255).astype(np.uint8)
+    out = np.empty((len(coefficients), 8, 8), np.uint8)
+    for k in range(0, len(coefficients), CODED_BLOCKS):
+        part = coefficients[k : k + CODED_BLOCKS]
+        raster = np.zeros((len(part), BLOCK))
+        raster[:, ZIGZAG] = part * quantiser
+        rows = (raster.reshape(-1, 8) @ basis).reshape(-1, 8, 8)
+        both = (rows.transpose(0, 2, 1).reshape(-1, 8) @ basis).reshape(-1, 8, 8).transpose(0, 2, 1)
+        out[k : k + CODED_BLOCKS] = np.clip(np.floor(both / (1 << 2 * _BASIS_BITS) + 0.5) + 128, 0, 255)
+    return out
 
 
 def samples_by_block(images: list[Parsed], coefficients: np.ndarray) -> np.ndarray:
@@ -659,12 +689,15 @@ def rgb_of(image: Parsed, samples: np.ndarray) -> np.ndarray:
         planes.append(plane[: frame.height, : frame.width])
     if len(planes) == 1:
         return np.repeat(planes[0][:, :, None], 3, 2)
-    y, cb, cr = (p.astype(np.int32) for p in planes)
-    y, cb, cr = (y << 16) + (1 << 15), cb - 128, cr - 128
     out = np.empty((frame.height, frame.width, 3), np.uint8)
-    # The format's colour conversion, times 2 ** 16.
-    for k, colour in enumerate((y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb)):
-        out[:, :, k] = np.clip(colour >> 16, 0, 255)
+    step = max(1, CODED_BLOCKS * BLOCK // max(1, frame.width))
+    for top in range(0, frame.height, step):
+        band = slice(top, top + step)
+        y, cb, cr = (p[band].astype(np.int32) for p in planes)
+        y, cb, cr = (y << 16) + (1 << 15), cb - 128, cr - 128
+        # The format's colour conversion, times 2 ** 16.
+        for k, colour in enumerate((y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb)):
+            out[band, :, k] = np.clip(colour >> 16, 0, 255)
     return out
 
 
@@ -684,112 +717,96 @@ def decode(files: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
     return [(payload_of(x, coefficients), rgb_of(x, samples)) for x in images]
 
 
-def pad(text: str) -> bytes:
-    raw = text.encode()
+def padded(raw: bytes) -> bytes:
     return raw + bytes(-len(raw) % BLOCK if raw else BLOCK)
 
 
-def _chunks(sizes: list[int]) -> Iterator[slice]:
-    start = total = 0
-    for k, n in enumerate(sizes):
-        total += n
+def pad(text: str) -> bytes:
+    return padded(text.encode())
+
+
+def _chunks(batch: pa.RecordBatch, column: int, size_of) -> Iterator[tuple[slice, list]]:
+    """Rows of a batch in runs whose values reach ``CHUNK_BYTES`` at their last row."""
+    start, total, held = 0, 0, []
+    for k, value in enumerate(batch.column(column)):
+        held.append(size_of(value.as_py()))
+        total += len(held[-1])
         if total >= CHUNK_BYTES:
-            yield slice(start, k + 1)
-            start, total = k + 1, 0
-    if start < len(sizes):
-        yield slice(start, len(sizes))
+            yield slice(start, k + 1), held
+            start, total, held = k + 1, 0, []
+    if held:
+        yield slice(start, start + len(held)), held
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        payloads = [pad(t or "") for t in batch.column(1).to_pylist()]
-        for part in _chunks([len(p) for p in payloads]):
-            n = part.stop - part.start
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(part.start, n), pa.array(encode(payloads[part]), pa.binary())], names=["doc_id", "media"]
-            )
+        for rows, payloads in _chunks(batch, 1, lambda t: pad(t or "")):
+            ids = batch.column(0).slice(rows.start, len(payloads))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(encode(payloads), pa.binary())], names=["doc_id", "media"])
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, media): every whole text as a progressive JPEG."""
-    picked = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text")
-    return picked.mapInArrow(_encode, "doc_id long, media binary")
+    return _texts(docs, id_col, text_col).mapInArrow(_encode, "doc_id long, media binary")
 
 
-def _tensors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        files = batch.column(1).to_pylist()
-        for part in _chunks([len(f) for f in files]):
-            shapes, tensors = [], []
-            for _, rgb in decode(files[part]):
-                shapes.append(rgb.shape[:2])
-                tensors.append(rgb.tobytes())
-            columns = [pa.array([s[k] for s in shapes], pa.int32()) for k in (0, 1)]
-            ids = batch.column(0).slice(part.start, part.stop - part.start)
-            yield pa.RecordBatch.from_arrays([ids, *columns, pa.array(tensors, pa.binary())], names=["doc_id", "height", "width", "rgb"])
+#: What decoding gives: the bytes stored, and the full-resolution tensor row by row, three bytes a pixel, with its sums by colour.
+TENSOR = "payload binary, height int, width int, rgb binary, red long, green long, blue long"
 
 
-def decode_column(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(doc_id, height, width, rgb): full-resolution tensors, row by row, three bytes a pixel."""
-    picked = media.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{media_col}` as media")
-    return picked.mapInArrow(_tensors, "doc_id long, height int, width int, rgb binary")
+def _decoded(files: list[bytes]) -> list[pa.Array]:
+    rows = []
+    for payload, rgb in decode(files):
+        rows.append((payload, *rgb.shape[:2], rgb.tobytes(), *rgb.reshape(-1, 3).sum(0, dtype=np.int64).tolist()))
+    kinds = (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    return [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
 
 
-_FEATURES = (
-    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    "media_sha256 string, feature string"
-)
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
 
 
-def feature_of(rgb: np.ndarray) -> str:
-    """Size, sums by colour and checksum of a tensor."""
-    height, width, _ = rgb.shape
-    sums = rgb.reshape(-1, 3).sum(0, dtype=np.int64)
-    return f"{width}x{height}:{sums[0]}:{sums[1]}:{sums[2]}:{zlib.crc32(rgb.tobytes()):08x}"
+def _tensors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", *_names(TENSOR)]
+    for batch in batches:
+        for rows, files in _chunks(batch, 1, bytes):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, len(files)), *_decoded(files)], names=names)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def decode_column(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """(doc_id, ``TENSOR``) of every stored medium."""
+    picked = media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media"))
+    return picked.mapInArrow(_tensors, f"doc_id long, {TENSOR}")
+
+
+def _both_ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "n_bytes", "media", *_names(TENSOR)]
     for batch in batches:
-        files = batch.column(1).to_pylist()
-        for part in _chunks([len(f) for f in files]):
-            rows = []
-            for media, (payload, rgb) in zip(files[part], decode(files[part]), strict=True):
-                rows.append((
-                    len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media),
-                    hashlib.sha256(media).hexdigest(), feature_of(rgb),
-                ))
-            columns = list(zip(*rows, strict=True))
-            n = part.stop - part.start
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(part.start, n), batch.column(2).slice(part.start, n), pa.array(columns[0], pa.int64()),
-                 pa.array(columns[1]), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64()),
-                 pa.array(columns[4]), pa.array(columns[5])],
-                names=[f.split()[0] for f in _FEATURES.split(", ")],
-            )
-
-
-def _encode_sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def sized() -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = [len((t or "").encode()) for t in batch.column(1).to_pylist()]
-            kept.append(pa.array(sizes, pa.int64()))
-            yield batch
-
-    kept: list[pa.Array] = []
-    done = 0
-    for out in _encode(sized()):
-        while done == len(kept[0]):
-            kept.pop(0)
-            done = 0
-        yield out.append_column("n_bytes", kept[0].slice(done, out.num_rows))
-        done += out.num_rows
+        for rows, texts in _chunks(batch, 1, lambda t: (t or "").encode()):
+            files = encode([padded(t) for t in texts])
+            ids = batch.column(0).slice(rows.start, len(files))
+            sizes = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, sizes, pa.array(files, pa.binary()), *_decoded(files)], names=names)
+
+
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, media, ``TENSOR``): every text stored as media, and the media read back, in one pass."""
+    return _texts(docs, id_col, text_col).mapInArrow(_both_ways, f"doc_id long, n_bytes long, media binary, {TENSOR}")
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores every text as media, reads the media back and describes payload, media and tensor."""
-    picked = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text")
-    media = picked.mapInArrow(_encode_sized, "doc_id long, media binary, n_bytes long")
-    return media.mapInArrow(_features, _FEATURES)
+    """Digests of every text's media, of the payload read back from it, and of the RGB tensor (its size, sums by colour, checksum)."""
+    checksum = F.lpad(F.lower(F.hex(F.crc32("rgb"))), 8, "0")
+    return media_columns(docs, id_col, text_col).select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.concat_ws("x", "width", "height"), "red", "green", "blue", checksum).alias("feature"),
+    )
 
 
 def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
