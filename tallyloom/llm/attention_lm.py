@@ -3,15 +3,19 @@
 Passes over all documents, none of which keeps texts anywhere:
 
 1. ``gather`` counts words and subword ids of every training document.
-2. Training rounds: partitions start from the same weights, run Adam over the
-   contiguous windows of their texts, cut anew in each round, so every id of a
-   training document is a target once a round. The weights are averaged in two
-   levels, by number of windows.
+2. Training rounds: every training document belongs to one round, by the hash of
+   its text; later rounds are larger. In a round, partitions start from the same
+   weights and run Adam once over the contiguous windows of their texts, so every
+   id of every training document is a target exactly once. Weights and the
+   optimiser's moments are then averaged in two levels, by number of windows.
 3. Scoring: each text becomes overlapping windows of ids; a window scores only
    the ids behind its context, so every id is scored once, with batched masked
    attention. The model predicts an id's class (frequency classes of about equal
    mass); within the class the smoothed corpus share of the id counts.
 
+The network is one block: id and place embeddings, masked self-attention with a
+residual, a feed-forward layer with a residual, and the class logits.
+
 The base score is that of single words with add-one counts. Words whose count
 reaches a power of two that at most ``COMMON_WORDS`` words reach are sent to the
 tasks; all rarer words are looked up by a shuffled join, so the vocabulary may
@@ -19,7 +23,9 @@ grow without bound.
 
 Words are known by a 64-bit hash. Defined cases: null and empty texts are the end
 token alone, null ids are training rows, repeated rows count as often as they
-occur and are scored one by one, an empty table gives an empty result.
+occur and are scored one by one, an empty table gives an empty result; a very long
+text is cut into windows like any other and held whole only as ids; other columns,
+also of clashing names, are not read.
 """
 
 from __future__ import annotations
@@ -42,20 +48,22 @@ from tallyloom.llm.word_ids import VOCABULARY_SIZE, word_ids
 #: Rows whose crc32(id as text) leaves this remainder are held out.
 HELD_OUT = (7, 2)
 START_ID, END_ID = 49_406, 49_407
-CONTEXT, SCORED = 8, 24
+CONTEXT, SCORED = 4, 20
 WINDOW = CONTEXT + SCORED
 COMMON_WORDS = 500_000
 #: Distinct words that a task counts before it sends them on, and words that a scoring task remembers.
 COUNTED = 300_000
 TABLED = 600_000
-CLASSES, WIDTH, BUCKETS = 64, 16, 4_096
-ROUNDS, BATCH, RATE, NODES, SEED = 3, 128, 0.01, 64, 11
-#: Steps of a partition in a round: its windows are passed again until it has so many, but not too often.
-MIN_STEPS, MAX_PASSES = 100, 4
+CLASSES, WIDTH, HIDDEN, BUCKETS = 64, 16, 32, 2_048
+RATE, WARM, SLOWING, NODES, SEED = 0.01, 30, 500, 64, 11
+#: Windows of a training step: a learner's first steps are small.
+EARLY_STEPS, EARLY_BATCH, BATCH = 200, 48, 256
+#: Parts of 8 of the training documents that each round takes.
+ROUNDS = (1, 2, 5)
 #: Training windows that a task holds and shuffles at a time.
 HELD = 10_000
 #: Windows scored at a time.
-BLOCK = 128
+BLOCK = 192
 
 _END_KEY = xxhash.xxh64_intdigest(b" end") - (1 << 63)
 _WORD, _ID = 0, 1
@@ -139,12 +147,13 @@ def frequency_classes(counts: np.ndarray, closes_word: np.ndarray) -> Classes:
 
 
 _SHAPES = {
-    "bucket": (BUCKETS, WIDTH), "kind": (CLASSES, WIDTH), "place": (WINDOW, WIDTH), "query": (WIDTH, WIDTH),
-    "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "out": (WIDTH, CLASSES), "attended": (WIDTH, CLASSES), "bias": (CLASSES,),
+    "bucket": (BUCKETS, WIDTH), "kind": (CLASSES, WIDTH), "place": (WINDOW, WIDTH), "query": (WIDTH, WIDTH), "key_value": (WIDTH, 2 * WIDTH),
+    "mix": (WIDTH, WIDTH), "grow": (WIDTH, HIDDEN), "grown": (HIDDEN,), "shrink": (HIDDEN, WIDTH), "out": (WIDTH, CLASSES), "bias": (CLASSES,),
 }
-#: Exponents are cut here when scoring; trained ones stay far below.
+#: Ids that share a bucket, at most.
+_LAYERS = -(-VOCABULARY_SIZE // BUCKETS)
+#: Exponents are cut here; those of trained models stay far below.
 _LARGEST = np.float32(60)
-_ONES_CLASSES = np.ones(CLASSES, np.float32)
 #: What a scored place may not see: the places behind it in its window.
 _MASK = np.where(np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None], 0, -1e9).astype(np.float32)
 
@@ -160,74 +169,155 @@ def _views(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 def initial_weights() -> np.ndarray:
     size = sum(int(np.prod(s)) for s in _SHAPES.values())
-    return np.random.default_rng(SEED).normal(0, 0.15, size).astype(np.float32)
-
-
-def _softmax(scores: np.ndarray) -> np.ndarray:
-    scores -= scores.max(-1, keepdims=True)
-    np.exp(scores, out=scores)
-    scores /= scores.sum(-1, keepdims=True)
-    return scores
-
-
-def _attend(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Queries of the scored places, keys, values and masked attention for embedded windows ``x``."""
-    q, k, v = x[:, CONTEXT:] @ w["query"], x @ w["key"], x @ w["value"]
-    scores = q @ k.transpose(0, 2, 1)
-    scores *= np.float32(WIDTH**-0.5)
-    scores += _MASK
-    return q, k, v, _softmax(scores)
-
-
-def _train_batch(flat: np.ndarray, ids: np.ndarray, valid: np.ndarray, classes: Classes) -> tuple[np.ndarray, float]:
-    """Gradient of the mean loss over the valid scored targets of ``ids`` (rows of WINDOW + 1 ids), and the loss."""
-    w, slope = _views(flat), np.zeros_like(flat)
-    g = _views(slope)
-    inputs, targets, counted = ids[:, :-1], classes.of_id[ids[:, CONTEXT + 1 :]], valid[:, CONTEXT + 1 :]
-    x = w["bucket"][inputs % BUCKETS] + w["kind"][classes.of_id[inputs]] + w["place"]
-    q, k, v, a = _attend(w, x)
-    late, mixed = x[:, CONTEXT:], a @ v
-    d = _softmax(late @ w["out"] + mixed @ w["attended"] + w["bias"])
-    rows, places = np.nonzero(counted)
-    loss = float(-np.log(d[rows, places, targets[rows, places]] + 1e-30).mean())
-    d[rows, places, targets[rows, places]] -= 1
-    d[~counted] = 0
-    d /= d.dtype.type(len(rows))
-    flat_d = d.reshape(-1, CLASSES)
-    g["out"] += late.reshape(-1, WIDTH).T @ flat_d
-    g["attended"] += mixed.reshape(-1, WIDTH).T @ flat_d
-    g["bias"] += flat_d.sum(0)
-    dm = d @ w["attended"].T
-    da = dm @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) * d.dtype.type(WIDTH**-0.5)
-    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dm
-    dx = dk @ w["key"].T + dv @ w["value"].T
-    dx[:, CONTEXT:] += d @ w["out"].T + dq @ w["query"].T
-    g["query"] += late.reshape(-1, WIDTH).T @ dq.reshape(-1, WIDTH)
-    g["key"] += x.reshape(-1, WIDTH).T @ dk.reshape(-1, WIDTH)
-    g["value"] += x.reshape(-1, WIDTH).T @ dv.reshape(-1, WIDTH)
-    np.add.at(g["bucket"], inputs % BUCKETS, dx)
-    np.add.at(g["kind"], classes.of_id[inputs], dx)
-    g["place"] += dx.sum(0)
-    return slope, loss
-
-
-def fit_windows(flat: np.ndarray, windows: np.ndarray, valid: np.ndarray, classes: Classes, seed: int) -> np.ndarray:
-    """Adam over the windows, in as many shuffled passes as ``MIN_STEPS`` steps need."""
-    flat, m, v, step = flat.copy(), np.zeros_like(flat), np.zeros_like(flat), 0
-    random = np.random.default_rng(seed)
-    for _ in range(min(MAX_PASSES, -(-MIN_STEPS * BATCH // max(1, len(windows))))):
-        order = random.permutation(len(windows))
-        for k in range(0, len(order), BATCH):
-            rows = order[k : k + BATCH]
-            slope, _ = _train_batch(flat, windows[rows], valid[rows], classes)
-            step += 1
-            m += 0.1 * (slope - m)
-            v += 0.01 * (slope * slope - v)
-            flat -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    flat = np.random.default_rng(SEED).normal(0, 0.15, size).astype(np.float32)
+    w = _views(flat)
+    w["grown"][:], w["bias"][:] = 0, 0
+    w["out"] *= 0.3
     return flat
 
 
+class Room:
+    """Arrays by name that are used again from batch to batch."""
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype, self.held = dtype, {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        n = int(np.prod(shape))
+        found = self.held.get(name)
+        if found is None or len(found) < n:
+            found = self.held[name] = np.empty(n, self.dtype)
+        return found[:n].reshape(shape)
+
+    def ones(self, n: int) -> np.ndarray:
+        found = self("ones", n)
+        found[:] = 1
+        return found
+
+
+def _forward(w: dict[str, np.ndarray], x: np.ndarray, room: Room) -> tuple[np.ndarray, ...]:
+    """The block over embedded windows ``x``; the last result holds the logits of every scored place."""
+    n, rows = len(x), len(x) * SCORED
+    late = room("late", n, SCORED, WIDTH)
+    late[:] = x[:, CONTEXT:]
+    late = late.reshape(rows, WIDTH)
+    q = np.matmul(late, w["query"] * x.dtype.type(WIDTH**-0.5), out=room("q", rows, WIDTH)).reshape(n, SCORED, WIDTH)
+    kv = np.matmul(x.reshape(-1, WIDTH), w["key_value"], out=room("kv", n * WINDOW, 2 * WIDTH)).reshape(n, WINDOW, 2 * WIDTH)
+    k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
+    a = np.matmul(q, k.transpose(0, 2, 1), out=room("a", n, SCORED, WINDOW))
+    a += _MASK
+    np.exp(np.minimum(a, _LARGEST, out=a), out=a)
+    mass = (a.reshape(rows, WINDOW) @ room.ones(WINDOW))[:, None]
+    m = np.matmul(a, v, out=room("m", n, SCORED, WIDTH)).reshape(rows, WIDTH)
+    m /= mass
+    h = np.matmul(m, w["mix"], out=room("h", rows, WIDTH))
+    h += late
+    r = np.matmul(h, w["grow"], out=room("r", rows, HIDDEN))
+    r += w["grown"]
+    np.maximum(r, 0, out=r)
+    f = np.matmul(r, w["shrink"], out=room("f", rows, WIDTH))
+    f += h
+    d = np.matmul(f, w["out"], out=room("d", rows, CLASSES))
+    d += w["bias"]
+    return late, q, k, v, a, mass, m, h, r, f, np.minimum(d, _LARGEST, out=d)
+
+
+def _train_batch(flat: np.ndarray, ids: np.ndarray, valid: np.ndarray, classes: Classes, room: Room | None = None) -> tuple[np.ndarray, float]:
+    """Gradient of the mean loss over the valid scored targets of ``ids`` (rows of WINDOW + 1 ids), and the loss.
+
+    The gradient lies in ``room`` until the next call.
+    """
+    room = room or Room(flat.dtype)
+    slope = room("slope", len(flat))
+    w, g = _views(flat), _views(slope)
+    n, rows = len(ids), len(ids) * SCORED
+    inputs, targets = ids[:, :-1], classes.of_id[ids[:, CONTEXT + 1 :]].ravel()
+    counted = valid[:, CONTEXT + 1 :].ravel()
+    x, spare = room("x", n, WINDOW, WIDTH), room("spare", n, WINDOW, WIDTH)
+    np.take(w["bucket"], inputs % BUCKETS, 0, out=x, mode="clip")
+    x += np.take(w["kind"], classes.of_id[inputs], 0, out=spare, mode="clip")
+    x += w["place"]
+    late, q, k, v, a, mass, m, h, r, f, d = _forward(w, x, room)
+    np.exp(d, out=d)
+    total, at, ones = d @ room.ones(CLASSES), np.arange(rows), room.ones(rows)
+    loss = -np.log(d[at, targets] / total) @ counted / counted.sum()
+    d[at, targets] -= total
+    share = (counted / (total * counted.sum())).astype(flat.dtype)[:, None]
+    # ``d`` times ``share`` is the slope of the logits; the share goes to the narrower factor.
+    np.matmul((f * share).T, d, out=g["out"])
+    np.matmul(share[:, 0], d, out=g["bias"])
+    df = np.matmul(d, w["out"].T, out=room("df", rows, WIDTH))
+    df *= share
+    dr = np.matmul(df, w["shrink"].T, out=room("dr", rows, HIDDEN))
+    dr *= r > 0
+    np.matmul(r.T, df, out=g["shrink"])
+    np.matmul(h.T, dr, out=g["grow"])
+    np.matmul(ones, dr, out=g["grown"])
+    dh = np.matmul(dr, w["grow"].T, out=room("dh", rows, WIDTH))
+    dh += df
+    np.matmul(m.T, dh, out=g["mix"])
+    dm = np.matmul(dh, w["mix"].T, out=room("dm", rows, WIDTH))
+    dm /= mass
+    inner = np.einsum("ij,ij->i", dm, m).reshape(n, SCORED, 1)
+    dm = dm.reshape(n, SCORED, WIDTH)
+    ds = np.matmul(dm, v.transpose(0, 2, 1), out=room("ds", n, SCORED, WINDOW))
+    ds -= inner
+    ds *= a
+    dkv = room("dkv", n, WINDOW, 2 * WIDTH)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])
+    np.matmul(a.transpose(0, 2, 1), dm, out=dkv[:, :, WIDTH:])
+    dkv = dkv.reshape(-1, 2 * WIDTH)
+    dq = np.matmul(ds, k, out=room("dq", n, SCORED, WIDTH)).reshape(rows, WIDTH)
+    dq *= flat.dtype.type(WIDTH**-0.5)
+    np.matmul(late.T, dq, out=g["query"])
+    np.matmul(x.reshape(-1, WIDTH).T, dkv, out=g["key_value"])
+    dx = np.matmul(dkv, w["key_value"].T, out=room("dx", n * WINDOW, WIDTH)).reshape(n, WINDOW, WIDTH)
+    dh += np.matmul(dq, w["query"].T, out=room("spare", rows, WIDTH))
+    dx[:, CONTEXT:] += dh.reshape(n, SCORED, WIDTH)
+    dx.sum(0, out=g["place"])
+    # Sums by id, then by bucket: one row for each distinct id goes to the tables.
+    flat_ids = inputs.ravel()
+    order = np.argsort((flat_ids % BUCKETS * _LAYERS + flat_ids // BUCKETS).astype(np.uint16), kind="stable")
+    ordered = flat_ids[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    by_id = np.add.reduceat(np.take(dx.reshape(-1, WIDTH), order, 0, out=room("spare", n * WINDOW, WIDTH), mode="clip"), starts, axis=0)
+    ordered = ordered[starts]
+    bucket = ordered % BUCKETS
+    heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    g["bucket"][:] = 0
+    g["bucket"][bucket[heads]] = np.add.reduceat(by_id, heads, axis=0)
+    kinds = np.zeros((CLASSES, len(ordered)), flat.dtype)
+    kinds[classes.of_id[ordered], np.arange(len(ordered))] = 1
+    np.matmul(kinds, by_id, out=g["kind"])
+    return slope, float(loss)
+
+
+class Learner:
+    """Weights, Adam's two moments and the number of steps taken."""
+
+    def __init__(self, state: np.ndarray, steps: int, classes: Classes, seed: int):
+        self.weights, self.mean, self.square = self.state = state.copy()
+        self.steps, self.classes, self.room = steps, classes, Room(state.dtype)
+        self.random = np.random.default_rng(seed)
+
+    def fit(self, windows: np.ndarray, valid: np.ndarray) -> None:
+        """One shuffled pass over the windows."""
+        order, k = self.random.permutation(len(windows)), 0
+        while k < len(order):
+            size = EARLY_BATCH if self.steps < EARLY_STEPS else BATCH
+            rows, k = order[k : k + size], k + size
+            slope, _ = _train_batch(self.weights, windows[rows], valid[rows], self.classes, self.room)
+            self.steps += 1
+            step, spare = self.steps, self.room("moved", len(slope))
+            rate = RATE * min(1, step / WARM, (SLOWING / step) ** 0.5) / (1 - 0.9**step)
+            self.mean += np.multiply(np.subtract(slope, self.mean, out=spare), np.float32(0.1), out=spare)
+            np.multiply(slope, slope, out=slope)
+            self.square += np.multiply(np.subtract(slope, self.square, out=spare), np.float32(0.01), out=spare)
+            np.sqrt(np.multiply(self.square, np.float32(1 / (1 - 0.99**step)), out=spare), out=spare)
+            spare += np.float32(1e-8)
+            self.weights -= np.multiply(np.divide(self.mean, spare, out=spare), np.float32(rate), out=spare)
+
+
 def _held(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The batch's training windows, about ``HELD`` at a time."""
     table_, parts, n = word_ids(), [], 0
@@ -243,30 +333,28 @@ def _held(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
-def _fit_partition(flat: np.ndarray, classes: Classes, turn: int):
+def _fit_partition(state: np.ndarray, steps: int, classes: Classes, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, seen = flat, 0
+        learner, seen = Learner(state, steps, classes, seed), 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
             for windows, valid in _held(batch):
-                weights = fit_windows(weights, windows, valid, classes, SEED + turn)
+                learner.fit(windows, valid)
                 seen += len(windows)
         if seen:
             node = TaskContext.get().partitionId() % NODES
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([node], pa.int32()), pa.array([seen], pa.int64()), pa.array([weights.tobytes()], pa.binary())],
-                names=["node", "n", "weights"],
-            )
+            columns = [pa.array([k], pa.int64()) for k in (node, seen, learner.steps)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([learner.state.tobytes()], pa.binary())], names=["node", "n", "steps", "state"])
 
     return run
 
 
 def _average(group: pa.Table) -> pa.Table:
-    n = group.column("n").to_numpy()
-    each = [np.frombuffer(b, np.float32) for b in group.column("weights").to_pylist()]
-    mean = sum(w * np.float32(k / n.sum()) for w, k in zip(each, n, strict=True))
-    return pa.table({"n": pa.array([int(n.sum())], pa.int64()), "weights": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
+    """Mean state by number of windows; the steps are those of the partition that took most."""
+    n, steps = group.column("n").to_numpy(), group.column("steps").to_numpy()
+    mean: np.ndarray | int = 0
+    for each, k in zip(group.column("state"), n, strict=True):
+        mean = mean + np.frombuffer(each.as_py(), np.float32) * np.float32(k / n.sum())
+    return pa.table({"n": [int(n.sum())], "steps": [int(steps.max())], "state": pa.array([mean.tobytes()], pa.binary())})
 
 
 class Model(NamedTuple):
@@ -274,55 +362,47 @@ class Model(NamedTuple):
     classes: Classes
 
 
-def train(gathered: DataFrame, texts: DataFrame, rounds: int = ROUNDS) -> Model:
-    """Classes from all id counts, weights averaged over partitions after every round."""
+def train(gathered: DataFrame, texts: DataFrame, rounds: int = len(ROUNDS)) -> Model:
+    """Classes from all id counts; the state is averaged over partitions after every round."""
     counts = np.zeros(VOCABULARY_SIZE, np.int64)
     by_id = gathered.where(F.col("kind") == _ID).groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # of the vocabulary
     counts[by_id.column("key").to_numpy()] = by_id.column("n").to_numpy()
     name_of = word_ids().tokenizer.id_to_token
     closes = np.array([(name_of(k) or "").endswith("</w>") for k in range(VOCABULARY_SIZE)])
     classes, weights = frequency_classes(counts, closes), initial_weights()
-    for turn in range(rounds):
-        fitted = texts.mapInArrow(_fit_partition(weights, classes, turn), "node int, n long, weights binary")
-        nodes = fitted.groupBy("node").applyInArrow(_average, "n long, weights binary").toArrow()  # at most NODES rows
+    state, steps, done = np.stack([weights, np.zeros_like(weights), np.zeros_like(weights)]), 0, 0
+    part = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(sum(ROUNDS)))
+    for turn, parts in enumerate(ROUNDS[:rounds]):
+        share = texts.where((part >= done) & (part < done + parts)).select("text")
+        done += parts
+        fitted = share.mapInArrow(_fit_partition(state, steps, classes, SEED + turn), "node long, n long, steps long, state binary")
+        nodes = fitted.groupBy("node").applyInArrow(_average, "n long, steps long, state binary").toArrow()  # at most NODES rows
         if nodes.num_rows:
-            weights = np.frombuffer(_average(nodes).column("weights")[0].as_py(), np.float32)
-    return Model(weights, classes)
+            mean = _average(nodes)
+            state = np.frombuffer(mean.column("state")[0].as_py(), np.float32).reshape(3, -1)
+            steps = mean.column("steps")[0].as_py()
+    return Model(state[0], classes)
 
 
 class Scorer:
-    """A model with one embedding row per id and joined matrices, for scoring many windows."""
+    """A model with one embedding row per id, for scoring many windows."""
 
     def __init__(self, model: Model):
-        w = _views(model.weights)
-        self.place, self.query = w["place"], w["query"] * np.float32(WIDTH**-0.5)
-        self.key_value = np.concatenate([w["key"], w["value"]], 1)
-        self.out = np.concatenate([w["out"], w["attended"], w["bias"][None]])
+        self.w = w = _views(model.weights)
         self.of_id, self.share = model.classes.of_id.astype(np.int32), model.classes.share
         every = np.arange(len(model.classes.of_id))
         self.embedded = w["bucket"][every % BUCKETS] + w["kind"][model.classes.of_id]
+        self.room = Room(model.weights.dtype)
 
     def class_logs(self, ids: np.ndarray) -> np.ndarray:
         """log10 probability of the class of every scored target of windows of WINDOW + 1 ids."""
         n = len(ids)
-        x = np.take(self.embedded, ids[:, :-1], axis=0)
-        x += self.place
-        late = x[:, CONTEXT:]
-        kv = (x.reshape(-1, WIDTH) @ self.key_value).reshape(n, WINDOW, 2 * WIDTH)
-        a = (late @ self.query) @ kv[:, :, :WIDTH].transpose(0, 2, 1)
-        a += _MASK
-        np.exp(np.minimum(a, _LARGEST, out=a), out=a)
-        values = np.ones((n, WINDOW, WIDTH + 1), np.float32)  # the last column sums the attention
-        values[:, :, :WIDTH] = kv[:, :, WIDTH:]
-        mixed = (a @ values).reshape(-1, WIDTH + 1)
-        row = np.ones((n * SCORED, 2 * WIDTH + 1), np.float32)
-        row[:, :WIDTH] = late.reshape(-1, WIDTH)
-        np.divide(mixed[:, :WIDTH], mixed[:, WIDTH:], out=row[:, WIDTH : 2 * WIDTH])
-        logits = row @ self.out
-        np.minimum(logits, _LARGEST, out=logits)
+        x = np.take(self.embedded, ids[:, :-1], axis=0, out=self.room("x", n, WINDOW, WIDTH), mode="clip")
+        x += self.w["place"]
+        logits = _forward(self.w, x, self.room)[-1]
         chosen = logits[np.arange(n * SCORED), self.of_id[ids[:, CONTEXT + 1 :]].ravel()]
         np.exp(logits, out=logits)
-        chosen -= np.log(logits @ _ONES_CLASSES)
+        chosen -= np.log(logits @ self.room.ones(CLASSES))
         return chosen.reshape(n, SCORED) / np.log(10)
 
     def log10(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -354,19 +434,28 @@ class _WordTable(dict):
     def __init__(self, keys: np.ndarray, logs: np.ndarray):
         super().__init__()
         self.common, self.common_logs, self.speller = keys, logs, word_ids()
-        self.spelt, self.keys, self.logs = [], array("q"), array("d")
+        self.trim(0)
 
     def __missing__(self, word: bytes) -> int:
-        key = _key(word)
-        at = int(np.searchsorted(self.common, key))
-        self.logs.append(self.common_logs[at] if at < len(self.common) and self.common[at] == key else np.nan)
-        self.keys.append(key)
+        self.keys.append(_key(word))
         self.spelt.append(self.speller.spell(word))
         self[word] = number = len(self.spelt) - 1
         return number
 
-    def trim(self) -> None:
-        if len(self) >= TABLED:
+    def columns(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and logs of all numbers; the words met since the last call are looked up together."""
+        keys, k = np.array(self.keys, np.int64), len(self.logs)
+        if k < len(keys):
+            at = np.minimum(np.searchsorted(self.common, keys[k:]), max(0, len(self.common) - 1))
+            found = np.full(len(at), np.nan)
+            if len(self.common):
+                hit = self.common[at] == keys[k:]
+                found[hit] = self.common_logs[at[hit]]
+            self.logs.frombytes(found.tobytes())
+        return keys, np.array(self.logs)
+
+    def trim(self, most: int = TABLED) -> None:
+        if len(self) >= most:
             self.clear()
             self.spelt, self.keys, self.logs = [], array("q"), array("d")
 
@@ -383,20 +472,23 @@ def _score(model: Model, keys: np.ndarray, logs: np.ndarray, end_log: float):
                 part = batch.slice(k, 256)
                 n, known, base, rare_keys, rare_counts, packed = [], [], [], [], [], []
                 table_.trim()
+                lines = []
                 for value in part.column(2):
                     text = value.as_py() or ""
                     line = text.encode().lower()
                     numbers = list(map(table_.__getitem__, line.split()))
                     ids = table_.speller.of_text(text) if b"<|" in line else b"".join(map(table_.spelt.__getitem__, numbers))
                     packed.append(ids + _END)
-                    at = np.array(numbers, np.int64)
-                    found = np.frombuffer(table_.logs)[at] if len(at) else np.zeros(0)
+                    lines.append(np.array(numbers, np.int64))
+                word_keys, word_logs = table_.columns()
+                for at in lines:
+                    found = word_logs[at]
                     lacks = np.isnan(found)
                     rare, times = np.unique(at[lacks], return_counts=True)
                     n.append(len(at) + 1)
                     known.append(len(at) - int(lacks.sum()) + 1)
                     base.append(float(found[~lacks].sum()) + end_log)
-                    rare_keys.append(np.frombuffer(table_.keys, np.int64)[rare] if len(rare) else rare)
+                    rare_keys.append(word_keys[rare])
                     rare_counts.append(times)
                 scores = scorer.log10([np.frombuffer(p, "<u4") for p in packed])
                 rows = np.arange(row, row + part.num_rows)
@@ -417,7 +509,7 @@ _SCORED = (
 )
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = len(ROUNDS)) -> DataFrame:
     """Base and model scores of every document, learnt from those not held out."""
     picked = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text")

@@ -425,7 +425,7 @@ def test_base_scores_equal_brute_force(spark, texts, sf_dir):
 
 def test_model_learns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    learnt, untrained = (attention_lm.score(docs, rounds=n).where("held_out").agg(F.sum("score")).first()[0] for n in (attention_lm.ROUNDS, 0))
+    learnt, untrained = (attention_lm.score(docs, rounds=n).where("held_out").agg(F.sum("score")).first()[0] for n in (len(attention_lm.ROUNDS), 0))
     assert learnt > 0.92 * untrained
 
 
