@@ -3,18 +3,23 @@
 Every three consecutive lines of a document form a window, known by a 128-bit
 hash. A window that occurs again anywhere (in a later document, or further down
 in its own) has later occurrences; the lines these cover are merged into spans
-and removed. Occurrences are ordered by (document id, line number). A line is
-removed only if the same line stands at an earlier place, so the first
-occurrence of every line stays.
+and removed. Occurrences are ordered by (document id, row, line number), where the
+row is the place of a document in the table. A line is removed only if the same
+line stands at an earlier place, so the first occurrence of every line stays.
+
+Rows are numbered once, in a table in the shared folder, so that all branches and
+all recomputed tasks see the same numbers.
 
 Windows meet in a group-by whose map side already folds copies, and later
 occurrences come from a join with the repeated windows only, which Spark can
 split where one window is very frequent.
 
 Defined cases: documents of fewer than three lines form no window and stay as
-they are, as do null texts and rows with a null id; rows that share an id count
-as one document; an empty table gives an empty result. Columns other than id and
-text pass through, and helper columns have names that input columns do not.
+they are, as do null texts and rows with a null id; rows that share an id, and
+rows repeated whole, are documents of their own, and the later ones lose what the
+earlier ones hold; a very long text gives one window a line and stays in one row;
+an empty table gives an empty result. Columns other than id and text pass
+through, and helper columns have names that input columns do not.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import table
+from tallyloom.llm.common import settle, table
 
 WINDOW = 3
 
@@ -31,21 +36,23 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
-    """(id, start) of every window occurrence that is not the first."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), _lines(F.col(text_col)).alias("lines"))
+def repeated_windows(docs: DataFrame, id_col: str, text_col: str, row_col: str, window: int = WINDOW) -> DataFrame:
+    """(row, start) of every window occurrence that is not the first."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(row_col).alias("row"), _lines(F.col(text_col)).alias("lines")
+    )
     starts = F.sequence(F.lit(0), F.size("lines") - window)
 
     def key(i: Column) -> Column:
         lines = [F.get("lines", i + k) for k in range(window)]
         return F.struct(F.xxhash64(*lines).alias("h"), F.xxhash64(F.lit(1), *lines).alias("g"))
 
-    windows = rows.where(F.size("lines") >= window).select("id", F.posexplode(F.transform(starts, key)).alias("start", "w"))
-    windows = windows.select("id", "start", "w.h", "w.g")
-    place = F.struct("id", "start")
+    windows = rows.where(F.size("lines") >= window).select("id", "row", F.posexplode(F.transform(starts, key)).alias("start", "w"))
+    windows = windows.select("id", "row", "start", "w.h", "w.g")
+    place = F.struct("id", "row", "start")
     first = windows.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     first = first.where(F.col("first") < F.col("last")).drop("last")
-    return windows.join(first, ["h", "g"]).where(place > F.col("first")).select("id", "start")
+    return windows.join(first, ["h", "g"]).where(place > F.col("first")).select("row", "start")
 
 
 def dedup(
@@ -57,15 +64,17 @@ def dedup(
     """
     mark = next(m for m in ("_dup", *(f"_dup{k}" for k in range(99))) if not any(c.startswith(m) for c in docs.columns))
     n_lines, n_removed, spans = f"{mark}_lines", f"{mark}_removed", f"{mark}_spans"
-    later = repeated_windows(docs, id_col, text_col, window)
-    covered = later.groupBy("id").agg(
+    row = f"{mark}_row"
+    numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    later = repeated_windows(numbered, id_col, text_col, row, window).withColumnRenamed("row", row)
+    covered = later.groupBy(row).agg(
         F.sort_array(
             F.array_distinct(
                 F.flatten(F.transform(F.collect_set("start"), lambda s: F.sequence(s, s + window - 1)))
             )
         ).alias(f"{mark}_covered")
-    ).withColumnRenamed("id", f"{mark}_id")
-    out = docs.join(covered, F.col(id_col) == F.col(f"{mark}_id"), "left").drop(f"{mark}_id")
+    )
+    out = numbered.join(covered, row, "left")
     out = out.withColumn(f"{mark}_all", _lines(F.col(text_col)))
     gone, lines = F.col(f"{mark}_covered"), F.col(f"{mark}_all")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
