@@ -3,15 +3,18 @@
 One pass of an Aho-Corasick automaton over the whole text finds anchors: at
 signs, plus signs, digits, URL schemes and identifier cues. Local parsers expand
 each anchor to its boundaries and validate it; what lies between anchors is
-never looked at again, and a parser starts behind its kind's previous match, so
-the work is linear in the text.
+never looked at again. A parser starts behind its kind's previous match, and ends
+found once (of a URL, the next slash or at sign) are kept for the anchors before
+them, so the work is linear in the text. Cues and schemes match whatever the case.
 
 Base kinds: email, ip, card, phone. Further kinds: address (a URL that names a
 user or an IPv4 host, or a mailto), account (a value behind an identifier cue).
 Offsets count code points; the end is exclusive.
 
 Defined cases: null and empty texts have no spans; null ids and repeated rows
-are kept, one result row each; extra columns pass through ``redact`` untouched.
+are kept, one result row each; a very long text is read in one pass without a copy
+of its parts; an empty table gives an empty result; extra columns, also of clashing
+names, pass through ``redact`` untouched.
 """
 
 from __future__ import annotations
@@ -56,14 +59,20 @@ def automaton() -> ahocorasick.Automaton:
     found.add_word("@", ("at", 1))
     found.add_word("+", ("plus", 1))
     for word in (*SCHEMES, *CUES):
-        kind = "scheme" if word in SCHEMES else "cue"
-        for form in {word, word.upper(), word.capitalize()}:
-            found.add_word(form, (kind, len(word)))
-    found.add_word(KEY_PREFIX, ("key", len(KEY_PREFIX)))
+        found.add_word(word, ("scheme" if word in SCHEMES else "cue", len(word)))
+    found.add_word(KEY_PREFIX.lower(), ("key", len(KEY_PREFIX)))
     found.make_automaton()
     return found
 
 
+_LOWER = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
+def _lower(text: str) -> str:
+    """``text`` with ASCII letters in lower case; every code point stays at its place."""
+    return text.lower() if text.isascii() else text.translate(_LOWER)
+
+
 def _run(text: str, at: int, allowed: frozenset) -> int:
     end = len(text)
     while at < end and text[at] in allowed:
@@ -129,16 +138,38 @@ def _phone(text: str, at: int) -> tuple[int, int] | None:
     return (at, end) if end > at + 3 else None
 
 
-def _address(text: str, start: int, end: int) -> tuple[int, int] | None:
-    stop = end
-    while stop < len(text) and text[stop] not in _URL_END:
-        stop += 1
-    while stop > end and text[stop - 1] in ".,;:!?)":
-        stop -= 1
-    rest = text[end:stop]
-    host = rest.split("/", 1)[0]
-    if text[start:end].lower() == "mailto:":
-        return (start, stop) if "@" in host else None
+class _Next:
+    """Places ahead in a text for positions that never fall: each part of the text is searched once."""
+
+    def __init__(self, text: str):
+        self.text, self.run, self.trimmed, self.found = text, -1, -1, {}
+
+    def of(self, char: str, at: int) -> int:
+        """The first ``char`` from ``at`` on, or the text's length."""
+        if self.found.get(char, -1) < at:
+            k = self.text.find(char, at)
+            self.found[char] = len(self.text) if k < 0 else k
+        return self.found[char]
+
+    def url_end(self, at: int) -> int:
+        """Where the URL around ``at`` ends, less closing punctuation."""
+        if self.run < at:
+            stop = at
+            while stop < len(self.text) and self.text[stop] not in _URL_END:
+                stop += 1
+            self.run = stop
+            while stop > at and self.text[stop - 1] in ".,;:!?)":
+                stop -= 1
+            self.trimmed = stop
+        return max(at, self.trimmed)
+
+
+def _address(text: str, start: int, end: int, ahead: _Next) -> tuple[int, int] | None:
+    stop = ahead.url_end(end)
+    host_end = min(stop, ahead.of("/", end))
+    if _lower(text[start:end]) == "mailto:":
+        return (start, stop) if ahead.of("@", end) < host_end else None
+    host = text[end:host_end]
     numbers = host.rpartition("@")[2].split(":")[0].split(".")
     is_ip = len(numbers) == 4 and all(n.isascii() and n.isdigit() and len(n) < 4 and int(n) <= 255 for n in numbers)
     return (start, stop) if "@" in host or is_ip else None
@@ -163,8 +194,9 @@ def _account(text: str, start: int, end: int) -> tuple[int, int] | None:
 def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans of every kind, in order of their start."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
+    ahead = _Next(text)
     email_end = ip_end = card_end = phone_end = address_end = account_end = 0
-    for last, (kind, length) in automaton().iter(text):
+    for last, (kind, length) in automaton().iter(_lower(text)):
         start = last + 1 - length
         if kind == "digit":
             if start >= ip_end:
@@ -184,16 +216,16 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 if 8 <= sum(c in _DIGITS for c in text[start:phone_end]) <= 15:
                     found["phone"].append(span)
         elif kind == "scheme":
-            if start >= address_end and (span := _address(text, start, last + 1)):
+            if start >= address_end and (span := _address(text, start, last + 1, ahead)):
                 found["address"].append(span)
                 address_end = span[1]
         elif kind == "cue":
             if start >= account_end and (span := _account(text, start, last + 1)):
                 found["account"].append(span)
                 account_end = span[1]
-        elif start >= account_end:
+        elif start >= account_end and text.startswith(KEY_PREFIX, start) and not (start and text[start - 1] in _ALNUM):
             stop = _run(text, start, _UPPER_ALNUM)
-            if stop - start == KEY_LENGTH and not (start and text[start - 1] in _ALNUM):
+            if stop - start == KEY_LENGTH:
                 found["account"].append((start, stop))
                 account_end = stop
     return found
