@@ -7,16 +7,21 @@ within 3 + ``THRESHOLD`` of the same anchor. Each distinct fingerprint is
 therefore copied to every anchor within that reach (about 22 copies) and
 fingerprints are compared inside an anchor only.
 
-Equal fingerprints are one row from the start, so groups of copies cost nothing.
-An anchor sends out the edges of a spanning forest instead of pairs. An anchor
-with more than ``ANCHOR_ROWS`` fingerprints is not compared in one task: its
-fingerprints are dealt to the 65 points within one bit of them, where two
-fingerprints meet exactly if they differ in two bits or fewer; at most 65
-distinct fingerprints can meet at a point, so no group grows.
+An anchor with more than ``GROUP_ROWS`` fingerprints is dealt again: each of its
+fingerprints goes to the anchors of the next block of bits (23 more, then the
+last 18, whose anchors are the code shortened to that length), and the group is
+then the pair or triple of anchors. Two fingerprints that may be linked meet in
+every block, so no link is lost however often a group is dealt. What is still
+large after the last block is compared block by block in bounded memory.
+
+Equal fingerprints are one node from the start, so groups of copies cost nothing.
+A group sends out the edges of a spanning forest instead of pairs.
 
 Defined cases: null and empty texts have the fingerprint zero and are linked
-like any other; rows with a null id get their component's smallest id, or null
-if it has none; repeated rows give repeated result rows.
+like any other; rows with a null id link others like any row and get their
+component's smallest id, or null if it has none; repeated rows give repeated
+result rows; a very long text is hashed whole; an empty table gives an empty
+result; other columns, also of clashing names, are not read.
 """
 
 from __future__ import annotations
@@ -36,13 +41,15 @@ from tallyloom.llm.components import component_labels
 THRESHOLD = 2
 SHINGLE = 3
 SEED = 42
-#: Fingerprints compared in one task; a crowded anchor goes the other exact way.
-ANCHOR_ROWS = 200_000
-#: Up to so many fingerprints all are compared with all in numpy; beyond, by shared one-bit neighbours.
-DENSE_ROWS = 6_000
+#: Fingerprints of a group that are compared without dealing it again.
+GROUP_ROWS = 4_000
+#: Comparisons held in memory at a time.
+COMPARED = 4_000_000
 
-#: Fixed values of the Golay code: length, generator polynomial and its degree, covering radius.
-LENGTH, GENERATOR, DEGREE, RADIUS = 23, 0xC75, 11, 3
+#: Fixed values of the Golay code: length, generator polynomial and its degree.
+LENGTH, GENERATOR, DEGREE = 23, 0xC75, 11
+#: First bit and number of bits of the blocks that are dealt one after the other.
+BLOCKS = ((0, 23), (23, 23), (46, 18))
 
 
 def fingerprint_bytes(text: str, shingle: int = SHINGLE) -> bytes:
@@ -84,25 +91,36 @@ def _remainder(v: int) -> int:
 
 
 @cache
-def cover(reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Remainders of all 23-bit words' halves, and the error patterns up to ``reach`` by remainder."""
-    columns = np.array([_remainder(1 << b) for b in range(LENGTH)])
-    words = np.arange(1 << LENGTH, dtype=np.uint32)
-    light = words[np.bitwise_count(words) <= reach]
-    remainder = np.zeros(len(light), np.int64)
-    for b in range(LENGTH):
-        remainder ^= np.where(light >> b & 1, columns[b], 0)
+def cover(length: int, threshold: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Remainders of single bits, and error patterns by remainder, of the code shortened to ``length`` bits.
+
+    Patterns reach ``threshold`` bits beyond the covering radius; without a threshold they end at the radius.
+    """
+    columns = np.array([_remainder(1 << b) for b in range(length)])
+    every = np.arange(1 << length, dtype=np.uint32)
+    weight = np.bitwise_count(every)
+
+    def light(most: int) -> tuple[np.ndarray, np.ndarray]:
+        words = every[weight <= most]
+        remainder = np.zeros(len(words), np.int64)
+        for b in range(length):
+            remainder ^= np.where(words >> b & 1, columns[b], 0)
+        return words, remainder
+
+    radius = next(r for r in range(length) if len(np.unique(light(r)[1])) == 1 << DEGREE)
+    words, remainder = light(radius + (threshold or 0))
     order = np.argsort(remainder, kind="stable")
     starts = np.searchsorted(remainder[order], np.arange((1 << DEGREE) + 1))
-    return columns, light[order].astype(np.int64), starts
+    return columns, words[order].astype(np.int64), starts
 
 
-def anchors_of(prints: np.ndarray, reach: int = RADIUS + THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """(row, anchor) for every anchor within ``reach`` of each fingerprint's covered bits."""
-    columns, patterns, starts = cover(reach)
-    covered = prints & ((1 << LENGTH) - 1)
+def anchors_of(prints: np.ndarray, block: int = 0, threshold: int | None = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """(row, anchor) for every anchor of a block within reach of each fingerprint's bits there."""
+    low, length = BLOCKS[block]
+    columns, patterns, starts = cover(length, threshold)
+    covered = prints >> low & ((1 << length) - 1)
     remainder = np.zeros(len(prints), np.int64)
-    for b in range(LENGTH):
+    for b in range(length):
         remainder ^= np.where(covered >> b & 1, columns[b], 0)
     n = starts[remainder + 1] - starts[remainder]
     row = np.repeat(np.arange(len(prints)), n)
@@ -110,96 +128,75 @@ def anchors_of(prints: np.ndarray, reach: int = RADIUS + THRESHOLD) -> tuple[np.
     return row, (covered[row] ^ patterns[starts[remainder][row] + within]) >> DEGREE
 
 
-def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints, reps = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        row, anchor = anchors_of(prints)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(anchor.astype(np.int32)), pa.array(prints[row]), pa.array(reps[row])], names=["anchor", "fp", "rep"]
-        )
-
-
-def _meeting_points(prints: np.ndarray) -> np.ndarray:
-    """Each fingerprint and its 64 one-bit neighbours, as one column per fingerprint."""
-    flips = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)])
-    return prints.view(np.uint64)[None, :] ^ flips[:, None]
-
-
-def links(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that connect whatever differs in at most two bits (all such pairs, or stars at meeting points)."""
-    n = len(prints)
-    values = prints.view(np.uint64)
-    if n <= DENSE_ROWS:
-        left, right, step = [], [], max(1, 4_000_000 // max(n, 1))
-        for k in range(0, n, step):
-            i, j = np.nonzero(np.bitwise_count(values[k : k + step, None] ^ values[None, :]) <= THRESHOLD)
-            keep = i + k < j
-            left.append(i[keep] + k)
-            right.append(j[keep])
-        return np.concatenate(left or [np.zeros(0, int)]), np.concatenate(right or [np.zeros(0, int)])
-    points = _meeting_points(prints).ravel()
-    order = np.argsort(points, kind="stable")
-    points, owner = points[order], np.tile(np.arange(n), 65)[order]
-    first = np.concatenate([[True], points[1:] != points[:-1]])
-    centre = owner[np.maximum.accumulate(np.where(first, np.arange(len(points)), 0))]
-    return centre[~first], owner[~first]
-
-
-def forest(prints: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (rep, smallest rep of its component) of the fingerprints of one anchor."""
-    order = np.argsort(reps)
-    prints, reps = prints[order], reps[order]
-    i, j = links(prints)
+def _deal(block: int):
+    """Copies (group, fp) of rows (group, fp) to the anchors of a block; a group holds the anchors so far, 12 bits each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 5_000):
+                groups, prints = (c.to_numpy(zero_copy_only=False) for c in batch.slice(k, 5_000).columns)
+                row, anchor = anchors_of(prints, block)
+                yield pa.RecordBatch.from_arrays([pa.array(groups[row] << 12 | anchor), pa.array(prints[row])], names=["group", "fp"])
+
+    return run
+
+
+def links(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of fingerprints within the threshold, in blocks."""
+    values, step = prints.view(np.uint64), max(1, COMPARED // max(len(prints), 1))
+    for k in range(0, len(prints), step):
+        i, j = np.nonzero(np.bitwise_count(values[k : k + step, None] ^ values[None, k:]) <= THRESHOLD)
+        keep = i < j
+        yield i[keep] + k, j[keep] + k
+
+
+def forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (fingerprint, smallest one of its component) of one group."""
+    prints = np.sort(prints)
     label = np.arange(len(prints))
-    while True:
-        before = label.copy()
-        np.minimum.at(label, i, label[j])
-        np.minimum.at(label, j, label[i])
-        label = label[label]
-        if (label == before).all():
-            moved = label != np.arange(len(label))
-            return reps[moved], reps[label[moved]]
+    for i, j in links(prints):
+        while len(i):
+            a, b = label[i], label[j]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while (label[label] != label).any():
+                label = label[label]
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+    moved = label != np.arange(len(label))
+    return prints[moved], prints[label[moved]]
 
 
 def _compare(group: pa.Table) -> pa.Table:
-    a, b = forest(group.column("fp").to_numpy(), group.column("rep").to_numpy())
+    a, b = forest(group.column("fp").to_numpy())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _deal_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints, reps = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        points = _meeting_points(prints)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(points.ravel().view(np.int64)), pa.array(np.tile(reps, len(points)))], names=["point", "rep"]
-        )
-
-
-def near_edges(distinct: DataFrame, anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
-    """Edges (a, b) over the ``rep`` of distinct fingerprints (fp, rep)."""
-    dealt = distinct.select("fp", "rep").mapInArrow(_deal, "anchor int, fp long, rep long")
-    counts = dealt.groupBy("anchor").count()
-    crowded = [r[0] for r in counts.where(F.col("count") > anchor_rows).select("anchor").collect()]  # of 4,096
-    calm = dealt.where(~F.col("anchor").isin(crowded)) if crowded else dealt
-    edges = calm.groupBy("anchor").applyInArrow(_compare, "a long, b long")
-    if crowded:
-        rest = dealt.where(F.col("anchor").isin(crowded)).select("fp", "rep").distinct()
-        met = rest.mapInArrow(_deal_points, "point long, rep long").groupBy("point").agg(F.collect_set("rep").alias("m"))
-        edges = edges.union(met.where(F.size("m") > 1).select(F.explode("m").alias("a"), F.array_min("m").alias("b")))
-    return edges
+def near_edges(distinct: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Edges (a, b) that connect the distinct fingerprints ``fp`` that links connect."""
+    crowded, edges = distinct.select(F.lit(0).cast("long").alias("group"), "fp"), None
+    for block in range(len(BLOCKS)):
+        dealt = settle(crowded.mapInArrow(_deal(block), "group long, fp long"), f"dealt-{block}")
+        sizes = settle(dealt.groupBy("group").count().where(F.col("count") > 1), f"sizes-{block}")
+        large = sizes.where(F.col("count") > group_rows)
+        last = block == len(BLOCKS) - 1 or large.isEmpty()
+        calm = dealt.join(sizes if last else sizes.where(F.col("count") <= group_rows), "group", "left_semi")
+        found = calm.groupBy("group").applyInArrow(_compare, "a long, b long")
+        edges = found if edges is None else edges.union(found)
+        if last:
+            return edges
+        crowded = dealt.join(large, "group", "left_semi")
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-    anchor_rows: int = ANCHOR_ROWS,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row; component_id is the smallest id that links reach."""
     prints = settle(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    labels = component_labels(near_edges(distinct.where("rep is not null"), anchor_rows))
-    by_print = distinct.join(labels, F.col("rep") == F.col("node"), "left").select(
-        "fp", F.coalesce("label", "rep").alias("component_id")
-    )
+    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    labels = component_labels(near_edges(distinct, group_rows))
+    linked = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("label", "fp").alias("root"), "least")
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_print = linked.join(smallest, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
