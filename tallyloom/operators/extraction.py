@@ -252,22 +252,66 @@ def is_truncated(n_rows: Column, n_columns: Column, salvaged: Column, baseline:
 _ROWS = re.compile(r'"(?:rows|invoices)"\s*:\s*\[')
 
 
+#: What matters when braces are counted: whole strings, braces, and the bracket that ends the array.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\]]', re.S)
+
+
 def salvage_objects(text: str | None) -> list[str]:
-    """Complete objects of the ``rows`` or ``invoices`` array of a JSON text that may break off."""
+    """Whole objects of the ``rows`` or ``invoices`` array of a JSON text that may break off.
+
+    Elements that are no valid object are passed over; the array ends at its bracket or where an object has no end.
+    """
     start = _ROWS.search(text or "")
-    if not start:
-        return []
-    decoder, at, out = json.JSONDecoder(), start.end(), []
-    while True:
-        while at < len(text) and text[at] in " \t\r\n,":
-            at += 1
-        if at >= len(text) or text[at] != "{":
-            return out
-        try:
-            value, at = decoder.raw_decode(text, at)
-        except ValueError:
-            return out
-        out.append(json.dumps(value, sort_keys=True))
+    depth, begin, out = 0, 0, []
+    for token in _TOKEN.finditer(text, start.end()) if start else ():
+        mark = token.group()
+        if mark == "{":
+            begin = begin if depth else token.start()
+            depth += 1
+        elif mark == "}" and depth:
+            depth -= 1
+            if not depth:
+                try:
+                    out.append(json.dumps(json.loads(text[begin : token.end()]), sort_keys=True))
+                except ValueError:
+                    continue
+        elif mark == "]" and not depth:
+            break
+    return out
+
+
+def salvaged_header(text: Column, field: str) -> Column:
+    """A header field's text, as it stands before the rows of a JSON text that may break off; null without one."""
+    head = F.regexp_extract(text, r'(?s)^(.*?)"(?:rows|invoices)"', 1)
+    return F.nullif(F.regexp_extract(head, rf'"{field}"\s*:\s*"([^"]*)"', 1), F.lit(""))
+
+
+NESTED_ROW = (
+    "raw map<string,string>, mapped struct<invoice_number:string,date:string,due_date:string,charges:string,amount_due:string,"
+    "ro_number:string,po_number:string,description:string,credits:string,shop:string>"
+)
+
+
+def nested_invoices(rows: DataFrame, column: str = "row_json") -> DataFrame:
+    """``rows`` with an ``invoice`` struct from nested rows {raw, mapped}; without ``mapped`` the raw columns, or the row itself, count."""
+    parsed = F.from_json(F.col(column), NESTED_ROW)
+    flat = F.from_json(F.col(column), "map<string,string>")
+    raw = F.when(F.size(F.coalesce(parsed["raw"], F.create_map().cast("map<string,string>"))) > 0, parsed["raw"])
+    filled = F.coalesce(*[parsed["mapped"][c] for c in _NESTED]).isNotNull()
+    loose = F.coalesce(raw, flat)
+
+    def of(name: str) -> Column:
+        return F.when(filled, parsed["mapped"][name]).otherwise(loose[name])
+
+    return rows.withColumn("invoice", F.struct(
+        of("invoice_number").alias("invoice_number"), of("date").alias("invoice_date"), of("due_date").alias("due_date"),
+        of("charges").try_cast("double").alias("amount"), of("amount_due").try_cast("double").alias("outstanding_amount"),
+        of("ro_number").alias("ro_number"), of("po_number").alias("po_number"),
+        F.coalesce(F.to_json(raw), of("description")).alias("description"), of("credits").try_cast("double").alias("credit"), of("shop").alias("shop"),
+    ))
+
+
+_NESTED = ("invoice_number", "date", "due_date", "charges", "amount_due", "ro_number", "po_number", "description", "credits", "shop")
 
 
 def salvage(texts: DataFrame, column: str = "text") -> DataFrame:

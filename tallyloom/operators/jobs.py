@@ -75,14 +75,27 @@ def claimable(jobs: DataFrame) -> DataFrame:
     return jobs.where("status = 'PENDING'").join(busy, "pdf_filename", "left_anti").agg(F.min("id").alias("id"))
 
 
-def active(jobs: DataFrame) -> DataFrame:
-    return jobs.where(F.col("status").isin("PENDING", "PROCESSING")).select("job_id", "pdf_filename", "status")
+_JOB = ("job_id", "pdf_filename", "batch_id", "status", "submitted_at", "completed_at")
 
 
 def history(jobs: DataFrame) -> DataFrame:
-    """Jobs with their place in the history, newest first."""
-    counts = jobs.groupBy(F.date_trunc("day", "submitted_at").alias("day"), "status").agg(F.count("*").alias("n"))
-    return counts.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "status", "n")
+    """All jobs, newest first; jobs of one time go by their id."""
+    return jobs.select(*_JOB).orderBy(F.col("submitted_at").desc(), "job_id")
+
+
+def active(jobs: DataFrame) -> DataFrame:
+    """Jobs that still concern somebody, newest first: not ended, or failed."""
+    return history(jobs.where(F.col("status").isin("PENDING", "PROCESSING", "FAILED")))
+
+
+def daily_counts(jobs: DataFrame) -> DataFrame:
+    """Jobs by day of submission and status."""
+    return jobs.groupBy(F.date_format("submitted_at", "yyyy-MM-dd").alias("day"), "status").agg(F.count("*").alias("n"))
+
+
+def statement_documents(jobs: DataFrame, name: str = "pdf_filename") -> DataFrame:
+    """Jobs whose file is a PDF by its name, whatever the case."""
+    return jobs.where(F.lower(name).endswith(".pdf"))
 
 
 def error_tail(text: Column, n: int = 4000) -> Column:
@@ -99,6 +112,47 @@ def error_class(success: Column, error: Column) -> Column:
     return out.otherwise("UNKNOWN_ERROR")
 
 
+#: What a provider's error says to a reader; marks in lower case and marks as they are, first match wins.
+ERROR_MESSAGES = [
+    ("rate limited — try again shortly", ["rate_limit"], ["429"]),
+    ("Claude API overloaded — try again shortly", ["overloaded_error"], ["529"]),
+    ("invalid API key", ["authentication_error", "invalid x-api-key"], ["401"]),
+    ("permission denied — check API key", ["permission_error"], ["403"]),
+    ("request timed out", ["timeout", "timed out"], []),
+    ("network error", ["connection", "network"], []),
+]
+
+
+def error_message(error: Column) -> Column:
+    """A short message for a provider's error; an unknown one is its first line, 150 characters at most."""
+    out = F.when(error.isNull() | (error == ""), "unknown error")
+    for message, marks, exact in ERROR_MESSAGES:
+        hit = F.lit(False)
+        for mark in marks:
+            hit = hit | F.lower(error).contains(mark)
+        for mark in exact:
+            hit = hit | error.contains(mark)
+        out = out.when(hit, message)
+    return out.otherwise(F.substring(F.split_part(error, F.lit("\n"), F.lit(1)), 1, 150))
+
+
+def logged_statement(text: Column) -> Column:
+    """The statement id that a job's log text names first, or null."""
+    return F.nullif(F.regexp_extract(text, r"Statement ID:\s*(\S+)", 1), F.lit(""))
+
+
+def ai_activity(audit: DataFrame) -> DataFrame:
+    """Calls of each statement, newest first: outcome, kind, provider, model and seconds taken."""
+    outcome = F.when(F.col("interaction_type") == "ROW_SKIP", "SKIP").when(F.col("success"), "OK").otherwise("FAIL")
+    took = F.when(F.col("latency_ms") > 0, F.concat(F.format_string("%.1f", F.col("latency_ms") / 1000), F.lit("s"))).otherwise("N/A")
+    newest = Window.partitionBy("statement_id").orderBy(F.col("request_timestamp").desc(), "audit_id")
+    return audit.select(
+        "statement_id", F.row_number().over(newest).alias("place"), outcome.alias("outcome"), "interaction_type",
+        F.coalesce(F.nullif(F.col("ai_provider"), F.lit("")), F.lit("unknown")).alias("provider"),
+        F.coalesce(F.nullif(F.col("model"), F.lit("")), F.lit("unknown")).alias("model"), took.alias("latency"),
+    )
+
+
 def cache_lookup(cache: DataFrame) -> DataFrame:
     """Newest entry of each document that holds rows."""
     newest = Window.partitionBy("document_hash").orderBy(F.col("cached_at").desc(), F.col("job_id").desc())

@@ -8,9 +8,15 @@ the amount. Within a statement lines go in ``seq`` order and use ledger rows up.
 Lines are decided by joins wherever order cannot matter: a ledger row is
 contested if two lines of the statement have an edge to it, and a line none of
 whose rows is contested neither affects nor notices any other line. The rest is
-folded in order, one statement at a time. Level-2 candidates are found through
-buckets of the amount, so the join's size follows the number of near amounts
-and not the square of a vendor's rows.
+folded in order, one statement at a time. Level-2 candidates are looked for only
+where a line may get there: it has no ledger row of its number, or another line
+has an edge to each of them. They are found through buckets of the amount, so the
+join's size follows the number of near amounts and not the square of a vendor's
+rows. Edges are written to the shared folder once.
+
+The number of either side is the normalised one where there is one, else the raw
+one. Null and empty numbers, repair orders and amounts find nothing; lines without
+any edge are missing invoices; an empty side gives exceptions only, or nothing.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom import config
+from tallyloom.sources.tables import settle
 
 MONEY = "decimal(18,2)"
 LINE = ["statement_id", "seq"]
@@ -58,13 +65,20 @@ def _bucket(amount: Column) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value) / 50) * 100).cast("int")
 
 
+def match_key(rows: DataFrame) -> Column:
+    """The normalised invoice number, or the raw one where that is null or empty."""
+    raw = F.col("invoice_number")
+    normalised = F.nullif(F.col("invoice_number_normalized"), F.lit("")) if "invoice_number_normalized" in rows.columns else F.lit(None).cast("string")
+    return F.nullif(F.coalesce(normalised, raw), F.lit(""))
+
+
 def level1_edges(lines: DataFrame, ledger: DataFrame) -> DataFrame:
     """Lines with the vendor's ledger rows of the same invoice number, whatever the amount."""
     e = ledger.select(
-        "vendor_id", "invoice_number", "erp_seq", F.col("outstanding_amount").alias("erp_amount"),
+        "vendor_id", match_key(ledger).alias("match_key"), "erp_seq", F.col("outstanding_amount").alias("erp_amount"),
         F.col("invoice_number").alias("erp_invoice"),
     )
-    joined = lines.where("invoice_number is not null and invoice_number <> ''").join(e, ["vendor_id", "invoice_number"])
+    joined = lines.withColumn("match_key", match_key(lines)).join(e, ["vendor_id", "match_key"])
     return joined.select(
         *LINE, F.lit(1).alias("level"), "erp_seq", "erp_amount", "erp_invoice",
         within_tolerance(F.col("outstanding_amount"), F.col("erp_amount")).alias("ok"),
@@ -133,20 +147,47 @@ def _decided(edges: DataFrame) -> DataFrame:
     )
 
 
+def _contested(edges: DataFrame) -> DataFrame:
+    """Every ledger row that a statement's lines have edges to, and whether there are two such lines."""
+    return edges.groupBy("statement_id", "erp_seq").agg((F.min("seq") < F.max("seq")).alias("contested"))
+
+
+def needed_edges(lines: DataFrame, ledger: DataFrame) -> DataFrame:
+    """All level-1 edges, and the level-2 edges of the lines that may need them.
+
+    A line with an uncontested ledger row of its number never gets to level 2. New
+    level-2 edges can contest more rows, so lines are added until none is left to add.
+    """
+    first = settle(level1_edges(lines, ledger), "level1")
+    second = settle(level2_edges(lines.join(first.select(*LINE).distinct(), LINE, "left_anti"), ledger), "level2")
+    edges, tried = first.unionByName(second), None
+    while True:
+        stuck = first.join(_contested(edges), ["statement_id", "erp_seq"]).groupBy(*LINE).agg(F.min("contested").alias("all"))
+        stuck = stuck.where("all").select(*LINE)
+        stuck = settle(stuck if tried is None else stuck.join(tried, LINE, "left_anti"), "stuck")
+        if stuck.isEmpty():
+            return edges
+        tried = stuck if tried is None else tried.unionByName(stuck)
+        edges = edges.unionByName(settle(level2_edges(lines.join(stuck, LINE, "left_semi"), ledger), "level2"))
+
+
 def match(lines: DataFrame, ledger: DataFrame) -> DataFrame:
     """Every line with its level and ledger row, or its exception reason.
 
     ``lines``: statement_id, seq, vendor_id, invoice_number, ro_number, outstanding_amount and more.
-    ``ledger``: vendor_id, erp_seq, invoice_number, ro_number, outstanding_amount.
+    ``ledger``: vendor_id, erp_seq, invoice_number, ro_number, outstanding_amount. Either side may
+    have invoice_number_normalized.
     """
-    edges = level1_edges(lines, ledger).unionByName(level2_edges(lines, ledger))
-    rivals = edges.groupBy("statement_id", "erp_seq").agg((F.countDistinct("seq") > 1).alias("contested"))
-    marked = edges.join(rivals, ["statement_id", "erp_seq"])
+    edges = needed_edges(lines, ledger)
+    marked = edges.join(_contested(edges), ["statement_id", "erp_seq"])
     line = marked.groupBy(*LINE).agg(F.max("contested").alias("folded"))
-    marked = marked.drop("contested").join(line, LINE)
+    marked = settle(marked.drop("contested").join(line, LINE), "marked")
     decided = _decided(marked.where(~F.col("folded")))
     folded = marked.where("folded").drop("folded").groupBy("statement_id").applyInArrow(_fold, _DECISION)
-    decisions = decided.unionByName(folded)
+    return _stated(lines, decided.unionByName(folded))
+
+
+def _stated(lines: DataFrame, decisions: DataFrame) -> DataFrame:
     reason = F.when(F.col("level").isNull(), F.coalesce("reason", F.lit("Invoice Missing")))
     return lines.join(decisions, LINE, "left").withColumn("reason", reason).withColumn(
         "status", F.when(F.col("level").isNotNull(), "MATCHED").otherwise("EXCEPTION")
@@ -154,10 +195,6 @@ def match(lines: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def fold_all(lines: DataFrame, ledger: DataFrame) -> DataFrame:
-    """The same decisions by folding every statement whole; for comparison in tests."""
+    """The same decisions by folding every statement whole, over all edges; tests compare ``match`` with it."""
     edges = level1_edges(lines, ledger).unionByName(level2_edges(lines, ledger))
-    decisions = edges.groupBy("statement_id").applyInArrow(_fold, _DECISION)
-    reason = F.when(F.col("level").isNull(), F.coalesce("reason", F.lit("Invoice Missing")))
-    return lines.join(decisions, LINE, "left").withColumn("reason", reason).withColumn(
-        "status", F.when(F.col("level").isNotNull(), "MATCHED").otherwise("EXCEPTION")
-    )
+    return _stated(lines, edges.groupBy("statement_id").applyInArrow(_fold, _DECISION))

@@ -91,6 +91,12 @@ def file_title(source_file: Column) -> Column:
     return F.initcap(F.translate(stem, "_-", "  "))
 
 
+def breakdown(rows: DataFrame, key: str, label: Column) -> DataFrame:
+    """Counts of each label as ``label:n``, in order, comma-joined, for every ``key``."""
+    counts = rows.groupBy(key, label.alias("_label")).agg(F.count("*").alias("_n"))
+    return counts.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "_label", "_n"))), ",").alias("breakdown"))
+
+
 def exceptions_only_vendors(exceptions: DataFrame, summaries: DataFrame) -> DataFrame:
     """Orphan exceptions by source file, shaped like vendor cards."""
     source = F.coalesce(F.nullif(F.col("source_file"), F.lit("")), F.lit("Unknown source"))
@@ -116,15 +122,27 @@ def vendor_summaries(summaries: DataFrame, exceptions: DataFrame) -> DataFrame:
     return normal.select(*columns).unionByName(only.select(*columns))
 
 
+def vendor_cards(summaries: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """Every vendor's last run with its open exceptions by reason, ordered by name (null as empty)."""
+    opened = breakdown(open_only(exceptions), "statement_id", reason_label(F.col("exception_reason")))
+    cards = vendor_summaries(summaries, exceptions).join(opened, "statement_id", "left")
+    return cards.withColumnRenamed("breakdown", "reason_breakdown").orderBy(F.coalesce("vendor_name", F.lit("")))
+
+
+def of_file_title(exceptions: DataFrame, title: Column) -> DataFrame:
+    """Exceptions whose file has the display name ``title``."""
+    return exceptions.where(file_title(F.col("source_file")) == title)
+
+
 def open_list(exceptions: DataFrame, silver: DataFrame, now: Column, reason: str | None = None) -> DataFrame:
-    """Open exceptions with the line's repair order and their age; ``reason`` is missing, mismatch or anything for all."""
+    """Open exceptions with the line's invoice date and repair order, and their age; ``reason`` is missing, mismatch or anything for all."""
     chosen = {"missing": "Invoice Missing", "mismatch": "Amount Mismatch"}.get(reason or "")
     rows = open_only(exceptions)
     if chosen:
         rows = rows.where(F.col("exception_reason") == chosen)
-    lines = silver.select("statement_id", "seq", "ro_number")
+    lines = silver.select("statement_id", "seq", "invoice_date", "ro_number")
     return rows.join(lines, ["statement_id", "seq"], "left").select(
-        "exception_id", "statement_id", "vendor_id", "invoice_number", "exception_reason", "ro_number", "escalation_status",
+        "exception_id", "statement_id", "vendor_id", "invoice_number", "exception_reason", "invoice_date", "ro_number", "escalation_status",
         days_between(F.col("date_raised"), now).alias("days_open"),
     )
 
@@ -218,6 +236,26 @@ def statement_report(summaries: DataFrame, matched: DataFrame, exceptions: DataF
     )
 
 
+def report_rows(matched: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """The rows of every statement's report by section and place: matched by number, exceptions by status, reason and number."""
+    columns = ["section", "statement_id", "invoice_number", "statement_amount", "erp_amount", "detail"]
+    a = matched.withColumn("section", F.lit("matched")).withColumn("detail", F.concat(F.lit("L"), "level")).withColumn("_key", F.struct(F.lit("").alias("s"), F.lit("").alias("r")))
+    b = exceptions.withColumn("section", F.lit("exception")).withColumn("detail", F.concat_ws(":", "exception_status", "exception_reason"))
+    b = b.withColumn("_key", F.struct(F.col("exception_status").alias("s"), F.col("exception_reason").alias("r")))
+    rows = a.select(*columns, "_key", "seq").unionByName(b.select(*columns, "_key", "seq"))
+    order = Window.partitionBy("statement_id", "section").orderBy("_key", F.col("invoice_number").asc_nulls_first(), "seq")
+    return rows.withColumn("place", F.row_number().over(order)).select("place", *columns)
+
+
+def review_files(review: DataFrame) -> DataFrame:
+    """Files with pending review rows, their number and their categories; rows without a file are one group."""
+    counts = review.where("review_status = 'PENDING_REVIEW'").groupBy("source_file", "rejection_category").agg(F.count("*").alias("n"))
+    return counts.groupBy("source_file").agg(
+        F.sum("n").alias("pending_count"),
+        F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "rejection_category", "n"))), ",").alias("category_breakdown"),
+    )
+
+
 def review_vendors(review: DataFrame, group: str) -> DataFrame:
     """Pending review rows by group and category."""
     return review.where("review_status = 'PENDING_REVIEW'").groupBy(group, "rejection_category").agg(F.count("*").alias("n"))

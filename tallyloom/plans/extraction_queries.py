@@ -28,41 +28,21 @@ def _headers(v: Views):
 
 
 _HEADERS_SQL = f"hd AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber-1 AS INT) AS pos, {_HEADER_SQL}[CAST(l_partkey%9 AS INT)+1] AS header, l_partkey FROM lineitem)"
-#: Line items whose (order, line) occurs once, so that the first and last header are defined.
-_ONCE = "QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber)=1"
-
-
-def _once(df, *keys):
-    return df.groupBy(*keys).agg(*[F.first(c).alias(c) for c in df.columns if c not in keys], F.count("*").alias("_n")).where("_n = 1").drop("_n")
-
-
-_HEADERS_SQL = _HEADERS_SQL.replace(" FROM lineitem)", f" FROM lineitem {_ONCE})")
-add(
-    "map_columns_a", lambda v: extraction.map_columns_a(_once(_headers(v), "doc_id", "pos")),
-    f"""WITH {_HEADERS_SQL}, m AS (SELECT *, CASE header WHEN 'Invoice #' THEN 'invoice_number' WHEN 'Posting Date' THEN 'invoice_date' WHEN 'Amount Due' THEN 'outstanding_amount' WHEN 'Credits' THEN 'credit'
-    WHEN 'Amount' THEN 'amount' WHEN 'RO No' THEN 'ro_number' WHEN 'Notes' THEN 'description' WHEN 'Shop' THEN 'shop' END AS field FROM hd)
-    SELECT doc_id, field, arg_min(header, pos) AS header, min(pos) AS pos FROM m WHERE field IS NOT NULL GROUP BY ALL""",
-)
-add(
-    "map_columns_b", lambda v: extraction.map_columns_b(_once(_headers(v), "doc_id", "pos")),
-    f"""WITH {_HEADERS_SQL}, m AS (SELECT *, CASE header WHEN 'Invoice #' THEN 'invoice_number' WHEN 'Amount Due' THEN 'outstanding_amount' WHEN 'Amount' THEN 'amount'
-    WHEN 'RO No' THEN 'ro_number' WHEN 'Ref' THEN 'invoice_number' END AS field FROM hd), r AS (SELECT *, CASE WHEN field='amount' THEN -pos ELSE pos END AS k FROM m WHERE field IS NOT NULL)
-    SELECT doc_id, field, arg_max(header, k) AS header, arg_max(pos, k) AS pos FROM r GROUP BY ALL""",
-)
-#: The same over all line items; several at one position are settled by text.
-_ALL_HEADERS_SQL = _HEADERS_SQL.replace(f" {_ONCE})", ")")
-add(
-    "map_columns_a_all", lambda v: extraction.map_columns_a(_headers(v)),
-    f"""WITH {_ALL_HEADERS_SQL}, m AS (SELECT *, CASE header WHEN 'Invoice #' THEN 'invoice_number' WHEN 'Posting Date' THEN 'invoice_date' WHEN 'Amount Due' THEN 'outstanding_amount' WHEN 'Credits' THEN 'credit'
-    WHEN 'Amount' THEN 'amount' WHEN 'RO No' THEN 'ro_number' WHEN 'Notes' THEN 'description' WHEN 'Shop' THEN 'shop' END AS field FROM hd)
-    SELECT doc_id, field, header, pos FROM m WHERE field IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY pos, header)=1""",
-)
-add(
-    "map_columns_b_all", lambda v: extraction.map_columns_b(_headers(v)),
-    f"""WITH {_ALL_HEADERS_SQL}, m AS (SELECT *, CASE header WHEN 'Invoice #' THEN 'invoice_number' WHEN 'Amount Due' THEN 'outstanding_amount' WHEN 'Amount' THEN 'amount'
-    WHEN 'RO No' THEN 'ro_number' WHEN 'Ref' THEN 'invoice_number' END AS field FROM hd), r AS (SELECT *, CASE WHEN field='amount' THEN pos ELSE -pos END AS k FROM m WHERE field IS NOT NULL)
-    SELECT doc_id, field, header, pos FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY k, header)=1""",
-)
+#: All line items; several headers at one position are settled by text.
+for _name in ("map_columns_a", "map_columns_a_all"):
+    add(
+        _name, lambda v: extraction.map_columns_a(_headers(v)),
+        f"""WITH {_HEADERS_SQL}, m AS (SELECT *, CASE header WHEN 'Invoice #' THEN 'invoice_number' WHEN 'Posting Date' THEN 'invoice_date' WHEN 'Amount Due' THEN 'outstanding_amount' WHEN 'Credits' THEN 'credit'
+        WHEN 'Amount' THEN 'amount' WHEN 'RO No' THEN 'ro_number' WHEN 'Notes' THEN 'description' WHEN 'Shop' THEN 'shop' END AS field FROM hd)
+        SELECT doc_id, field, header, pos FROM m WHERE field IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY pos, header)=1""",
+    )
+for _name in ("map_columns_b", "map_columns_b_all"):
+    add(
+        _name, lambda v: extraction.map_columns_b(_headers(v)),
+        f"""WITH {_HEADERS_SQL}, m AS (SELECT *, CASE header WHEN 'Invoice #' THEN 'invoice_number' WHEN 'Amount Due' THEN 'outstanding_amount' WHEN 'Amount' THEN 'amount'
+        WHEN 'RO No' THEN 'ro_number' WHEN 'Ref' THEN 'invoice_number' END AS field FROM hd), r AS (SELECT *, CASE WHEN field='amount' THEN pos ELSE -pos END AS k FROM m WHERE field IS NOT NULL)
+        SELECT doc_id, field, header, pos FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY k, header)=1""",
+    )
 add(
     "pseudo_table", lambda v: read_table(v.spark, v.sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(extraction.pseudo_table(F.col("text"))).alias("row_no", "cells")).select(
         "doc_id", "row_no", F.size("cells").alias("n_cells"), F.get("cells", F.lit(0)).alias("first_cell")),
@@ -120,21 +100,13 @@ def _all_cells(v: Views):
                              F.lit(5).alias("n_rows"), F.lit(3).alias("n_columns"), F.col("l_partkey").cast("string").alias("content"))
 
 
-def _cells(v: Views):
-    return _once(_all_cells(v), "table_id", "row_index")
-
-
-add(
-    "cells_to_grid", lambda v: extraction.cells_to_grid(_cells(v)).withColumn("cells", F.array_join("cells", "|")),
-    f"""SELECT l_orderkey AS table_id, CAST(l_linenumber-1 AS INT) AS row_index, CASE l_partkey%4 WHEN 0 THEN l_partkey||'||' WHEN 1 THEN '|'||l_partkey||'|' ELSE '||'||l_partkey END AS cells
-    FROM (SELECT * FROM lineitem {_ONCE}) WHERE l_partkey%4<3 AND l_linenumber<=5""",
-)
-add(
-    "cells_to_grid_all", lambda v: extraction.cells_to_grid(_all_cells(v)).withColumn("cells", F.array_join("cells", "|")),
-    """SELECT l_orderkey AS table_id, CAST(l_linenumber-1 AS INT) AS row_index,
-    concat_ws('|', coalesce(min(t) FILTER (c=0),''), coalesce(min(t) FILTER (c=1),''), coalesce(min(t) FILTER (c=2),'')) AS cells
-    FROM (SELECT *, l_partkey%4 AS c, CAST(l_partkey AS VARCHAR) AS t FROM lineitem) WHERE c<3 AND l_linenumber<=5 GROUP BY ALL""",
-)
+for _name in ("cells_to_grid", "cells_to_grid_all"):
+    add(
+        _name, lambda v: extraction.cells_to_grid(_all_cells(v)).withColumn("cells", F.array_join("cells", "|")),
+        """SELECT l_orderkey AS table_id, CAST(l_linenumber-1 AS INT) AS row_index,
+        concat_ws('|', coalesce(min(t) FILTER (c=0),''), coalesce(min(t) FILTER (c=1),''), coalesce(min(t) FILTER (c=2),'')) AS cells
+        FROM (SELECT *, l_partkey%4 AS c, CAST(l_partkey AS VARCHAR) AS t FROM lineitem) WHERE c<3 AND l_linenumber<=5 GROUP BY ALL""",
+    )
 add(
     "continuation_tables",
     lambda v: extraction.continuation_tables(v.lines.select(F.col("statement_id").alias("doc_id"), F.col("seq").alias("table_no"), (F.col("seq") % 4 / 2).cast("int").alias("width"),
@@ -158,19 +130,14 @@ add(
       WHERE group_header LIKE '%KEEP%' OR (role='footer' AND label LIKE '%KEEP%')"""),
 )
 _BOUNDS = [("date", 20.0), ("invoice", 35.0)]
-add(
-    "bucket_columns",
-    lambda v: extraction.bucket_columns(_items(v).groupBy(F.col("l_orderkey").alias("row_id"), F.col("l_quantity").alias("x")).agg(F.min("l_partkey").cast("string").alias("text")), _BOUNDS, "amount"),
-    """SELECT row_id, CASE WHEN x<20 THEN 'date' WHEN x<35 THEN 'invoice' ELSE 'amount' END AS column, string_agg(text, ' ' ORDER BY x, text) AS text
-    FROM (SELECT l_orderkey AS row_id, l_quantity AS x, CAST(min(l_partkey) AS VARCHAR) AS text FROM lineitem GROUP BY ALL) GROUP BY ALL""",
-)
-#: The same over all line items; words at one place go by text.
-add(
-    "bucket_columns_all",
-    lambda v: extraction.bucket_columns(_items(v).select(F.col("l_orderkey").alias("row_id"), F.col("l_quantity").alias("x"), F.col("l_partkey").cast("string").alias("text")), _BOUNDS, "amount"),
-    """SELECT l_orderkey AS row_id, CASE WHEN l_quantity<20 THEN 'date' WHEN l_quantity<35 THEN 'invoice' ELSE 'amount' END AS column,
-    string_agg(CAST(l_partkey AS VARCHAR), ' ' ORDER BY l_quantity, CAST(l_partkey AS VARCHAR)) AS text FROM lineitem GROUP BY ALL""",
-)
+#: Words at one place go by text.
+for _name in ("bucket_columns", "bucket_columns_all"):
+    add(
+        _name,
+        lambda v: extraction.bucket_columns(_items(v).select(F.col("l_orderkey").alias("row_id"), F.col("l_quantity").alias("x"), F.col("l_partkey").cast("string").alias("text")), _BOUNDS, "amount"),
+        """SELECT l_orderkey AS row_id, CASE WHEN l_quantity<20 THEN 'date' WHEN l_quantity<35 THEN 'invoice' ELSE 'amount' END AS column,
+        string_agg(CAST(l_partkey AS VARCHAR), ' ' ORDER BY l_quantity, CAST(l_partkey AS VARCHAR)) AS text FROM lineitem GROUP BY ALL""",
+    )
 add(
     "row_cluster",
     lambda v: extraction.row_clusters(_items(v).select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").cast("double").alias("x"), (F.col("l_quantity") / 4).alias("y"), F.col("l_partkey").cast("string").alias("text")), 1.0),
@@ -196,4 +163,54 @@ add(
     "json_salvage", lambda v: extraction.salvage(_truncated(v)).select("seq", F.size("objects").alias("n"), F.get_json_object(F.get("objects", F.lit(0)), "$.invoice").alias("invoice")),
     fixtures("SELECT seq, CAST(CASE WHEN seq%2=0 THEN 2 ELSE 1 END AS INT) AS n, invoice_number AS invoice FROM f_stmt"),
 )
+
+
+def _broken(v: Views):
+    """Row arrays with a bad element, a null and a broken end, behind header fields."""
+    head = F.concat(F.lit('{"vendor_name" : "'), "vendor_id", F.lit('", "statement_date": "'), "statement_period", F.lit('", "rows": ['))
+    rows = F.concat(F.lit('{"n": "'), "invoice_number", F.lit('"}, {bad: 2}, null, {"n": "b ] }"}, {"n": '))
+    return v.lines.select("seq", F.when(F.col("seq") % 3 == 0, rows).otherwise(F.concat(head, rows)).alias("text"))
+
+
+add(
+    "json_salvage_broken",
+    lambda v: extraction.salvage(_broken(v)).select(
+        "seq", F.array_join("objects", "|").alias("objects"), extraction.salvaged_header(F.col("text"), "vendor_name").alias("vendor_name"),
+        extraction.salvaged_header(F.col("text"), "statement_date").alias("statement_date")),
+    fixtures("""SELECT seq, CASE WHEN seq%3=0 THEN '' ELSE '{"n": "'||invoice_number||'"}|{"n": "b ] }"}' END AS objects,
+    CASE WHEN seq%3<>0 THEN vendor_id END AS vendor_name, CASE WHEN seq%3<>0 THEN statement_period END AS statement_date FROM f_stmt"""),
+)
+_ROW_FORMS = ["""'{"raw": {"Inv": "' || invoice_number || '"}, "mapped": {"invoice_number": "' || invoice_number || '", "date": "2024-01-02", "charges": "12.5", "amount_due": "x"}}'""",
+              """'{"raw": {"invoice_number": "' || invoice_number || '", "amount_due": "7"}, "mapped": {}}'""",
+              """'{"invoice_number": "' || invoice_number || '", "description": "plain", "credits": "-3"}'""", "'not json'"]
+_ROW_JSON = "CASE seq % 4 " + " ".join(f"WHEN {k} THEN {f}" for k, f in enumerate(_ROW_FORMS)) + " END"
+add(
+    "nested_rows", lambda v: extraction.nested_invoices(v.lines.select("seq", F.expr(_ROW_JSON).alias("row_json"))).select(
+        "seq", "invoice.invoice_number", "invoice.invoice_date", "invoice.amount", "invoice.outstanding_amount", "invoice.description", "invoice.credit"),
+    fixtures("""SELECT seq, CASE WHEN seq%4<3 THEN invoice_number END AS invoice_number, CASE WHEN seq%4=0 THEN '2024-01-02' END AS invoice_date,
+    CAST(CASE WHEN seq%4=0 THEN 12.5 END AS DOUBLE) AS amount, CAST(CASE WHEN seq%4=1 THEN 7 END AS DOUBLE) AS outstanding_amount,
+    CASE seq%4 WHEN 0 THEN '{"Inv":"'||invoice_number||'"}' WHEN 1 THEN '{"invoice_number":"'||invoice_number||'","amount_due":"7"}' WHEN 2 THEN 'plain' END AS description,
+    CAST(CASE WHEN seq%4=2 THEN -3 END AS DOUBLE) AS credit FROM f_stmt"""),
+)
+add(
+    "fenced_json",
+    lambda v: v.lines.select("seq", extraction.fenced_json(F.expr("CASE seq % 4 WHEN 0 THEN concat(' {\"i\": \"', invoice_number, '\"}') WHEN 1 THEN concat('Here:\n```json\n{', invoice_number, '}\n```\nDone ```x```') "
+                                                                 "WHEN 2 THEN concat('```', invoice_number, '```') ELSE invoice_number END")).alias("body")),
+    fixtures("""SELECT seq, CASE seq%4 WHEN 0 THEN ' {"i": "'||invoice_number||'"}' WHEN 1 THEN '{'||invoice_number||'}'||chr(10) WHEN 2 THEN invoice_number END AS body FROM f_stmt"""),
+)
+add(
+    "truncated_documents",
+    lambda v: v.lines.select("seq", extraction.is_truncated(F.col("seq") % 7, F.col("seq") % 3, F.col("seq") % 2 == 0, F.when(F.col("seq") % 5 != 0, F.col("seq") % 41)).alias("truncated")),
+    fixtures("""SELECT seq, (seq%7=0 AND seq%3>0) OR coalesce(seq%2=0 AND b>0 AND seq%7 < b*0.1, false) AS truncated FROM (SELECT *, CASE WHEN seq%5<>0 THEN seq%41 END AS b FROM f_stmt)"""),
+)
+
+
+def _heads():
+    return F.concat(F.lit("\n  "), "vendor_id", F.lit("\nStatement\n"), F.when(F.col("seq") % 2 == 0, F.concat(F.lit("West COLLISION "), "seq", F.lit(" \n"))).otherwise(""), F.lit("Auto body two"))
+
+
+add(
+    "header_info", lambda v: v.lines.select("seq", *[c.alias(n) for c, n in zip(extraction.header_info(_heads()), ("vendor", "shop"), strict=True)]),
+    fixtures("SELECT seq, vendor_id AS vendor, CASE WHEN seq%2=0 THEN 'West COLLISION '||seq ELSE 'Auto body two' END AS shop FROM f_stmt"),
+)
 QUERIES, ORACLES = add.queries, add.oracles

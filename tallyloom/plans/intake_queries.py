@@ -75,6 +75,12 @@ add(
 )
 add("review_queue_rows", lambda v: v.review.select("review_id", "statement_id", "row_num", "rejection_details", "review_status"),
     intake("SELECT review_id, statement_id, row_num, rejection_details, review_status FROM review"))
+add(
+    "review_queue_files",
+    lambda v: reports.review_files(v.review.withColumn("source_file", F.when(F.col("row_num") % 11 != 0, F.concat(F.lower("statement_id"), F.lit(".pdf"))))),
+    intake("""SELECT source_file, CAST(sum(n) AS BIGINT) AS pending_count, string_agg(rejection_category||':'||n, ',' ORDER BY rejection_category||':'||n) AS category_breakdown
+    FROM (SELECT CASE WHEN row_num%11<>0 THEN lower(statement_id)||'.pdf' END AS source_file, rejection_category, count(*) AS n FROM review GROUP BY ALL) GROUP BY 1"""),
+)
 add("review_queue_vendors", lambda v: reports.review_vendors(v.review, "statement_id"),
     intake("SELECT statement_id, rejection_category, count(*) AS n FROM review GROUP BY ALL"))
 add(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import gold, matching, medallion, reports
 from tallyloom.operators.matching import LINE
-from tallyloom.plans.oracles import TOLERANCE, fixtures, walked
+from tallyloom.plans.oracles import TOLERANCE, fixtures, silver_walked, walked
 from tallyloom.plans.register import Register
 
 add = Register()
@@ -46,6 +46,12 @@ add(
     lambda v: v.decisions.select(*LINE, "invoice_number", "status", "level", "reason", "erp_seq", F.col("erp_amount").cast("double"), "erp_invoice"),
     walked("SELECT statement_id, seq, invoice_number, status, level, reason, erp_seq, CAST(erp_amount AS DOUBLE) AS erp_amount, erp_invoice FROM dec"),
 )
+add(
+    "silver_match",
+    lambda v: v.silver_decisions.select(*LINE, "invoice_number", "status", "level", "reason", "erp_seq", "erp_invoice"),
+    silver_walked("""SELECT statement_id, ln.seq, invoice_number, CASE WHEN w.level IS NOT NULL THEN 'MATCHED' ELSE 'EXCEPTION' END AS status, w.level, w.reason, w.erp_seq, w.erp_invoice
+    FROM ln JOIN walk w USING (statement_id, ord)"""),
+)
 add(
     "amount_tolerance",
     lambda v: v.lines.join(v.ledger.select("vendor_id", "invoice_number", "erp_seq", F.col("outstanding_amount").alias("e")), ["vendor_id", "invoice_number"]).select(

@@ -7,12 +7,12 @@ f_base AS (
   SELECT 'STMT-'||n_nationkey||'-'||strftime(o_orderdate,'%Y%m') AS statement_id, n_name AS vendor_id,
          strftime(o_orderdate,'%Y-%m') AS statement_period, 'INV'||lpad(CAST(o_orderkey AS VARCHAR),8,'0') AS invoice_number,
          CASE WHEN o_orderkey%3=0 THEN NULL ELSE 'RO-'||(o_custkey%40) END AS ro_number,
-         CAST(o_totalprice AS DECIMAL(18,2)) AS outstanding_amount, o_orderkey AS okey
+         CAST(o_totalprice AS DECIMAL(18,2)) AS outstanding_amount, strftime(o_orderdate,'%Y-%m-%d') AS invoice_date, o_orderkey AS okey
   FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey),
 f_stmt AS (
-  SELECT statement_id, vendor_id, statement_period, invoice_number, ro_number, outstanding_amount, okey*2 AS seq FROM f_base
+  SELECT statement_id, vendor_id, statement_period, invoice_number, ro_number, invoice_date, outstanding_amount, okey*2 AS seq FROM f_base
   UNION ALL
-  SELECT statement_id, vendor_id, statement_period, invoice_number, ro_number, CAST(outstanding_amount+0.20 AS DECIMAL(18,2)), okey*2+1
+  SELECT statement_id, vendor_id, statement_period, invoice_number, ro_number, invoice_date, CAST(outstanding_amount+0.20 AS DECIMAL(18,2)), okey*2+1
   FROM f_base WHERE okey%17=5),
 f_b20 AS (SELECT *, okey%20 AS k FROM f_base),
 f_erp AS (
@@ -139,5 +139,13 @@ def walked(body: str) -> str:
     return f"WITH RECURSIVE {FIXTURES}, {WALK} {body}"
 
 
+def silver_walked(body: str) -> str:
+    """The sequential matcher over Silver lines; their number is the normalised one, or else the raw one."""
+    key = "coalesce(nullif(l.invoice_number_normalized,''), l.invoice_number)"
+    walk = WALK.split("dec AS (")[0].rstrip().rstrip(",")
+    walk = walk.replace("FROM f_stmt)", "FROM silver)").replace("l.invoice_number=e.invoice_number", f"{key}=e.invoice_number")
+    return f"WITH RECURSIVE {FIXTURES}, {INTAKE}, {SILVER}, {walk} {body}"
+
+
 def stated(body: str) -> str:
     return f"WITH RECURSIVE {FIXTURES}, {INTAKE}, {SILVER}, {WALK}, {STATE} {body}"

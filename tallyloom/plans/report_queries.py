@@ -46,9 +46,28 @@ add(
     LEFT JOIN (SELECT statement_id, count(*) AS c FROM opened GROUP BY 1) o ON o.statement_id=l.statement_id
     UNION ALL SELECT vendor_name, NULL, 0, 0, exception_count, 'EXCEPTIONS_PRESENT', true FROM ({_ONLY})"""),
 )
+add(
+    "vendor_cards", lambda v: reports.vendor_cards(v.summaries, v.exceptions),
+    stated(f"""SELECT vendor_id AS vendor_name, l.statement_id, total_invoice_count, matched_count, coalesce(c,0) AS exception_count, overall_status, false AS exceptions_only, b AS reason_breakdown
+    FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vendor_id ORDER BY run_ts DESC, statement_id DESC) AS k FROM sums) WHERE k=1) l
+    LEFT JOIN (SELECT statement_id, CAST(sum(n) AS BIGINT) AS c, string_agg(label||':'||n, ',' ORDER BY label||':'||n) AS b
+      FROM (SELECT statement_id, {_LABEL} AS label, count(*) AS n FROM opened GROUP BY ALL) GROUP BY 1) o ON o.statement_id=l.statement_id
+    UNION ALL SELECT vendor_name, NULL, 0, 0, exception_count, 'EXCEPTIONS_PRESENT', true, NULL FROM ({_ONLY})"""),
+)
+add(
+    "exceptions_of_file", lambda v: reports.of_file_title(v.exceptions, F.lit("Nation 1 199803")).select("exception_id", "source_file"),
+    stated("SELECT exception_id, source_file FROM exc WHERE lower(replace(replace(source_file,'.pdf',''),'_',' '))='nation 1 199803'"),
+)
+add(
+    "statement_report_rows", lambda v: reports.report_rows(v.matched, v.exceptions).withColumn("statement_amount", F.col("statement_amount").cast("double")).withColumn("erp_amount", F.col("erp_amount").cast("double")),
+    stated("""SELECT row_number() OVER (PARTITION BY statement_id, section ORDER BY s, r, invoice_number NULLS FIRST, seq) AS place, section, statement_id, invoice_number,
+    CAST(statement_amount AS DOUBLE) AS statement_amount, CAST(erp_amount AS DOUBLE) AS erp_amount, detail FROM (
+    SELECT 'matched' AS section, statement_id, seq, invoice_number, statement_amount, erp_amount, 'L'||level AS detail, '' AS s, '' AS r FROM matched
+    UNION ALL SELECT 'exception', statement_id, seq, invoice_number, statement_amount, erp_amount, exception_status||':'||exception_reason, exception_status, exception_reason FROM exc)"""),
+)
 add(
     "open_exceptions", lambda v: reports.open_list(v.exceptions, v.lines, now()),
-    stated(f"""SELECT exception_id, e.statement_id, e.vendor_id, e.invoice_number, exception_reason, l.ro_number, escalation_status, {_DAYS} AS days_open
+    stated(f"""SELECT exception_id, e.statement_id, e.vendor_id, e.invoice_number, exception_reason, l.invoice_date, l.ro_number, escalation_status, {_DAYS} AS days_open
     FROM opened e LEFT JOIN ln l ON l.statement_id=e.statement_id AND l.seq=e.seq"""),
 )
 add(
@@ -127,4 +146,8 @@ add(
 )
 add("all_runs", lambda v: v.all_summaries.select("statement_id", "vendor_id", "run_ts", "exception_count"),
     walked("SELECT statement_id, vendor_id, run_ts, exception_count FROM all_sums"))
+add(
+    "open_exceptions_mismatch", lambda v: reports.open_list(v.exceptions, v.lines, now(), "mismatch").select("exception_id", "invoice_date", "days_open"),
+    stated(f"SELECT exception_id, invoice_date, {_DAYS} AS days_open FROM opened o LEFT JOIN ln l ON l.statement_id=o.statement_id AND l.seq=o.seq WHERE exception_reason='Amount Mismatch'"),
+)
 QUERIES, ORACLES = add.queries, add.oracles

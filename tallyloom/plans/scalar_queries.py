@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom import config
 from tallyloom.functions import amounts, dates, texts
 from tallyloom.operators import extraction, identity
-from tallyloom.plans.oracles import fixtures
+from tallyloom.plans.oracles import FIXTURES, fixtures
 from tallyloom.plans.register import Register
 from tallyloom.plans.views import Views
 from tallyloom.sources.tables import read_table
@@ -28,11 +28,10 @@ def _amounts(v: Views):
     t = F.format_number("outstanding_amount", 2)
     forms = [F.concat(F.lit("$"), t), F.concat(F.lit("("), t, F.lit(")")), F.concat(t, F.lit("-")), F.concat(F.lit("-"), t),
              F.concat(t, F.lit(" USD")), F.lit(""), F.lit("1e3"), F.lit("12d")]
-    okey = F.floor(F.col("seq") / 2)
-    return v.lines.where("seq % 2 = 0").select("seq", _spell(okey, forms).alias("text"))
+    return v.lines.select("seq", _spell(F.col("seq"), forms).alias("text"))
 
 
-_AMOUNTS = """am0 AS (SELECT okey*2 AS seq, okey%8 AS k, format('{:,.2f}', CAST(outstanding_amount AS DOUBLE)) AS t FROM f_base),
+_AMOUNTS = """am0 AS (SELECT seq, seq%8 AS k, format('{:,.2f}', CAST(outstanding_amount AS DOUBLE)) AS t FROM f_stmt),
 am AS (SELECT seq, CASE k WHEN 0 THEN '$'||t WHEN 1 THEN '('||t||')' WHEN 2 THEN t||'-' WHEN 3 THEN '-'||t WHEN 4 THEN t||' USD' WHEN 5 THEN '' WHEN 6 THEN '1e3' ELSE '12d' END AS text FROM am0),
 am1 AS (SELECT *, replace(replace(trim(text),',',''),'$','') AS s, regexp_replace(text,'[^0-9.\\-]','','g') AS kept FROM am),
 am2 AS (SELECT *, regexp_replace(regexp_replace(s,'^[()]+|[()]+$','','g'),'-+$','') AS bare FROM am1)"""
@@ -66,14 +65,13 @@ add(
 )
 add("normalize_invoice", lambda v: v.raw.select("statement_id", "row_num", texts.normalize_invoice(F.col("invoice_number")).alias("invoice")),
     fixtures("SELECT statement_id, row_num, trim(invoice_number) AS invoice FROM f_raw"))
-_NAMES_SQL = """nm AS (SELECT o_orderkey AS id, CASE o_orderkey%3 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name)||', Inc.' ELSE ' '||n_name||'  #7' END AS vendor_name
-  FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey)"""
+_NAMES_SQL = f"""{FIXTURES}, nm AS (SELECT seq AS id, CASE seq%3 WHEN 0 THEN vendor_id WHEN 1 THEN lower(vendor_id)||', Inc.' ELSE ' '||vendor_id||'  #7' END AS vendor_name FROM f_stmt)"""
 
 
 def _names(v: Views):
-    name, id_ = F.col("vendor_id"), F.floor(F.col("seq") / 2)
+    name, id_ = F.col("vendor_id"), F.col("seq")
     forms = [name, F.concat(F.lower(name), F.lit(", Inc.")), F.concat(F.lit(" "), name, F.lit("  #7"))]
-    return v.lines.where("seq % 2 = 0").select(id_.cast("long").alias("id"), _spell(id_, forms).alias("vendor_name"))
+    return v.lines.select(id_.alias("id"), _spell(id_, forms).alias("vendor_name"))
 
 
 _ALIAS_KEYS = {"NATION1": "FIRST_SUPPLIER", "NATION2 INC": "SECOND_SUPPLIER"}
@@ -93,16 +91,13 @@ add(
     "filename_slug", lambda v: v.lines.select("seq", texts.filename_slug(F.concat(F.lit("in/"), F.lower("vendor_id"), F.lit("_Statement12-"), "statement_period", F.lit(".pdf"))).alias("slug")),
     fixtures("SELECT seq, regexp_replace(lower(vendor_id),'_[0-9]+$','')||'_statement' AS slug FROM f_stmt"),
 )
-add(
-    "initials", lambda v: _names(v).where("id % 3 = 0").select("id", texts.initials(F.col("vendor_name")).alias("initials")),
-    f"WITH {_NAMES_SQL} SELECT id, CASE WHEN vendor_name LIKE '% %' THEN left(vendor_name,1)||left(split_part(vendor_name,' ',2),1) ELSE left(vendor_name,2) END AS initials FROM nm WHERE id%3=0",
-)
-#: The same over all names: two words of letters give their initials, one its first two letters, none the name's first two.
-add(
-    "initials_all", lambda v: _names(v).select("id", texts.initials(F.col("vendor_name")).alias("initials")),
-    f"""WITH {_NAMES_SQL}, w AS (SELECT id, vendor_name, list_filter(regexp_split_to_array(translate(vendor_name,'/,','  '),'\\s+'), lambda x: regexp_full_match(x,'\\p{{L}}+')) AS w FROM nm)
-    SELECT id, upper(CASE WHEN coalesce(vendor_name,'')='' THEN '??' WHEN len(w)>=2 THEN left(w[1],1)||left(w[2],1) WHEN len(w)=1 THEN left(w[1],2) ELSE left(vendor_name,2) END) AS initials FROM w""",
-)
+#: Two words of letters give their initials, one its first two letters, none the name's first two.
+for _name in ("initials", "initials_all"):
+    add(
+        _name, lambda v: _names(v).select("id", texts.initials(F.col("vendor_name")).alias("initials")),
+        f"""WITH {_NAMES_SQL}, w AS (SELECT id, vendor_name, list_filter(regexp_split_to_array(translate(vendor_name,'/,','  '),'\\s+'), lambda x: regexp_full_match(x,'\\p{{L}}+')) AS w FROM nm)
+        SELECT id, upper(CASE WHEN coalesce(vendor_name,'')='' THEN '??' WHEN len(w)>=2 THEN left(w[1],1)||left(w[2],1) WHEN len(w)=1 THEN left(w[1],2) ELSE left(vendor_name,2) END) AS initials FROM w""",
+    )
 add(
     "blob_path",
     lambda v: v.lines.select("seq", texts.blob_path(F.col("vendor_id"), F.left("statement_period", F.lit(4)), F.right("statement_period", F.lit(2)), F.sha2("invoice_number", 256)).alias("path")),

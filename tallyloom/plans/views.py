@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import gold, matching, medallion, quality, reports
 from tallyloom.sources import fixtures
+from tallyloom.sources.tables import settle
+
 
 def now() -> Column:
     """The fixed time that ages are counted to."""
@@ -55,8 +57,13 @@ class Views:
 
     @cached_property
     def decisions(self) -> DataFrame:
-        """Kept (in memory or on disk), as summaries and exceptions both build on it."""
-        return matching.match(self.lines, self.ledger).persist()
+        """Written once, as summaries and exceptions both build on it."""
+        return settle(matching.match(self.lines, self.ledger), "decisions")
+
+    @cached_property
+    def silver_decisions(self) -> DataFrame:
+        """The matcher over what intake let through: extracted rows, routed, Bronze, Silver."""
+        return settle(matching.match(self.silver, self.ledger), "silver-decisions")
 
     @cached_property
     def matched(self) -> DataFrame:

@@ -29,6 +29,7 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("INV"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("invoice_number"),
         F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("RO-"), F.col("o_custkey") % 40)).alias("ro_number"),
         F.col("o_totalprice").cast(MONEY).alias("outstanding_amount"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("invoice_date"),
         F.col("o_orderkey").alias("okey"),
     )
 
@@ -40,7 +41,7 @@ def _plus(amount: str) -> Column:
 def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statement side; every seventeenth order has its line twice, 0.20 apart."""
     rows = base(spark, sf_dir)
-    columns = ["statement_id", "vendor_id", "statement_period", "invoice_number", "ro_number"]
+    columns = ["statement_id", "vendor_id", "statement_period", "invoice_number", "ro_number", "invoice_date"]
     first = rows.select(*columns, "outstanding_amount", (F.col("okey") * 2).alias("seq"))
     again = rows.where("okey % 17 = 5").select(
         *columns, _plus("0.20").alias("outstanding_amount"), (F.col("okey") * 2 + 1).alias("seq")

@@ -1,9 +1,13 @@
 """Arrival of documents as a stream of events, and the event log of jobs.
 
-Deliveries are files of events. The stream keeps created-file events, names the
-batch by day of arrival and groups by file and batch, so that a file that
-arrives again within a batch is one job. State is held per (file, batch) until
-the watermark has passed the batch's day.
+Deliveries are files of events. The stream keeps created-file events and groups
+them by file and by the day of their event time, which names the batch, so that a
+file that arrives again within a batch is one job. The day is an event-time window:
+once the watermark has passed its end, its state goes and events that come later
+still are dropped.
+
+Documents that arrive again under another name have the same content hash; they
+are dropped within the watermark's delay (``distinct_documents``).
 """
 
 from __future__ import annotations
@@ -26,14 +30,20 @@ def arrivals(events: DataFrame) -> DataFrame:
     return created.select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"),
         F.concat(F.lit("file_"), F.col("event_id") % 400, F.lit(".pdf")).alias("pdf_filename"),
-        F.concat(F.lit("BATCH-"), F.date_format("ts", "yyyyMMdd")).alias("batch_id"),
     )
 
 
+def distinct_documents(deliveries: DataFrame, key: str = "content_hash") -> DataFrame:
+    """``deliveries`` (ts, key and more) less those whose content came within the watermark's delay before."""
+    return deliveries.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark([key])
+
+
 def intake_jobs(events: DataFrame) -> DataFrame:
     """One job per file and batch, with its number of events and the first one's id."""
     seen = arrivals(events).withWatermark("ts", WATERMARK)
-    return seen.groupBy("pdf_filename", "batch_id").agg(F.count("*").alias("n_events"), F.min("id").alias("first_id"))
+    jobs = seen.groupBy("pdf_filename", F.window("ts", "1 day").alias("day")).agg(F.count("*").alias("n_events"), F.min("id").alias("first_id"))
+    batch = F.concat(F.lit("BATCH-"), F.date_format("day.start", "yyyyMMdd")).alias("batch_id")
+    return jobs.select("pdf_filename", batch, "n_events", "first_id")
 
 
 def run_once(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
@@ -46,7 +56,11 @@ def run_once(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> Da
     out, checkpoint = (f"{shared_dir(spark)}/intake-{part}-{uuid.uuid4().hex}" for part in ("jobs", "state"))
     schema = read_table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    stream = stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if _is_file(spark, f"{sf_dir}/events.parquet") else stream.parquet(f"{sf_dir}/events.parquet")
+    one_file = read_table(spark, sf_dir, "events").inputFiles()[:1]
+    if one_file and one_file[0].endswith("/events.parquet"):
+        stream = stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    else:
+        stream = stream.parquet(f"{sf_dir}/events.parquet")
 
     def write(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{out}/micro={batch}")
@@ -57,11 +71,6 @@ def run_once(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> Da
     return rows.groupBy("pdf_filename", "batch_id").agg(F.max_by("n_events", "micro").alias("n_events"), F.max_by("first_id", "micro").alias("first_id"))
 
 
-def _is_file(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isFile()
-
-
 def status_events(jobs: DataFrame) -> DataFrame:
     """The event log behind a queue: submitted, taken up, ended."""
     submitted = jobs.select("job_id", F.col("submitted_at").alias("ts"), F.lit(0).alias("event_seq"), F.lit("PENDING").alias("status"), F.lit(None).cast("timestamp").alias("completed_at"))
