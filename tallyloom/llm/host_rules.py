@@ -1,13 +1,20 @@
 """Quality rules with host verdicts (DataFrame operations only).
 
 Each document gets word, symbol and repetition statistics and is held against a
-few rules. Rule failures are then counted per host, the host's failure rate is
-shrunk towards the corpus by a beta prior fitted to all hosts, and the verdict
-on the host is joined back to its documents.
+few rules. Failures of each rule are then counted per host, the host's failure
+rate is shrunk towards the corpus by a beta prior fitted to all hosts, rule by
+rule, and the verdict on the host is joined back to its documents. A host is
+rejected if one of its shrunk rates is above ``HOST_LIMIT``, or above
+``HOST_LEAST`` and ``HOST_TIMES`` as high as the corpus rate. Hosts that do not
+differ beyond chance all get the corpus rate, so none of them is rejected alone.
+
+A host may hold any share of the rows: counts are folded before they are
+shuffled, and the join back deals every host over ``SALTS`` tasks.
 
 Defined cases: a null or empty text has no words and fails the base rules, a
-null host is the host "", an empty table gives an empty result, repeated rows
-are judged one by one. Extra columns are ignored.
+null host is the host "", a very long text stays in its row, an empty table gives
+an empty result, repeated rows are judged one by one. Extra columns, also of
+clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +31,10 @@ MAX_SYMBOL_PERCENT = 25
 MAX_DUP_LINE_PERCENT = 30
 #: Shrunken failure rate above which a host is rejected.
 HOST_LIMIT = 0.6
+#: A shrunken rate from which a host is rejected if it is so many times the corpus rate.
+HOST_LEAST, HOST_TIMES = 0.2, 3.0
+#: Tasks that one host's documents are dealt to when verdicts are joined back.
+SALTS = 32
 #: Weight of the prior, in documents, where the hosts' rates do not differ beyond chance.
 STRONG_PRIOR = 1e6
 
@@ -82,61 +93,66 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def rule_failed() -> Column:
-    """A document fails at host level if it fails a base rule, the symbol rule or the line rule."""
-    return (
-        base_failed()
-        | (100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("n_words"))
-        | (100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines"))
-    )
+def rules() -> dict[str, Column]:
+    """The rules that a document can fail, each counted by host."""
+    return {
+        "short": F.col("n_words") < MIN_WORDS,
+        "repeat": 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"),
+        "symbol": 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("n_words"),
+        "line": 100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines"),
+    }
 
 
-def host_verdicts(judged: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """One row per ``host`` of ``judged`` (host, failed): shrunk rate and verdict.
+def host_verdicts(judged: DataFrame, names: list[str], host_limit: float = HOST_LIMIT) -> DataFrame:
+    """One row per ``host`` of ``judged`` (host, a boolean for each of ``names``): shrunk rates and the verdict.
 
-    The prior Beta(mean * weight, (1 - mean) * weight) is fitted by moments: the
-    spread of the hosts' rates, less what chance alone explains, gives the weight.
+    Each rule's prior Beta(mean * weight, (1 - mean) * weight) is fitted by moments:
+    the spread of the hosts' rates, less what chance alone explains, gives the weight.
     """
-    hosts = judged.groupBy("host").agg(
-        F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("bad")
-    )
+    hosts = judged.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(F.col(r).cast("long")).alias(r) for r in names])
     overall = hosts.agg(
-        F.sum("n").alias("total"),
-        F.count("*").alias("hosts"),
-        (F.sum("bad") / F.sum("n")).alias("mean"),
-        F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("squares"),
+        F.sum("n").alias("total"), F.count("*").alias("hosts"),
+        *[c for r in names for c in (
+            (F.sum(r) / F.sum("n")).alias(f"{r}_mean"), F.sum(F.col(r) * F.col(r) / F.col("n")).alias(f"{r}_squares"))],
     )
-    chance = F.col("mean") * (1 - F.col("mean"))
-    spread = F.col("squares") / F.col("total") - F.col("mean") * F.col("mean")
-    excess = spread - chance * F.col("hosts") / F.col("total")
-    weight = F.when(excess > 0, F.least(F.lit(STRONG_PRIOR), F.greatest(F.lit(1.0), (chance - spread) / excess)))
-    overall = overall.select("mean", F.coalesce(weight, F.lit(STRONG_PRIOR)).alias("weight"))
-    joined = hosts.join(F.broadcast(overall))  # one row
-    shrunk = (F.col("bad") + F.col("mean") * F.col("weight")) / (F.col("n") + F.col("weight"))
-    return joined.select("host", shrunk.alias("host_rate"), (shrunk > host_limit).alias("host_failed"))
+    priors = []
+    for r in names:
+        mean = F.col(f"{r}_mean")
+        chance, spread = mean * (1 - mean), F.col(f"{r}_squares") / F.col("total") - mean * mean
+        excess = spread - chance * F.col("hosts") / F.col("total")
+        weight = F.when(excess > 0, F.least(F.lit(STRONG_PRIOR), F.greatest(F.lit(1.0), (chance - spread) / excess)))
+        priors += [mean, F.coalesce(weight, F.lit(STRONG_PRIOR)).alias(f"{r}_weight")]
+    joined = hosts.crossJoin(F.broadcast(overall.select(*priors)))  # one row
+    rates = {r: (F.col(r) + F.col(f"{r}_mean") * F.col(f"{r}_weight")) / (F.col("n") + F.col(f"{r}_weight")) for r in names}
+    failed = F.lit(False)
+    for r, rate in rates.items():
+        failed = failed | (rate > host_limit) | ((rate > HOST_LEAST) & (rate > HOST_TIMES * F.col(f"{r}_mean")))
+    return joined.select("host", *[F.round(rate, 6).alias(f"{r}_rate") for r, rate in rates.items()], failed.alias("host_failed"))
 
 
 def judge(
     docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text",
     host_limit: float = HOST_LIMIT,
 ) -> DataFrame:
-    """Statistics, base verdict, host verdict and ``kept`` of every document."""
+    """Statistics, base verdict, the host's shrunk rates and verdict, and ``kept`` of every document."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col), F.lit("")).alias("host"),
         F.col(text_col).alias("text"),
     )
-    stats = text_statistics(rows).drop("text")
-    stats = settle(stats.withColumn("base_failed", base_failed()).withColumn("failed", rule_failed()), "hosts")
-    verdicts = host_verdicts(stats, host_limit)
-    return stats.join(verdicts, "host").select(
+    named = rules()
+    stats = text_statistics(rows).drop("text").withColumn("base_failed", base_failed())
+    stats = settle(stats.withColumns(named).withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))), "hosts")
+    verdicts = settle(host_verdicts(stats, list(named), host_limit), "verdicts")
+    salted = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
+    return stats.join(salted, ["host", "salt"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"),
-        "host_rate",
+        "host", *[f"{r}_rate" for r in named], "host_failed",
     )
 
 
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents")).drop("host_rate")
+    return judge(table(spark, sf_dir, "documents"))
 
 
 _SPLIT = r"'[\x20\x09-\x0D]+'"
@@ -159,17 +175,20 @@ s AS (
          CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
   FROM d JOIN w0 USING (rid) JOIN l0 USING (rid) LEFT JOIN rep USING (rid)),
 j AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM s),
-f AS (SELECT *, base_failed OR 100 * n_symbols > {MAX_SYMBOL_PERCENT} * n_words
-             OR 100 * n_dup_lines > {MAX_DUP_LINE_PERCENT} * n_lines AS failed FROM j),
-h AS (SELECT host, count(*) AS n, sum(CAST(failed AS BIGINT)) AS bad FROM f GROUP BY host),
-m AS (SELECT sum(n) AS total, count(*) AS hosts, sum(bad) / sum(n) AS mean, sum(bad * bad / n) AS squares FROM h),
-v AS (SELECT mean, mean * (1 - mean) AS chance, squares / total - mean * mean AS spread,
+f AS (SELECT *, n_words < {MIN_WORDS} AS short, 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS repeat,
+             100 * n_symbols > {MAX_SYMBOL_PERCENT} * n_words AS symbol, 100 * n_dup_lines > {MAX_DUP_LINE_PERCENT} * n_lines AS line FROM j),
+u AS (SELECT host, rule, CAST(failed AS BIGINT) AS failed FROM f UNPIVOT (failed FOR rule IN (short, repeat, symbol, line))),
+h AS (SELECT host, rule, count(*) AS n, sum(failed) AS bad FROM u GROUP BY host, rule),
+m AS (SELECT rule, sum(n) AS total, count(*) AS hosts, sum(bad) / sum(n) AS mean, sum(bad * bad / n) AS squares FROM h GROUP BY rule),
+v AS (SELECT rule, mean, mean * (1 - mean) AS chance, squares / total - mean * mean AS spread,
              squares / total - mean * mean - mean * (1 - mean) * hosts / total AS excess FROM m),
-p AS (SELECT mean, CASE WHEN excess > 0 THEN least({STRONG_PRIOR}, greatest(1.0, (chance - spread) / excess))
-                        ELSE {STRONG_PRIOR} END AS weight FROM v),
-verdict AS (SELECT host, (bad + mean * weight) / (n + weight) > {HOST_LIMIT} AS host_failed FROM h, p)
+p AS (SELECT rule, mean, CASE WHEN excess > 0 THEN least({STRONG_PRIOR}, greatest(1.0, (chance - spread) / excess))
+                              ELSE {STRONG_PRIOR} END AS weight FROM v),
+s1 AS (SELECT host, rule, mean, (bad + mean * weight) / (n + weight) AS rate FROM h JOIN p USING (rule)),
+verdict AS (SELECT host, {", ".join(f"max(round(rate, 6)) FILTER (rule = '{r}') AS {r}_rate" for r in ("short", "repeat", "symbol", "line"))},
+                   bool_or(rate > {HOST_LIMIT} OR (rate > {HOST_LEAST} AND rate > {HOST_TIMES} * mean)) AS host_failed FROM s1 GROUP BY host)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT host_failed AS kept
+       NOT base_failed AND NOT host_failed AS kept, host, short_rate, repeat_rate, symbol_rate, line_rate, host_failed
 FROM f JOIN verdict USING (host)"""
 
 QUERIES = {"op7_host_rules": op7_host_rules}
