@@ -1,17 +1,21 @@
 """Sharding by Hilbert-curve order (DataFrame operations only).
 
-Several metadata dimensions are quantised to four bits each, every row gets its
-index on a three-dimensional Hilbert curve, rows are ranked along the curve and
-the ranking is cut into runs. A run touches a small box of the metadata space,
-so the minimum and maximum of a shard's columns prune it in all dimensions.
+Several metadata dimensions are quantised to four bits each: a text column by the
+share of rows that sort before its value, the size by its logarithm. Both keep the
+column's order. Every row gets its index on a three-dimensional Hilbert curve,
+rows are ranked along the curve and the ranking is cut into runs. A run touches a
+small box of the metadata space, so the minimum and maximum of a shard's columns
+prune it in all dimensions.
 
 The ranking needs no global sort: rows are counted per curve cell (at most 4,096
-cells, a fixed number), crowded cells are cut into slices by a mixed id, rows
-are numbered inside a slice, and slice and cell offsets are added.
+cells, a fixed number), crowded cells are cut into slices by a mix of id and size,
+rows are numbered inside a slice, and slice and cell offsets are added. Rows that
+share an id are spread by their sizes; only rows equal in both share a slice.
 
 Defined cases: null language or source count as the empty string, a null text
-has no bytes, a null id sorts as -1, repeated rows keep a slot each, an empty
-table gives an empty result. Other columns are ignored.
+has no bytes, a null id sorts as -1, repeated rows keep a slot each, a very long
+text only counts its bytes, an empty table gives an empty result. Other columns,
+also of clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +29,13 @@ BITS = 4
 DIMENSIONS = 3
 SHARDS = 24
 #: Rows that one numbering task gets; more rows mean more tasks.
-SLICE_ROWS = 50_000
+SLICE_ROWS = 4_000
+#: Distinct values that one task orders when a text column is quantised.
+VALUES_A_TASK = 200_000
 
-_HEX = "0123456789abcdef"
 #: Odd multiplier that spreads ids over 32 bits.
 _MULTIPLIER = 2654435761
+_SIZE_MULTIPLIER = 40503 * 65537
 
 
 def curve_tables(n: int = DIMENSIONS) -> tuple[str, str]:
@@ -76,9 +82,33 @@ def hilbert_index(x: Column, y: Column, z: Column, bits: int = BITS) -> Column:
     return index
 
 
-def _category(column: str) -> Column:
-    first = F.substring(F.md5(F.coalesce(F.col(column), F.lit(""))), 1, 1)
-    return F.instr(F.lit(_HEX), first) - 1
+def cuts(docs: DataFrame, column: str, bits: int = BITS) -> list[tuple[int, str]]:
+    """(step, least value) of every quantisation step that holds values, in order: at most ``2 ** bits`` of them.
+
+    A value's step is the share of rows that sort before the middle of its rows.
+    Distinct values are counted, dealt by range, added up inside a range, and the
+    ranges' sums added.
+    """
+    value = F.coalesce(F.col(column).cast("string"), F.lit("")).alias("value")
+    counts = settle(docs.select(value).groupBy("value").agg(F.count("*").alias("n")), "values")
+    ranges = max(1, -(-counts.count() // VALUES_A_TASK))
+    dealt = settle(counts.repartitionByRange(ranges, "value").withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("range").agg(F.sum("n").alias("rows"))  # a row for each of the ranges
+    earlier = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("range", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"), F.sum("rows").over(Window.partitionBy(F.lit(0))).alias("total"))
+    placed = dealt.withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0))).join(sums, "range")
+    step = F.expr(f"int(((start + inside) * 2 + n) * {1 << bits} div (2 * total))")
+    found = placed.groupBy(step.alias("step")).agg(F.min("value").alias("value")).collect()  # at most 2 ** bits rows
+    return sorted(map(tuple, found))
+
+
+def _step(column: str, at: list[tuple[int, str]]) -> Column:
+    """The last step whose least value is reached."""
+    value, out = F.coalesce(F.col(column).cast("string"), F.lit("")), F.lit(0)
+    for step, least in at:
+        out = F.when(value >= F.lit(least), step).otherwise(out)
+    return out
 
 
 def shard(
@@ -92,13 +122,13 @@ def shard(
     """Row counts of the shards differ by at most one; slots are gapless from 0."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.octet_length(text).cast("long") + 8
-    spread = F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.lit(1 << 31)) * _MULTIPLIER
+    spread = F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.lit(1 << 31)) * _MULTIPLIER + F.pmod(size, F.lit(1 << 20)) * _SIZE_MULTIPLIER
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         size.alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        _category(categories[0]).alias("x"),
-        _category(categories[1]).alias("y"),
+        _step(categories[0], cuts(docs, categories[0])).alias("x"),
+        _step(categories[1], cuts(docs, categories[1])).alias("y"),
         F.least(F.lit(15), F.greatest(F.lit(0), F.length(F.bin(size)) - 4)).alias("z"),
         F.pmod(spread, F.lit(1 << 32)).alias("mix"),
     )
@@ -152,15 +182,17 @@ def _oracle() -> str:
         steps.append((at, index))
         index = f"({index}) * 8 + CAST(substr('{digits}', {at}, 1) AS INT)"
         state = f"(ascii(substr('{states}', {at}, 1)) - 97)"
-    category = "instr('" + _HEX + "', substr(md5(coalesce({0}, '')), 1, 1)) - 1"
     # text_crc32 has no function in DuckDB and is compared by a test instead.
+    ranked = """
+{0}_n AS (SELECT coalesce({1}, '') AS value, count(*) AS n FROM documents GROUP BY 1),
+{0}_q AS (SELECT value, CAST((2 * sum(n) OVER (ORDER BY value) - n) * 16 // (2 * sum(n) OVER ()) AS INT) AS {0} FROM {0}_n),"""
     return f"""
-WITH q AS (
-  SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size,
-         {category.format('lang')} AS x, {category.format('source')} AS y,
-         ((coalesce(doc_id, -1) % 2147483648 + 2147483648) % 2147483648 * {_MULTIPLIER}) % 4294967296 AS mix
-  FROM documents),
-p AS (SELECT *, least(15, greatest(0, length(bin(size)) - 4)) AS z FROM q),
+WITH {ranked.format("x", "lang")}{ranked.format("y", "source")}
+q AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, x, y FROM documents
+  JOIN x_q ON x_q.value = coalesce(lang, '') JOIN y_q ON y_q.value = coalesce(source, '')),
+p AS (SELECT *, least(15, greatest(0, length(bin(size)) - 4)) AS z,
+             ((coalesce(doc_id, -1) % 2147483648 + 2147483648) % 2147483648 * {_MULTIPLIER} + size % 1048576 * {_SIZE_MULTIPLIER}) % 4294967296 AS mix FROM q),
 h AS (SELECT doc_id, size, mix, {index} AS cell FROM p),
 r AS (SELECT *, row_number() OVER (ORDER BY cell, mix, doc_id NULLS FIRST, size) - 1 AS rank,
              count(*) OVER () AS total FROM h)

@@ -453,6 +453,14 @@ def test_rules_cases(awkward, empty):
     assert host_rules.judge(empty).count() == 0
 
 
+def test_a_host_far_above_the_corpus_is_rejected_by_one_rule(spark):
+    good, repeated = " ".join(f"w{k}" for k in range(80)), " ".join(f"w{k}" for k in range(60)) + " a b c" * 25
+    rows = [(f"good{h}", good) for h in range(20) for _ in range(40)] + [("copied", repeated)] * 40 + [("copied", good)] * 60
+    docs = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    found = host_rules.judge(docs).where("not base_failed").select("host", "kept", "host_failed").distinct().collect()
+    assert {(r["host"], r["kept"]) for r in found} == {(f"good{h}", True) for h in range(20)} | {("copied", False)}
+
+
 def test_bad_host_is_rejected_and_small_ones_shrink(spark):
     good, bad = " ".join(f"w{k}" for k in range(80)), "short"
     rows = [(f"good{h}", good) for h in range(20) for _ in range(40)] + [("bad", bad)] * 95 + [("bad", good)] * 5 + [("tiny", bad)]
@@ -548,6 +556,34 @@ def test_sharding_cases(awkward, empty, slice_rows):
     assert hilbert_sharding.shard(empty).count() == 0
 
 
+def opened(rows, column):
+    """Mean share of the shards whose minimum and maximum let a value of the column through."""
+    bounds = {}
+    for r in rows:
+        low, high = bounds.get(r["shard"], (r[column], r[column]))
+        bounds[r["shard"]] = min(low, r[column]), max(high, r[column])
+    values = {r[column] for r in rows}
+    return np.mean([low <= v <= high for v in values for low, high in bounds.values()])
+
+
+def test_shards_prune_in_every_dimension(spark):
+    path = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
+    rows = hilbert_sharding.op9_hilbert_sharding(spark, path).join(docs, "doc_id").withColumn("log_size", F.length(F.bin("size"))).collect()
+    assert max(opened(rows, c) for c in ("lang", "source", "log_size")) < 0.5
+
+
+def test_quantisation_keeps_the_order(spark, monkeypatch):
+    monkeypatch.setattr(hilbert_sharding, "VALUES_A_TASK", 7)
+    values = [f"host{k:03d}" for k in range(100) for _ in range(1 + 200 * (k == 40))] + [None]
+    frame = spark.createDataFrame([(v,) for v in values], "source string")
+    at = hilbert_sharding.cuts(frame, "source")
+    found = frame.select("source", hilbert_sharding._step("source", at).alias("step")).distinct().collect()
+    steps = [r["step"] for r in sorted(found, key=lambda r: r["source"] or "")]
+    assert steps == sorted(steps) and steps[0] == 0 and max(steps) == 15 and len(set(steps)) > 5
+    assert hilbert_sharding.cuts(frame.limit(0), "source") == []
+
+
 def test_curve_visits_neighbours(spark):
     cells = spark.range(1 << 12).select(*[((F.col("id") / (1 << 4 * k)).cast("long") % 16).alias(c) for k, c in enumerate("xyz")])
     rows = cells.select("x", "y", "z", hilbert_sharding.hilbert_index(*map(F.col, "xyz")).alias("i")).orderBy("i").collect()
