@@ -52,8 +52,8 @@ CONTEXT, SCORED = 4, 20
 WINDOW = CONTEXT + SCORED
 COMMON_WORDS = 500_000
 #: Distinct words that a task counts before it sends them on, and words that a scoring task remembers.
-COUNTED = 300_000
-TABLED = 600_000
+COUNTED, COUNTED_WORDS = 300_000, 8_000_000
+TABLED, TABLED_BYTES = 600_000, 48_000_000
 CLASSES, WIDTH, HIDDEN, BUCKETS = 64, 16, 32, 2_048
 RATE, WARM, SLOWING, NODES, SEED = 0.01, 30, 500, 64, 11
 #: Windows of a training step: a learner's first steps are small.
@@ -111,14 +111,16 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words.clear()
         return rows(_WORD, keys, n)
 
-    ends = 0
+    ends = fresh = 0
     for batch in batches:
         for value in batch.column(0):
             line = (value.as_py() or "").encode().lower().split()
             words.update(line)
             ends += 1
-            if len(words) >= COUNTED:
+            fresh += len(line)
+            if len(words) >= COUNTED or fresh >= COUNTED_WORDS:
                 yield counted()
+                fresh = 0
     if words:
         yield counted()
     if ends:
@@ -433,11 +435,13 @@ class _WordTable(dict):
 
     def __init__(self, keys: np.ndarray, logs: np.ndarray):
         super().__init__()
+        self.bytes = 0
         self.common, self.common_logs, self.speller = keys, logs, word_ids()
         self.trim(0)
 
     def __missing__(self, word: bytes) -> int:
         self.keys.append(_key(word))
+        self.bytes += len(word)
         self.spelt.append(self.speller.spell(word))
         self[word] = number = len(self.spelt) - 1
         return number
@@ -455,8 +459,9 @@ class _WordTable(dict):
         return keys, np.array(self.logs)
 
     def trim(self, most: int = TABLED) -> None:
-        if len(self) >= most:
+        if len(self) >= most or self.bytes >= TABLED_BYTES:
             self.clear()
+            self.bytes = 0
             self.spelt, self.keys, self.logs = [], array("q"), array("d")
 
 

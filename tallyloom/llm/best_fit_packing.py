@@ -11,7 +11,9 @@ items, however many bins cannot be filled, and every bin is kept.
 Bins keep their contents gapless: an item's pieces shift by its offset.
 
 Defined cases: a null or empty text is the end id alone; null ids and repeated
-rows are packed like any others; an empty table gives an empty result.
+rows are packed like any others; a very long text is cut into full pieces and one
+rest; an empty table gives an empty result; other columns, also of clashing names,
+are not read.
 """
 
 from __future__ import annotations

@@ -19,13 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, a laptop) gets a temporary
-    folder of its own.
+    A local session without that setting (tests, a laptop) gets a temporary
+    folder of its own; on a cluster its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -35,7 +35,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage, so that a result used several times is computed once and
-    a lost executor costs only a re-read.
+    a lost executor costs only a re-read. The table stays until the folder is
+    cleared, as results that have not been read yet may need it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyloom-{name}-{uuid.uuid4().hex}"

@@ -15,7 +15,9 @@ Characters without a piece become byte pieces, a blank mark in the text included
 so decoding gives back every text exactly.
 
 Defined cases: null and empty texts have no ids and decode to the empty text;
-null ids, repeated rows and extra columns do not matter.
+null ids and repeated rows pass one by one; a very long text, also one unbroken
+stretch, takes one pass, and long stretches are not remembered; an empty table
+gives an empty result; other columns, also of clashing names, are not read.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 #: Stretches that a worker remembers at most.
 REMEMBERED = 600_000
+#: Longer stretches (characters) are not remembered.
+LONGEST = 64
 
 
 class PieceCodec(dict):
@@ -86,8 +90,6 @@ class PieceCodec(dict):
         return ids[::-1]
 
     def __missing__(self, stretch: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
         ids: list[int] = []
         run = ""
         for c in stretch:
@@ -98,7 +100,11 @@ class PieceCodec(dict):
             ids += [self.byte_ids[b] for b in c.encode()]
             run = ""
         ids += self.viterbi(run)
-        self[stretch] = packed = array("i", ids).tobytes()
+        packed = array("i", ids).tobytes()
+        if len(stretch) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[stretch] = packed
         return packed
 
     def encode(self, text: str) -> bytes:

@@ -12,7 +12,10 @@ Language, source, id and labels are never inputs of a score.
 
 Defined cases: null and empty texts are scored from their statistics like any
 other; labels of unknown documents and null labels are ignored; without any
-usable label the score is 0.5; extra columns do not matter.
+usable label the score is 0.5; repeated rows are scored one by one, and ids of more
+than ``MOST_COPIES`` rows teach nothing; a very long text is counted whole; an
+empty table gives an empty result; other columns, also of clashing names, are
+not read.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ BUCKETS = 4096
 RANK = 8
 #: The most labelled rows that a fit takes.
 TRAIN_ROWS = 8_000
+#: Rows of one id beyond which the id is left out of the sample, so that its bound holds.
+MOST_COPIES = 4
 EPOCHS, MIN_STEPS, BATCH, RATE, DECAY = 6, 500, 128, 0.02, 1e-5
 #: Rows whose crc32(id as text) leaves this remainder are held out.
 HELD_OUT = (5, 0)
@@ -147,11 +152,12 @@ def train(
     docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
     train_rows: int = TRAIN_ROWS,
 ) -> Machine:
-    """A machine fitted to at most ``train_rows`` labelled, not held-out rows."""
+    """A machine fitted to the rows of at most ``train_rows`` labelled, not held-out ids."""
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     usable = usable.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("float").alias("y"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    present = usable.join(texts.select("id"), "id", "left_semi")
+    rows_of = texts.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") <= MOST_COPIES)
+    present = usable.join(rows_of, "id", "left_semi")
     sample = present.orderBy(F.xxhash64("id"), "id").limit(train_rows)
     rows = texts.join(F.broadcast(sample), "id").select("y", "text").mapInArrow(_vectors, "y float, x binary").toArrow()
     if rows.num_rows == 0:

@@ -5,6 +5,10 @@ it, so the ids of a text are those of its words in turn. A word is looked up
 first; an unseen one is cut as the tokenizer's own rules cut it and each part
 goes to the tokenizer's model. Words outside Latin-1 and texts that may hold a
 special token's name go through the whole tokenizer, so ids are always its own.
+
+The cutting rules and the byte alphabet are those of this vocabulary file; another
+file needs rules of its own, and the tests compare ids with the tokenizer's. Long
+unbroken stretches are spelt but not remembered, so the tables stay bounded in bytes.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ VOCABULARY = "word_bpe_49k.json"
 VOCABULARY_SIZE = 49_408
 #: Words that a worker remembers at most (about 200 bytes each).
 REMEMBERED = 700_000
+#: Longer words (bytes) are not remembered.
+LONGEST = 64
 
 _LETTERS = "a-zªµºß-öø-ÿ"
 _NUMBERS = "0-9²³¹¼½¾"
@@ -46,9 +52,11 @@ class WordIds(dict):
         self.parts: dict[str, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = ids = self.spell(word)
+        ids = self.spell(word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
         return ids
 
     def spell(self, word: bytes) -> bytes:
@@ -63,7 +71,8 @@ class WordIds(dict):
                 self.parts.clear()
             spelt = part.encode().decode("latin-1").translate(self.letters)
             ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-            self.parts[part] = ids
+            if len(part) <= LONGEST:
+                self.parts[part] = ids
         return ids
 
     def _whole(self, text: str) -> bytes:
