@@ -55,8 +55,8 @@ add(
     UNION ALL SELECT vendor_name, NULL, 0, 0, exception_count, 'EXCEPTIONS_PRESENT', true, NULL FROM ({_ONLY})"""),
 )
 add(
-    "exceptions_of_file", lambda v: reports.of_file_title(v.exceptions, F.lit("Nation 1 199803")).select("exception_id", "source_file"),
-    stated("SELECT exception_id, source_file FROM exc WHERE lower(replace(replace(source_file,'.pdf',''),'_',' '))='nation 1 199803'"),
+    "exceptions_of_file", lambda v: reports.of_file_title(v.exceptions, F.lit("Nation 18 199806")).select("exception_id", "source_file"),
+    stated("SELECT exception_id, source_file FROM exc WHERE lower(replace(replace(source_file,'.pdf',''),'_',' '))='nation 18 199806'"),
 )
 add(
     "statement_report_rows", lambda v: reports.report_rows(v.matched, v.exceptions).withColumn("statement_amount", F.col("statement_amount").cast("double")).withColumn("erp_amount", F.col("erp_amount").cast("double")),
