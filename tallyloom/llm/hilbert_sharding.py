@@ -29,7 +29,7 @@ BITS = 4
 DIMENSIONS = 3
 SHARDS = 24
 #: Rows that one numbering task gets; more rows mean more tasks.
-SLICE_ROWS = 4_000
+SLICE_ROWS = 500
 #: Distinct values that one task orders when a text column is quantised.
 VALUES_A_TASK = 200_000
 
