@@ -69,8 +69,9 @@ _LOWER = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 
 def _lower(text: str) -> str:
-    """``text`` with ASCII letters in lower case; every code point stays at its place."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
+    """``text`` in lower case; every code point stays at its place, and none becomes an ASCII letter that was none."""
+    # Only these two change their length or become ASCII letters in ``str.lower``.
+    return text.translate(_LOWER) if "\u0130" in text or "\u212a" in text else text.lower()
 
 
 def _run(text: str, at: int, allowed: frozenset) -> int:
