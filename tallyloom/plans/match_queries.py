@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import gold, matching, medallion, reports
+from tallyloom.operators import gold, ledger, matching, medallion, reports
 from tallyloom.operators.matching import LINE
 from tallyloom.plans.oracles import TOLERANCE, fixtures, silver_walked, walked
 from tallyloom.plans.register import Register
@@ -94,6 +94,34 @@ add(
         F.when(F.col("erp_seq") % 13 == 0, "PENDING").otherwise("POSTED").alias("status")),
     fixtures("SELECT vendor_id, invoice_number, ro_number, CAST(outstanding_amount AS DOUBLE) AS outstanding_amount, erp_seq, erp_seq%5+1 AS lag_days, CASE WHEN erp_seq%13=0 THEN 'PENDING' ELSE 'POSTED' END AS status FROM f_erp"),
 )
+
+
+def _scenarios(v):
+    """Scenarios by the residue of the order key; base rows are unique by invoice number."""
+    k = F.col("seq") / 2 % 20
+    return v.lines.where("seq % 2 = 0").select(
+        "invoice_number", (k == 0).alias("missing"), F.when(k == 1, F.col("outstanding_amount") + 100).cast("decimal(18,2)").alias("new_amount"),
+        F.when(k == 2, F.concat("invoice_number", F.lit("-ERP-ALT"))).alias("new_number"), k.isin(3, 0).alias("pending"), k.isin(4, 0).alias("duplicate"),
+    ).where("missing or new_amount is not null or new_number is not null or pending or duplicate")
+
+
+_SCENARIO = """sc AS (SELECT invoice_number, okey%20=0 AS missing, CASE WHEN okey%20=1 THEN outstanding_amount+100 END AS new_amount,
+    CASE WHEN okey%20=2 THEN invoice_number||'-ERP-ALT' END AS new_number, okey%20 IN (0,3) AS pending, okey%20 IN (0,4) AS duplicate FROM f_base),
+    sl AS (SELECT l.*, missing, new_amount, new_number, pending, duplicate FROM f_stmt l JOIN sc USING (invoice_number))"""
+add(
+    "ledger_generated",
+    lambda v: ledger.generate(v.lines, _scenarios(v)).withColumn("outstanding_amount", F.col("outstanding_amount").cast("double")),
+    fixtures("SELECT 1").removesuffix(" SELECT 1") + f""", {_SCENARIO} SELECT statement_id, vendor_id, seq, ro_number, invoice_date, 0 AS copy, coalesce(new_number, invoice_number) AS invoice_number,
+    CAST(coalesce(new_amount, outstanding_amount) AS DOUBLE) AS outstanding_amount, CASE WHEN pending THEN 'PENDING' ELSE 'POSTED' END AS status,
+    strftime(CAST(invoice_date AS DATE) + CAST(CAST('0x'||substr(md5(invoice_number),1,7) AS INT)%5+1 AS INT), '%Y-%m-%d') AS posting_date FROM sl WHERE NOT missing
+    UNION ALL SELECT statement_id, vendor_id, seq, ro_number, invoice_date, 1, invoice_number, CAST(outstanding_amount AS DOUBLE), 'POSTED', NULL FROM sl WHERE duplicate""",
+)
+add(
+    "ledger_scenario_counts", lambda v: ledger.scenario_counts(v.lines, _scenarios(v)),
+    fixtures("SELECT 1").removesuffix(" SELECT 1") + f""", {_SCENARIO} SELECT *, total_source-missing+duplicate AS erp_rows FROM (SELECT statement_id, count(*) AS total_source, count(*) FILTER (missing) AS missing,
+    count(*) FILTER (NOT missing AND new_amount IS NOT NULL) AS amount_mismatch, count(*) FILTER (NOT missing AND new_amount IS NULL) AS exact_match,
+    count(*) FILTER (NOT missing AND pending) AS pending, count(*) FILTER (NOT missing AND new_number IS NOT NULL) AS renumbered, count(*) FILTER (duplicate) AS duplicate FROM sl GROUP BY 1)""",
+)
 add(
     "erp_scenario_counts",
     lambda v: v.lines.where("seq % 2 = 0").withColumn("k", (F.col("seq") / 2).cast("long") % 20).groupBy("statement_id").agg(
