@@ -50,6 +50,14 @@ def summaries(decisions: DataFrame) -> DataFrame:
     )
 
 
+def with_sources(summaries: DataFrame, lines: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Summaries with vendor name and shop of the statement's first line, and the greatest version of its ledger rows."""
+    first = lines.groupBy("statement_id").agg(F.min_by(F.struct("vendor_name", "shop"), "seq").alias("_first"))
+    version = ledger.groupBy("statement_id").agg(F.max("erp_version").alias("erp_version"))
+    joined = summaries.join(first, "statement_id", "left").join(version, "statement_id", "left")
+    return joined.select(*summaries.columns, "_first.vendor_name", "_first.shop", "erp_version")
+
+
 def match_exceptions(decisions: DataFrame) -> DataFrame:
     rows = decisions.where("status = 'EXCEPTION'")
     return rows.select(
@@ -92,6 +100,14 @@ def bulk_approve(open_exceptions: DataFrame, threshold: float, ts: Column) -> Da
     return chosen.select("exception_id", F.lit("ACCEPTED").alias("disposition_status"), ts.alias("ts"), F.lit(0).alias("event_seq"))
 
 
+def reviewed(review: DataFrame, actions: DataFrame) -> DataFrame:
+    """Review rows with the state that their latest action gives; actions are (review_id, action, reviewed_by, ts, event_seq)."""
+    newest = actions.groupBy("review_id").agg(F.max_by(F.struct("action", "reviewed_by", "ts"), F.struct("ts", "event_seq")).alias("_last"))
+    status = F.when(F.col("_last.action") == "approve", "APPROVED").when(F.col("_last.action").isNotNull(), "FLAGGED").otherwise(F.col("review_status"))
+    return review.join(newest, "review_id", "left").withColumn("review_status", status).withColumns(
+        {"reviewed_by": F.col("_last.reviewed_by"), "reviewed_at": F.col("_last.ts")}).drop("_last")
+
+
 def flagged_exceptions(review: DataFrame, actions: DataFrame) -> DataFrame:
     """Exceptions that flagged review rows raise; duplicates keep no score."""
     flagged = review.join(actions.where("action = 'flag'"), "review_id")

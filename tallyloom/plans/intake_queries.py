@@ -75,6 +75,22 @@ add(
 )
 add("review_queue_rows", lambda v: v.review.select("review_id", "statement_id", "row_num", "rejection_details", "review_status"),
     intake("SELECT review_id, statement_id, row_num, rejection_details, review_status FROM review"))
+
+def _actions(v):
+    """A flag for every third pending row, and an approval an hour later for every sixth."""
+    day = F.lit("2002-01-01 00:00:00").cast("timestamp")
+    rows = v.review.where("row_num % 3 = 0")
+    first = rows.select("review_id", F.lit("flag").alias("action"), F.lit("a").alias("reviewed_by"), day.alias("ts"), F.lit(0).alias("event_seq"))
+    later = rows.where("row_num % 6 = 0").select("review_id", F.lit("approve").alias("action"), F.lit("b").alias("reviewed_by"), (day + F.expr("interval 1 hour")).alias("ts"), F.lit(1).alias("event_seq"))
+    return later.unionByName(first)
+
+
+add(
+    "review_actions", lambda v: gold.reviewed(v.review, _actions(v)).select("review_id", "review_status", "reviewed_by", "reviewed_at"),
+    intake("""SELECT review_id, CASE WHEN row_num%6=0 THEN 'APPROVED' WHEN row_num%3=0 THEN 'FLAGGED' ELSE review_status END AS review_status,
+    CASE WHEN row_num%6=0 THEN 'b' WHEN row_num%3=0 THEN 'a' END AS reviewed_by,
+    CASE WHEN row_num%6=0 THEN TIMESTAMP '2002-01-01 01:00:00' WHEN row_num%3=0 THEN TIMESTAMP '2002-01-01 00:00:00' END AS reviewed_at FROM review"""),
+)
 add(
     "review_queue_files",
     lambda v: reports.review_files(v.review.withColumn("source_file", F.when(F.col("row_num") % 11 != 0, F.concat(F.lower("statement_id"), F.lit(".pdf"))))),

@@ -81,6 +81,16 @@ add(
     lambda v: v.all_summaries.select(*_SUMMARY, *[F.col(c).cast("double") for c in ("statement_total", "erp_total", "difference")]),
     walked(f"SELECT {', '.join(_SUMMARY)}, CAST(statement_total AS DOUBLE) AS statement_total, CAST(erp_total AS DOUBLE) AS erp_total, CAST(difference AS DOUBLE) AS difference FROM all_sums"),
 )
+add(
+    "summary_sources",
+    lambda v: gold.with_sources(
+        v.all_summaries.select("statement_id", "matched_count"),
+        v.lines.select("statement_id", "seq", F.initcap("vendor_id").alias("vendor_name"), F.when(F.col("seq") % 4 == 0, F.concat(F.lit("Shop "), F.col("seq") % 9)).alias("shop")),
+        v.lines.where("seq % 3 > 0").select("statement_id", (F.col("seq") % 7).alias("erp_version"))),
+    walked("""SELECT statement_id, matched_count, vendor_name, shop, erp_version FROM all_sums
+    JOIN (SELECT statement_id, arg_min(upper(vendor_id[1])||lower(vendor_id[2:]), seq) AS vendor_name, CASE WHEN min(seq)%4=0 THEN 'Shop '||(min(seq)%9) END AS shop FROM f_stmt GROUP BY 1) USING (statement_id)
+    LEFT JOIN (SELECT statement_id, max(seq%7) AS erp_version FROM f_stmt WHERE seq%3>0 GROUP BY 1) USING (statement_id)"""),
+)
 add(
     "top_matched",
     lambda v: reports.top_matched(v.matched, 5),
