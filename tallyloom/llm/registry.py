@@ -5,6 +5,7 @@ from __future__ import annotations
 from tallyloom.llm import (
     attention_lm,
     best_fit_packing,
+    fill_middle,
     hilbert_sharding,
     host_rules,
     line_dedup,
@@ -26,6 +27,7 @@ _MODULES = (
     attention_lm,
     hilbert_sharding,
     quality_fm,
+    fill_middle,
 )
 
 QUERIES: dict = {}
