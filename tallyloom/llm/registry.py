@@ -9,6 +9,7 @@ from tallyloom.llm import (
     hilbert_sharding,
     host_rules,
     line_dedup,
+    merkle_manifest,
     pii_anchors,
     piece_codec,
     progressive_jpeg,
@@ -28,6 +29,7 @@ _MODULES = (
     hilbert_sharding,
     quality_fm,
     fill_middle,
+    merkle_manifest,
 )
 
 QUERIES: dict = {}
