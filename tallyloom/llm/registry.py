@@ -14,6 +14,7 @@ from tallyloom.llm import (
     piece_codec,
     progressive_jpeg,
     quality_fm,
+    secret_scan,
     simhash_anchors,
 )
 
@@ -30,6 +31,7 @@ _MODULES = (
     quality_fm,
     fill_middle,
     merkle_manifest,
+    secret_scan,
 )
 
 QUERIES: dict = {}
