@@ -109,9 +109,4 @@ add(
     "job_state", lambda v: jobs.fold_events(intake.status_events(v.jobs)),
     fixtures("SELECT job_id, status, completed_at FROM f_jobs"),
 )
-add(
-    "stream_intake", lambda v: intake.run_once(v.spark, v.sf_dir),
-    """SELECT 'file_'||(event_id%400)||'.pdf' AS pdf_filename, 'BATCH-'||strftime(ts,'%Y%m%d') AS batch_id, count(*) AS n_events, min(event_id) AS first_id
-    FROM events WHERE event_type IN ('purchase','click') GROUP BY ALL""",
-)
 QUERIES, ORACLES = add.queries, add.oracles

@@ -144,45 +144,3 @@ def test_match_equals_the_whole_fold(spark):
 def test_salvage_goes_on_behind_a_bad_element():
     assert extraction.salvage_objects('{"rows": [{"a": 1}, {bad: 2}, null, {"b": 3}], "x": [{"c": 4}]}') == ['{"a": 1}', '{"b": 3}']
     assert extraction.salvage_objects('{"rows": [{"a": "} ]"}, {"b": {"c": 1}}, {"d"') == ['{"a": "} ]"}', '{"b": {"c": 1}}']
-
-
-def test_intake_state_ends_with_its_day(spark, tmp_path):
-    from datetime import datetime, timedelta
-
-    from tallyloom.streaming import intake
-
-    day = datetime(2024, 1, 1, 10)
-    deliveries = [  # event 9 comes ten days late; event 2 is file_1 again within the day
-        [(1, day), (401, day + timedelta(hours=1))], [(2, day + timedelta(days=6))], [(3, day + timedelta(days=12))], [(801, day + timedelta(hours=2))],
-    ]
-    schema = "event_id long, user_id long, event_type string, value double, ts timestamp"
-    source, state = tmp_path / "in", str(tmp_path / "state")
-    source.mkdir()
-    rows, kept = {}, []
-
-    def write(changed, batch):
-        rows.update({(r["pdf_filename"], r["batch_id"]): (r["n_events"], r["first_id"]) for r in changed.collect()})
-
-    for k, events in enumerate(deliveries):
-        data = spark.createDataFrame([(i, 0, "click", 0.0, t) for i, t in events], schema)
-        data.coalesce(1).write.parquet(str(source / f"d{k}"))
-        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(source))  # a restart for each delivery
-        query = intake.intake_jobs(stream).writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start()
-        query.awaitTermination()
-        kept.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
-    assert rows == {("file_1.pdf", "BATCH-20240101"): (2, 1), ("file_2.pdf", "BATCH-20240107"): (1, 2), ("file_3.pdf", "BATCH-20240113"): (1, 3)}
-    assert kept[-1] == 1
-
-
-def test_a_document_under_another_name_is_dropped(spark, tmp_path):
-    from datetime import datetime, timedelta
-
-    from tallyloom.streaming import intake
-
-    day, schema = datetime(2024, 1, 1), "ts timestamp, content_hash string, name string"
-    for k, row in enumerate([(day, "h", "a.pdf"), (day + timedelta(days=1), "h", "b.pdf"), (day + timedelta(days=1), "g", "c.pdf")]):
-        spark.createDataFrame([row], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"d{k}"))
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = intake.distinct_documents(stream).writeStream.format("memory").queryName("documents_once").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert sorted(r["content_hash"] for r in spark.table("documents_once").collect()) == ["g", "h"]
