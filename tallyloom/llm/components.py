@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import settle
+from tallyloom.llm.common import forget, settle
 
 
 def component_labels(edges: DataFrame, name: str = "stars") -> DataFrame:
@@ -32,4 +32,5 @@ def component_labels(edges: DataFrame, name: str = "stars") -> DataFrame:
         small = small.select("a", F.col("m").alias("b")).union(
             small.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
-        edges = settle(small.distinct(), name)
+        before, edges = edges, settle(small.distinct(), name)
+        forget(before)
