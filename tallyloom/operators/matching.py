@@ -8,7 +8,8 @@ the amount. Within a statement lines go in ``seq`` order and use ledger rows up.
 Lines are decided by joins wherever order cannot matter: a ledger row is
 contested if two lines of the statement have an edge to it, and a line none of
 whose rows is contested neither affects nor notices any other line. The rest is
-folded in order, one statement at a time. Level-2 candidates are looked for only
+folded in order, one component at a time: lines that contested rows connect, however
+far, and no others. Level-2 candidates are looked for only
 where a line may get there: it has no ledger row of its number, or another line
 has an edge to each of them. They are found through buckets of the amount, so the
 join's size follows the number of near amounts and not the square of a vendor's
@@ -21,11 +22,14 @@ any edge are missing invoices; an empty side gives exceptions only, or nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom import config
+from tallyloom.operators.components import component_labels
 from tallyloom.sources.tables import settle
 
 MONEY = "decimal(18,2)"
@@ -103,12 +107,12 @@ def level2_edges(lines: DataFrame, ledger: DataFrame) -> DataFrame:
     return joined.select(*LINE, F.lit(2).alias("level"), "erp_seq", "erp_amount", "erp_invoice", F.lit(True).alias("ok"))
 
 
-def _fold(rows: pa.Table) -> pa.Table:
-    """Decisions of one statement's contested lines, in order."""
+def _walk(statement: str, rows: list[tuple]) -> list[tuple]:
+    """Decisions of connected lines of one statement, in order; ``rows``: seq, level, erp_seq, ok, erp_amount, erp_invoice."""
     used: set[int] = set()
     edges: dict[int, list[tuple]] = {}
-    for edge in zip(*(rows.column(c).to_pylist() for c in ("seq", "level", "erp_seq", "ok", "erp_amount", "erp_invoice")), strict=True):
-        edges.setdefault(edge[0], []).append(edge[1:])
+    for seq, *edge in rows:
+        edges.setdefault(seq, []).append(tuple(edge))
     out = []
     for seq in sorted(edges):
         free = sorted(e for e in edges[seq] if e[1] not in used)
@@ -116,12 +120,40 @@ def _fold(rows: pa.Table) -> pa.Table:
         pick = next((e for e in first or free if e[2]), None)
         if pick:
             used.add(pick[1])
-            out.append((seq, pick[0], None, pick[1], pick[3], pick[4]))
+            out.append((statement, seq, pick[0], None, pick[1], pick[3], pick[4]))
         else:
-            out.append((seq, None, "Amount Mismatch" if first else "Invoice Missing", None, first[0][3] if first else None, None))
-    statement = rows.column("statement_id")[0].as_py()
-    columns = zip(*((statement, *row) for row in out), strict=True)
-    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _FOLDED, strict=True)], schema=_FOLDED)
+            out.append((statement, seq, None, "Amount Mismatch" if first else "Invoice Missing", None, first[0][3] if first else None, None))
+    return out
+
+
+_EDGE = ["seq", "level", "erp_seq", "ok", "erp_amount", "erp_invoice"]
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Walks group after group of rows that stand together: statement, component, edge."""
+    key, rows, out = None, [], []
+    for batch in batches:
+        for statement, component, *edge in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != (statement, component):
+                if rows:
+                    out += _walk(key[0], rows)
+                key, rows = (statement, component), []
+            rows.append(edge)
+        if len(out) > 10_000:
+            yield _batch(out)
+            out = []
+    yield _batch(out + _walk(key[0], rows) if rows else out)
+
+
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*out, strict=True) if out else [[]] * len(_FOLDED)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOLDED, strict=True)], schema=_FOLDED)
+
+
+def folded(edges: DataFrame) -> DataFrame:
+    """Decisions of all lines of ``edges`` with statement_id and component; a task holds one component at a time."""
+    near = edges.select("statement_id", "component", *_EDGE).repartition("statement_id", "component")
+    return near.sortWithinPartitions("statement_id", "component").mapInArrow(_fold, _DECISION)
 
 
 _FOLDED = pa.schema([
@@ -171,6 +203,18 @@ def needed_edges(lines: DataFrame, ledger: DataFrame) -> DataFrame:
         edges = edges.unionByName(settle(level2_edges(lines.join(stuck, LINE, "left_semi"), ledger), "level2"))
 
 
+def _node(kind: str, number: str) -> Column:
+    return F.xxhash64("statement_id", F.lit(kind), number)
+
+
+def components(marked: DataFrame) -> DataFrame:
+    """(statement_id, seq, component) of the lines that contest a row; ``marked``: edges with ``contested``."""
+    contested = settle(marked.where("contested").select(*LINE, _node("line", "seq").alias("a"), _node("row", "erp_seq").alias("b")), "contested")
+    labels = component_labels(contested.select("a", "b"), "line-components")
+    own = contested.select(*LINE, "a").distinct().join(labels, F.col("a") == F.col("node"), "left")
+    return own.select(*LINE, F.coalesce("label", "a").alias("component"))
+
+
 def match(lines: DataFrame, ledger: DataFrame) -> DataFrame:
     """Every line with its level and ledger row, or its exception reason.
 
@@ -179,12 +223,10 @@ def match(lines: DataFrame, ledger: DataFrame) -> DataFrame:
     have invoice_number_normalized.
     """
     edges = needed_edges(lines, ledger)
-    marked = edges.join(_contested(edges), ["statement_id", "erp_seq"])
-    line = marked.groupBy(*LINE).agg(F.max("contested").alias("folded"))
-    marked = settle(marked.drop("contested").join(line, LINE), "marked")
-    decided = _decided(marked.where(~F.col("folded")))
-    folded = marked.where("folded").drop("folded").groupBy("statement_id").applyInArrow(_fold, _DECISION)
-    return _stated(lines, decided.unionByName(folded))
+    marked = settle(edges.join(_contested(edges), ["statement_id", "erp_seq"]), "marked")
+    placed = settle(marked.drop("contested").join(components(marked), LINE, "left"), "placed")
+    decided = _decided(placed.where("component is null").drop("component"))
+    return _stated(lines, decided.unionByName(folded(placed.where("component is not null"))))
 
 
 def _stated(lines: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -197,4 +239,4 @@ def _stated(lines: DataFrame, decisions: DataFrame) -> DataFrame:
 def fold_all(lines: DataFrame, ledger: DataFrame) -> DataFrame:
     """The same decisions by folding every statement whole, over all edges; tests compare ``match`` with it."""
     edges = level1_edges(lines, ledger).unionByName(level2_edges(lines, ledger))
-    return _stated(lines, edges.groupBy("statement_id").applyInArrow(_fold, _DECISION))
+    return _stated(lines, folded(edges.withColumn("component", F.lit(0).cast("long"))))

@@ -65,8 +65,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that several uses compute it once and a lost executor costs a re-read."""
+    """``df`` written to the shared folder and read back, so that several uses compute it once and a lost executor costs a re-read.
+
+    The table stays until ``forget`` or until the folder is cleared, as results that have not been read yet may need it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written.append((path, out))
+    return out
+
+
+#: Settled tables that have not been removed, with the frames that ``settle`` returned for them.
+_written: list[tuple[str, DataFrame]] = []
+
+
+def settled() -> list[DataFrame]:
+    """Frames of the settled tables that are still there."""
+    return [frame for _, frame in _written]
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes settled ``tables`` that nothing reads any more; frames that ``settle`` did not return stay as they are."""
+    for path, frame in [x for x in _written if any(x[1] is t for t in tables)]:
+        spark = frame.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        _written[:] = [x for x in _written if x[0] != path]

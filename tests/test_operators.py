@@ -141,6 +141,28 @@ def test_match_equals_the_whole_fold(spark):
         assert {r["status"] for r in matching.match(*frames).collect()} <= {"EXCEPTION"}
 
 
+def test_components_join_what_contested_rows_connect(spark):
+    """Random bipartite edges: every component is one group, and nothing else shares its group."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    edges = [(f"S{rng.randrange(3)}", rng.randrange(80), rng.randrange(70)) for _ in range(160)]
+    label = {}
+    for s, line, row in edges:  # union by renaming
+        a, b = label.setdefault((s, "l", line), (s, "l", line)), label.setdefault((s, "r", row), (s, "r", row))
+        if a != b:
+            label = {k: a if v == b else v for k, v in label.items()}
+    marked = spark.createDataFrame([(*e, True) for e in edges] + [("S9", 1, 1, False)], "statement_id string, seq long, erp_seq long, contested boolean")
+    found = {(r["statement_id"], r["seq"]): r["component"] for r in matching.components(marked).collect()}
+    want = {(s, n): v for (s, kind, n), v in label.items() if kind == "l"}
+    assert found.keys() == want.keys()
+    pairs = {(found[k], want[k]) for k in found}
+    assert len(pairs) == len(set(found.values())) == len(set(want.values())) > 20
+    assert matching.components(marked.where(F.lit(False))).count() == 0
+
+
 def test_salvage_goes_on_behind_a_bad_element():
     assert extraction.salvage_objects('{"rows": [{"a": 1}, {bad: 2}, null, {"b": 3}], "x": [{"c": 4}]}') == ['{"a": 1}', '{"b": 3}']
     assert extraction.salvage_objects('{"rows": [{"a": "} ]"}, {"b": {"c": 1}}, {"d"') == ['{"a": "} ]"}', '{"b": {"c": 1}}']
