@@ -38,8 +38,31 @@ COLUMN_KEYWORDS = [
 ]
 TABLE_INVOICE_KEYWORDS = ["invoice #", "invoice no", "invoice number", "inv #", "inv no", "reference"]
 TABLE_OUTSTANDING_KEYWORDS = ["outstanding", "balance", "amount due", "remaining"]
+#: Further fields of a page table, in the order in which branches are tried.
+TABLE_KEYWORDS = [
+    ("outstanding_amount", TABLE_OUTSTANDING_KEYWORDS),
+    ("amount", ["amount", "charges"]),
+    ("ro_number", ["ro #", "ro no", "repair order"]),
+    ("po_number", ["po #", "po no", "purchase order"]),
+    ("work_order_number", ["work order", "wo #", "wo no"]),
+    ("description", ["desc"]),
+]
 TOTALS_WORDS = ["total", "balance", "subtotal"]
 
+# What a page with hardly any text is, and how far lines of tables and of scans are trusted.
+SCANNED_TEXT_BELOW = 500
+TABLE_LINE_CONFIDENCE, SCANNED_LINE_CONFIDENCE, NO_LINES_CONFIDENCE = 0.65, 0.50, 0.20
+SHOP_WORDS = ("vive", "collision", "auto body", "shop")
+
+# What print-outs of a report hold besides its rows.
+PAGE_HEADER_WORDS = ("transaction", "bill type", "date", "document number", "amount", "bill", "type")
+REPORT_TITLES = ("netsuite.com", "reportrunner", "payment history by payment")
+
+# Header fields of a payment voucher, on its first page.
+VOUCHER_VENDOR = r"Paid To\n(.+)"
+VOUCHER_DATE = r"Payment Voucher\nDate\n(\d{1,2}/\d{1,2}/\d{4})"
+VOUCHER_CHECK = r"Check #\n?\s*(\S+)"
+
 # Shapes of extracted texts.
 ACCOUNT_PREFIX = r"^\s*\d{2}[\s.]?\d{2}\b"
 CURRENCY_SHAPE = r"^\(?-?\$?\s*\d[\d,]*\.\d{2}\)?-?$"

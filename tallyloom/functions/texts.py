@@ -65,6 +65,12 @@ def bill_number(description: Column) -> Column:
     return F.nullif(strip(F.regexp_extract(strip(description), config.BILL_SHAPE, 1)), F.lit(""))
 
 
+def voucher_header(text: Column) -> tuple[Column, Column, Column]:
+    """Vendor, date and check number of a voucher's first page; null where they are not found."""
+    vendor, day, check = (F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in (config.VOUCHER_VENDOR, config.VOUCHER_DATE, config.VOUCHER_CHECK))
+    return strip(vendor), day, check
+
+
 def is_totals_row(invoice: Column) -> Column:
     return F.coalesce(F.lower(invoice).rlike("|".join(config.TOTALS_WORDS)), F.lit(False))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,10 +31,14 @@ def pseudo_table(text: Column) -> Column:
     return F.transform(lines, cells)
 
 
+def _bound(value: Column, rule: Callable[[Column], Column]) -> Column:
+    """``rule`` of ``value``, which is computed once however often the rule names it."""
+    return F.get(F.transform(F.array(value), rule), F.lit(0))
+
+
 def header_words(row: Column) -> Column:
     """How many header words the joined, lower-cased row holds."""
-    joined = F.lower(F.array_join(row, " ", ""))
-    return sum(joined.contains(w).cast("int") for w in config.HEADER_WORDS)
+    return _bound(F.lower(F.array_join(row, " ", "")), lambda joined: sum(joined.contains(w).cast("int") for w in config.HEADER_WORDS))
 
 
 def find_header(grid: Column) -> Column:
@@ -55,35 +60,51 @@ def _any(text: Column, words: list[str]) -> Column:
 
 def header_field_a(header: Column) -> Column:
     """Field of a header in a keyed table: the first branch with a keyword in it."""
-    h = normalize_header(header)
-    out = F.when(F.lit(False), "")
-    for name, words in config.COLUMN_KEYWORDS:
-        hit = _any(h, words)
-        out = out.when(hit | (h == "amount") if name == "amount" else hit, name)
-    return out
 
+    def field(h: Column) -> Column:
+        out = F.when(F.lit(False), "")
+        for name, words in config.COLUMN_KEYWORDS:
+            hit = _any(h, words)
+            out = out.when(hit | (h == "amount") if name == "amount" else hit, name)
+        return out
+
+    return _bound(normalize_header(header), field)
 
-def map_columns_a(headers: DataFrame) -> DataFrame:
-    """First header of each field, at one position the first by text; ``headers``: doc_id, pos, header."""
+
+def map_columns_a(headers: DataFrame, values: DataFrame | None = None, sample: int = 200) -> DataFrame:
+    """First header of each field, at one position the first by text; ``headers``: doc_id, pos, header.
+
+    Of several invoice headers the one whose values look least like account codes is
+    taken, by its first ``sample`` values that are not null; without values or at equal
+    shares the first. ``values``: doc_id, pos, header, row_num, value.
+    """
     mapped = headers.withColumn("field", header_field_a(F.col("header"))).where("field is not null")
-    return mapped.groupBy("doc_id", "field").agg(F.min_by("header", F.struct("pos", "header")).alias("header"), F.min("pos").alias("pos"))
+    place = F.struct(F.lit(None).cast("double").alias("share"), "pos", "header")
+    if values is not None:
+        invoices = mapped.where("field = 'invoice_number'").select("doc_id", "pos", "header").distinct()
+        several = invoices.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+        share = account_shares(values.join(several, "doc_id", "left_semi").join(invoices, ["doc_id", "pos", "header"], "left_semi"), sample)
+        mapped = mapped.join(share.withColumn("field", F.lit("invoice_number")), ["doc_id", "pos", "header", "field"], "left")
+        place = F.struct(F.coalesce("share", F.lit(2.0)).alias("share"), "pos", "header")  # a share is at most 1
+    best = mapped.groupBy("doc_id", "field").agg(F.min(place).alias("best"))
+    return best.select("doc_id", "field", "best.header", "best.pos")
 
 
 def header_field_b(header: Column) -> Column:
     """Field of a header in a page table."""
-    h = strip(F.lower(header))
-    dated = h.contains("date")
-    return (
-        F.when(~dated & (_any(h, config.TABLE_INVOICE_KEYWORDS) | h.rlike(r"\bref\b")), "invoice_number")
-        .when(h.contains("invoice") & dated, "invoice_date")
-        .when(h.contains("due") & dated, "due_date")
-        .when(_any(h, config.TABLE_OUTSTANDING_KEYWORDS), "outstanding_amount")
-        .when(_any(h, ["amount", "charges"]), "amount")
-        .when(_any(h, ["ro #", "ro no", "repair order"]), "ro_number")
-        .when(_any(h, ["po #", "po no", "purchase order"]), "po_number")
-        .when(_any(h, ["work order", "wo #", "wo no"]), "work_order_number")
-        .when(h.contains("desc"), "description")
-    )
+
+    def field(h: Column) -> Column:
+        dated = h.contains("date")
+        out = (
+            F.when(~dated & (_any(h, config.TABLE_INVOICE_KEYWORDS) | h.rlike(r"\bref\b")), "invoice_number")
+            .when(h.contains("invoice") & dated, "invoice_date")
+            .when(h.contains("due") & dated, "due_date")
+        )
+        for name, words in config.TABLE_KEYWORDS:
+            out = out.when(_any(h, words), name)
+        return out
+
+    return _bound(strip(F.lower(header)), field)
 
 
 def map_columns_b(headers: DataFrame) -> DataFrame:
@@ -106,10 +127,14 @@ def cleanest_column(values: DataFrame, sample: int = 200) -> DataFrame:
     ``values``: doc_id, pos (of the column), header, row_num, value. The first
     ``sample`` values of a column decide (a rule of the operator); ties go to the first column.
     """
-    order = Window.partitionBy("doc_id", "pos").orderBy("row_num")
+    return account_shares(values, sample).groupBy("doc_id").agg(F.min_by("header", F.struct("share", "pos")).alias("header"))
+
+
+def account_shares(values: DataFrame, sample: int = 200) -> DataFrame:
+    """(doc_id, pos, header, share): the share of account prefixes among a column's first ``sample`` values that are not null."""
+    order = Window.partitionBy("doc_id", "pos", "header").orderBy("row_num", "value")
     seen = values.where("value is not null").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= sample)
-    share = seen.groupBy("doc_id", "pos", "header").agg(F.avg(F.col("value").rlike(config.ACCOUNT_PREFIX).cast("int")).alias("share"))
-    return share.groupBy("doc_id").agg(F.min_by("header", F.struct("share", "pos")).alias("header"))
+    return seen.groupBy("doc_id", "pos", "header").agg(F.avg(F.col("value").rlike(config.ACCOUNT_PREFIX).cast("int")).alias("share"))
 
 
 def fallback_fields(rows: DataFrame) -> DataFrame:
@@ -195,16 +220,19 @@ def row_clusters(words: DataFrame, tolerance: float) -> DataFrame:
     return lines.select("page_id", "row_no", F.array_join(F.transform(F.sort_array("r.words"), lambda w: w["text"]), " ").alias("text"))
 
 
-def is_page_furniture(transaction: Column, *others: Column, header_words: tuple[str, ...] = ("transaction", "bill type", "date", "document number", "amount")) -> Column:
-    """Blank rows, header words, print times, report addresses and page numbers."""
-    txn = F.lower(strip(F.coalesce(transaction, F.lit(""))))
-    empty = txn == ""
-    for o in others:
-        empty = empty & (F.coalesce(o, F.lit("")) == "")
-    return (
-        empty | txn.isin(*header_words, "bill", "type") | txn.rlike(r"^\d{1,2}/\d{1,2}/\d{2,4},?\s*\d{1,2}:\d{2}")
-        | txn.rlike(r"^https?://") | txn.rlike(r"^\d+\s*/\s*\d+$")
-    )
+def is_page_furniture(transaction: Column, *others: Column, header_words: tuple[str, ...] = config.PAGE_HEADER_WORDS, titles: tuple[str, ...] = config.REPORT_TITLES) -> Column:
+    """Blank rows, header words, print times, the report's title and address, and page numbers."""
+
+    def furniture(txn: Column) -> Column:
+        empty = txn == ""
+        for o in others:
+            empty = empty & (F.coalesce(o, F.lit("")) == "")
+        out = empty | txn.isin(*header_words) | txn.rlike(r"^\d{1,2}/\d{1,2}/\d{2,4},?\s*\d{1,2}:\d{2}") | txn.rlike(r"^\d+\s*/\s*\d+$")
+        for title in titles:
+            out = out | txn.contains(title)
+        return out
+
+    return _bound(F.lower(strip(F.coalesce(transaction, F.lit("")))), furniture)
 
 
 def page_merge(pages: DataFrame) -> DataFrame:

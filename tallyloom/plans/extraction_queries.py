@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import extraction
+from tallyloom.operators import extraction, pages
 from tallyloom.plans.oracles import fixtures
 from tallyloom.plans.register import Register
 from tallyloom.plans.views import Views
@@ -12,7 +12,7 @@ from tallyloom.sources.tables import read_table
 
 add = Register()
 #: Headers of the fixture documents by residue of the order key.
-_HEADERS = ["Invoice #", "Posting Date", "Amount Due", "Credits", "Amount", "RO No", "Notes", "Shop", "Ref"]
+_HEADERS = ["Invoice #", "Posting Date", "Amount Due", "Credits", "Amount", "RO No", "Notes", "Shop", "Ref", "Inv No"]
 _HEADER_SQL = "['" + "','".join(_HEADERS) + "']"
 
 
@@ -21,28 +21,37 @@ def _items(v: Views):
 
 
 def _headers(v: Views):
-    """Three headers a document, chosen by line item."""
+    """Headers of a document, chosen by line item; several may stand at one position."""
     names = F.array(*map(F.lit, _HEADERS))
     return _items(v).select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") - 1).cast("int").alias("pos"), "l_partkey").select(
-        "doc_id", "pos", F.get(names, (F.col("l_partkey") % len(_HEADERS)).cast("int")).alias("header"))
-
-
-_HEADERS_SQL = f"hd AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber-1 AS INT) AS pos, {_HEADER_SQL}[CAST(l_partkey%9 AS INT)+1] AS header, l_partkey FROM lineitem)"
-#: All line items; several headers at one position are settled by text.
-for _name in ("map_columns_a", "map_columns_a_all"):
-    add(
-        _name, lambda v: extraction.map_columns_a(_headers(v)),
-        f"""WITH {_HEADERS_SQL}, m AS (SELECT *, CASE header WHEN 'Invoice #' THEN 'invoice_number' WHEN 'Posting Date' THEN 'invoice_date' WHEN 'Amount Due' THEN 'outstanding_amount' WHEN 'Credits' THEN 'credit'
-        WHEN 'Amount' THEN 'amount' WHEN 'RO No' THEN 'ro_number' WHEN 'Notes' THEN 'description' WHEN 'Shop' THEN 'shop' END AS field FROM hd)
-        SELECT doc_id, field, header, pos FROM m WHERE field IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY pos, header)=1""",
-    )
-for _name in ("map_columns_b", "map_columns_b_all"):
-    add(
-        _name, lambda v: extraction.map_columns_b(_headers(v)),
-        f"""WITH {_HEADERS_SQL}, m AS (SELECT *, CASE header WHEN 'Invoice #' THEN 'invoice_number' WHEN 'Amount Due' THEN 'outstanding_amount' WHEN 'Amount' THEN 'amount'
-        WHEN 'RO No' THEN 'ro_number' WHEN 'Ref' THEN 'invoice_number' END AS field FROM hd), r AS (SELECT *, CASE WHEN field='amount' THEN pos ELSE -pos END AS k FROM m WHERE field IS NOT NULL)
-        SELECT doc_id, field, header, pos FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY k, header)=1""",
-    )
+        "doc_id", "pos", F.get(names, (F.col("l_partkey") % len(_HEADERS)).cast("int")).alias("header"), "l_partkey")
+
+
+def _values(v: Views):
+    """Three values a column: account codes, plain numbers and nulls, by residues of the part."""
+    part = F.col("l_partkey")
+    rows = _headers(v).withColumn("row_num", F.explode(F.array(*map(F.lit, range(3)))))
+    value = F.when((part + F.col("row_num")) % 5 == 0, None).when((part + F.col("row_num")) % 3 == 0, F.concat(F.lit("60 35 "), part)).otherwise(F.concat(F.lit("P"), part))
+    return rows.withColumn("value", value)
+
+
+_HEADERS_SQL = f"hd AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber-1 AS INT) AS pos, {_HEADER_SQL}[CAST(l_partkey%{len(_HEADERS)} AS INT)+1] AS header, l_partkey FROM lineitem)"
+#: Several headers at one position are settled by text, several invoice columns by their values.
+add(
+    "map_columns_a", lambda v: extraction.map_columns_a(_headers(v), _values(v)),
+    f"""WITH {_HEADERS_SQL}, m AS (SELECT *, CASE header WHEN 'Invoice #' THEN 'invoice_number' WHEN 'Inv No' THEN 'invoice_number' WHEN 'Posting Date' THEN 'invoice_date' WHEN 'Amount Due' THEN 'outstanding_amount'
+    WHEN 'Credits' THEN 'credit' WHEN 'Amount' THEN 'amount' WHEN 'RO No' THEN 'ro_number' WHEN 'Notes' THEN 'description' WHEN 'Shop' THEN 'shop' END AS field FROM hd),
+    vl AS (SELECT doc_id, pos, header, CASE WHEN (l_partkey+k)%5=0 THEN NULL WHEN (l_partkey+k)%3=0 THEN 1.0 ELSE 0.0 END AS a FROM m, (SELECT unnest([0,1,2]) AS k) WHERE field='invoice_number'),
+    sh AS (SELECT doc_id, pos, header, avg(a) AS share FROM vl GROUP BY ALL)
+    SELECT m.doc_id, field, m.header, m.pos FROM m LEFT JOIN sh ON field='invoice_number' AND sh.doc_id=m.doc_id AND sh.pos=m.pos AND sh.header=m.header
+    WHERE field IS NOT NULL QUALIFY row_number() OVER (PARTITION BY m.doc_id, field ORDER BY coalesce(share, 2), m.pos, m.header)=1""",
+)
+add(
+    "map_columns_b", lambda v: extraction.map_columns_b(_headers(v)),
+    f"""WITH {_HEADERS_SQL}, m AS (SELECT *, CASE header WHEN 'Invoice #' THEN 'invoice_number' WHEN 'Inv No' THEN 'invoice_number' WHEN 'Amount Due' THEN 'outstanding_amount' WHEN 'Amount' THEN 'amount'
+    WHEN 'RO No' THEN 'ro_number' WHEN 'Ref' THEN 'invoice_number' END AS field FROM hd), r AS (SELECT *, CASE WHEN field='amount' THEN pos ELSE -pos END AS k FROM m WHERE field IS NOT NULL)
+    SELECT doc_id, field, header, pos FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY k, header)=1""",
+)
 add(
     "pseudo_table", lambda v: read_table(v.spark, v.sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(extraction.pseudo_table(F.col("text"))).alias("row_no", "cells")).select(
         "doc_id", "row_no", F.size("cells").alias("n_cells"), F.get("cells", F.lit(0)).alias("first_cell")),
@@ -100,13 +109,12 @@ def _all_cells(v: Views):
                              F.lit(5).alias("n_rows"), F.lit(3).alias("n_columns"), F.col("l_partkey").cast("string").alias("content"))
 
 
-for _name in ("cells_to_grid", "cells_to_grid_all"):
-    add(
-        _name, lambda v: extraction.cells_to_grid(_all_cells(v)).withColumn("cells", F.array_join("cells", "|")),
-        """SELECT l_orderkey AS table_id, CAST(l_linenumber-1 AS INT) AS row_index,
-        concat_ws('|', coalesce(min(t) FILTER (c=0),''), coalesce(min(t) FILTER (c=1),''), coalesce(min(t) FILTER (c=2),'')) AS cells
-        FROM (SELECT *, l_partkey%4 AS c, CAST(l_partkey AS VARCHAR) AS t FROM lineitem) WHERE c<3 AND l_linenumber<=5 GROUP BY ALL""",
-    )
+add(
+    "cells_to_grid", lambda v: extraction.cells_to_grid(_all_cells(v)).withColumn("cells", F.array_join("cells", "|")),
+    """SELECT l_orderkey AS table_id, CAST(l_linenumber-1 AS INT) AS row_index,
+    concat_ws('|', coalesce(min(t) FILTER (c=0),''), coalesce(min(t) FILTER (c=1),''), coalesce(min(t) FILTER (c=2),'')) AS cells
+    FROM (SELECT *, l_partkey%4 AS c, CAST(l_partkey AS VARCHAR) AS t FROM lineitem) WHERE c<3 AND l_linenumber<=5 GROUP BY ALL""",
+)
 add(
     "continuation_tables",
     lambda v: extraction.continuation_tables(v.lines.select(F.col("statement_id").alias("doc_id"), F.col("seq").alias("table_no"), (F.col("seq") % 4 / 2).cast("int").alias("width"),
@@ -131,13 +139,12 @@ add(
 )
 _BOUNDS = [("date", 20.0), ("invoice", 35.0)]
 #: Words at one place go by text.
-for _name in ("bucket_columns", "bucket_columns_all"):
-    add(
-        _name,
-        lambda v: extraction.bucket_columns(_items(v).select(F.col("l_orderkey").alias("row_id"), F.col("l_quantity").alias("x"), F.col("l_partkey").cast("string").alias("text")), _BOUNDS, "amount"),
-        """SELECT l_orderkey AS row_id, CASE WHEN l_quantity<20 THEN 'date' WHEN l_quantity<35 THEN 'invoice' ELSE 'amount' END AS column,
-        string_agg(CAST(l_partkey AS VARCHAR), ' ' ORDER BY l_quantity, CAST(l_partkey AS VARCHAR)) AS text FROM lineitem GROUP BY ALL""",
-    )
+add(
+    "bucket_columns",
+    lambda v: extraction.bucket_columns(_items(v).select(F.col("l_orderkey").alias("row_id"), F.col("l_quantity").alias("x"), F.col("l_partkey").cast("string").alias("text")), _BOUNDS, "amount"),
+    """SELECT l_orderkey AS row_id, CASE WHEN l_quantity<20 THEN 'date' WHEN l_quantity<35 THEN 'invoice' ELSE 'amount' END AS column,
+    string_agg(CAST(l_partkey AS VARCHAR), ' ' ORDER BY l_quantity, CAST(l_partkey AS VARCHAR)) AS text FROM lineitem GROUP BY ALL""",
+)
 add(
     "row_cluster",
     lambda v: extraction.row_clusters(_items(v).select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").cast("double").alias("x"), (F.col("l_quantity") / 4).alias("y"), F.col("l_partkey").cast("string").alias("text")), 1.0),
@@ -213,4 +220,52 @@ add(
     "header_info", lambda v: v.lines.select("seq", *[c.alias(n) for c, n in zip(extraction.header_info(_heads()), ("vendor", "shop"), strict=True)]),
     fixtures("SELECT seq, vendor_id AS vendor, CASE WHEN seq%2=0 THEN 'West COLLISION '||seq ELSE 'Auto body two' END AS shop FROM f_stmt"),
 )
+
+
+def _statement_pages(v: Views):
+    """Ten lines of a statement a page: as a table, as scanned text, as a table without headers, or as nothing that can be read."""
+    number = F.expr("(row_number() OVER (PARTITION BY statement_id ORDER BY seq) - 1) div 10")
+    lines = v.lines.select("statement_id", "vendor_id", "seq", "invoice_number", F.col("outstanding_amount").cast("string").alias("due"), (number + 1).cast("int").alias("page_no"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("seq", "invoice_number", "due"))), lambda x: F.array(x["invoice_number"], x["due"], F.lit("")))
+    pages = lines.groupBy("statement_id", "vendor_id", "page_no").agg(ordered.alias("body"), F.min("seq").alias("seq"))
+    kind = F.col("seq") % 6
+    head = F.array(F.array(F.lit("Statement"), F.lit(""), F.lit(None).cast("string")), F.array(*map(F.lit, ("Invoice No", "Amount Due", "RO No"))))
+    total = F.array(F.array(F.lit(""), F.lit(None).cast("string"), F.lit("")), F.array(F.lit("Subtotal"), F.lit("$1,000.00"), F.lit("")))
+    grid = F.concat(head, "body", total)
+    spelt = F.array_join(F.transform(grid, lambda r: F.rtrim(F.array_join(r, "   ", ""))), "\n")
+    text = F.concat("vendor_id", F.lit("\nWest Collision "), "page_no")
+    return pages.select(
+        F.col("statement_id").alias("doc_id"), "page_no", F.when(kind == 2, F.repeat(F.concat(text, F.lit(" ")), 60)).otherwise(text).alias("text"),
+        F.when(kind < 2, grid).when(kind == 3, F.slice(grid, 3, 99)).alias("grid"), F.when(kind == 4, F.concat(spelt, F.lit("   "), F.repeat(F.lit("x"), 500))).when(kind == 5, spelt).alias("scan_text"))
+
+
+_PAGES_SQL = """pl AS (SELECT *, CAST((row_number() OVER (PARTITION BY statement_id ORDER BY seq)-1)//10+1 AS INT) AS page_no, CAST((row_number() OVER (PARTITION BY statement_id ORDER BY seq)-1)%10+1 AS INT) AS row_no FROM f_stmt),
+    pk AS (SELECT *, min(seq) OVER (PARTITION BY statement_id, page_no)%6 AS kind FROM pl)"""
+
+
+def _of_pages(body: str) -> str:
+    return fixtures("SELECT 1").removesuffix(" SELECT 1") + f", {_PAGES_SQL} {body}"
+
+
+add(
+    "page_lines",
+    lambda v: pages.lines(pages.decide(_statement_pages(v))).select(
+        "doc_id", "page_no", "row_no", "invoice_number", "outstanding_amount", "amount", "line_confidence", F.substring("shop", 1, 14).alias("shop")),
+    _of_pages("""SELECT statement_id AS doc_id, page_no, row_no, invoice_number, CAST(outstanding_amount AS DOUBLE) AS outstanding_amount, CAST(outstanding_amount AS DOUBLE) AS amount,
+    CAST(CASE WHEN kind=4 THEN 0.5 ELSE 0.65 END AS DOUBLE) AS line_confidence, 'West Collision' AS shop FROM pk WHERE kind IN (0,1,4)"""),
+)
+
+
+def _page_documents(v: Views):
+    decided = pages.decide(_statement_pages(v))
+    return pages.documents(decided, pages.lines(decided))
+
+
+add(
+    "page_warnings",
+    lambda v: _page_documents(v).select("doc_id", "vendor", "page_count", "confidence", F.explode_outer("warnings").alias("w")).select("doc_id", "vendor", "page_count", "confidence", "w.code", "w.severity", "w.page_no"),
+    _of_pages("""SELECT doc_id, vendor_id AS vendor, page_count, CAST(CASE WHEN good THEN 0.65 ELSE 0.2 END AS DOUBLE) AS confidence, code, severity, p AS page_no FROM
+    (SELECT statement_id AS doc_id, vendor_id, max(page_no) AS page_count, bool_or(kind IN (0,1,4)) AS good FROM pk GROUP BY ALL) LEFT JOIN
+    (SELECT DISTINCT statement_id AS doc_id, page_no AS p, CASE kind WHEN 3 THEN 'AMBIGUOUS_COLUMN' ELSE 'UNSUPPORTED_LAYOUT' END AS code, CASE kind WHEN 3 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM pk WHERE kind IN (2,3,5)) USING (doc_id)"""),
+)
 QUERIES, ORACLES = add.queries, add.oracles

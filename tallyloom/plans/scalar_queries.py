@@ -92,12 +92,11 @@ add(
     fixtures("SELECT seq, regexp_replace(lower(vendor_id),'_[0-9]+$','')||'_statement' AS slug FROM f_stmt"),
 )
 #: Two words of letters give their initials, one its first two letters, none the name's first two.
-for _name in ("initials", "initials_all"):
-    add(
-        _name, lambda v: _names(v).select("id", texts.initials(F.col("vendor_name")).alias("initials")),
-        f"""WITH {_NAMES_SQL}, w AS (SELECT id, vendor_name, list_filter(regexp_split_to_array(translate(vendor_name,'/,','  '),'\\s+'), lambda x: regexp_full_match(x,'\\p{{L}}+')) AS w FROM nm)
-        SELECT id, upper(CASE WHEN coalesce(vendor_name,'')='' THEN '??' WHEN len(w)>=2 THEN left(w[1],1)||left(w[2],1) WHEN len(w)=1 THEN left(w[1],2) ELSE left(vendor_name,2) END) AS initials FROM w""",
-    )
+add(
+    "initials", lambda v: _names(v).select("id", texts.initials(F.col("vendor_name")).alias("initials")),
+    f"""WITH {_NAMES_SQL}, w AS (SELECT id, vendor_name, list_filter(regexp_split_to_array(translate(vendor_name,'/,','  '),'\\s+'), lambda x: regexp_full_match(x,'\\p{{L}}+')) AS w FROM nm)
+    SELECT id, upper(CASE WHEN coalesce(vendor_name,'')='' THEN '??' WHEN len(w)>=2 THEN left(w[1],1)||left(w[2],1) WHEN len(w)=1 THEN left(w[1],2) ELSE left(vendor_name,2) END) AS initials FROM w""",
+)
 add(
     "blob_path",
     lambda v: v.lines.select("seq", texts.blob_path(F.col("vendor_id"), F.left("statement_period", F.lit(4)), F.right("statement_period", F.lit(2)), F.sha2("invoice_number", 256)).alias("path")),
@@ -134,8 +133,17 @@ add(
 add(
     "page_furniture",
     lambda v: v.lines.select("seq", extraction.is_page_furniture(
-        _spell(F.col("seq"), [F.col("invoice_number"), F.lit("Transaction"), F.lit("12/31/25, 10:15 AM"), F.lit("https://x.example/r"), F.lit("3 / 7"), F.lit("")]), F.lit("")).alias("furniture")),
-    fixtures("SELECT seq, seq%6>0 AS furniture FROM f_stmt"),
+        _spell(F.col("seq"), [F.col("invoice_number"), F.lit("Transaction"), F.lit("12/31/25, 10:15 AM"), F.lit("https://x.example/r"), F.lit("3 / 7"), F.lit(""), F.concat(F.lit("Payment History by Payment "), "seq"), F.lit("https://a.NetSuite.com/x")]), F.lit("")).alias("furniture")),
+    fixtures("""SELECT seq, t='' OR t IN ('transaction','bill type','date','document number','amount','bill','type') OR regexp_matches(t, '^\\d{1,2}/\\d{1,2}/\\d{2,4},?\\s*\\d{1,2}:\\d{2}')
+    OR contains(t,'netsuite.com') OR contains(t,'reportrunner') OR contains(t,'payment history by payment') OR regexp_matches(t,'^\\d+\\s*/\\s*\\d+$') AS furniture FROM
+    (SELECT seq, lower([invoice_number,'Transaction','12/31/25, 10:15 AM','https://x.example/r','3 / 7','','Payment History by Payment '||seq,'https://a.NetSuite.com/x'][CAST(seq%8 AS INT)+1]) AS t FROM f_stmt)"""),
+)
+add(
+    "voucher_header",
+    lambda v: v.lines.select("seq", *[c.alias(n) for c, n in zip(texts.voucher_header(_spell(F.col("seq"), [
+        F.concat(F.lit("Payment Voucher\nDate\n1/2/2025\nPaid To\n "), "vendor_id", F.lit(" \nCheck #\n "), "seq", F.lit(" x")), F.concat(F.lit("Check # "), "invoice_number", F.lit("\nPaid To\n"), "vendor_id"), F.lit("Paid To "), F.lit("")])),
+        ("vendor", "day", "check_number"), strict=True)]),
+    fixtures("SELECT seq, CASE WHEN seq%4<2 THEN vendor_id END AS vendor, CASE WHEN seq%4=0 THEN '1/2/2025' END AS day, CASE seq%4 WHEN 0 THEN CAST(seq AS VARCHAR) WHEN 1 THEN invoice_number END AS check_number FROM f_stmt"),
 )
 add(
     "doc_routing", lambda v: v.jobs.select("job_id", extraction.document_routing(F.when(F.col("id") % 6 == 0, "VENDOR_STATEMENT").when(F.col("id") % 6 == 1, "PURCHASE_ORDER")).alias("route")),

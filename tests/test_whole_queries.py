@@ -30,7 +30,7 @@ def test_grid_of_all_line_items(spark, sf_dir):
         if c < 3 and place[1] < 5:
             row = want.setdefault(place, ["", "", ""])
             row[c] = min(filter(None, (row[c], str(r["l_partkey"]))))
-    found = {(r["table_id"], r["row_index"]): r["cells"] for r in registry.QUERIES["cells_to_grid_all"](spark, sf_dir).collect()}
+    found = {(r["table_id"], r["row_index"]): r["cells"] for r in registry.QUERIES["cells_to_grid"](spark, sf_dir).collect()}
     assert found == {k: "|".join(v) for k, v in want.items()}
     assert any(sum(map(bool, v)) > 1 for v in want.values())
 
@@ -38,6 +38,6 @@ def test_grid_of_all_line_items(spark, sf_dir):
 def test_every_word_is_in_a_column_and_in_a_row(spark):
     path = "/root/testdata/sf0.01"  # sf0.001 may have no two words at one place
     n = read_table(spark, path, "lineitem").count()
-    for name in ("bucket_columns_all", "row_cluster"):
+    for name in ("bucket_columns", "row_cluster"):
         words = registry.QUERIES[name](spark, path).agg(F.sum(F.size(F.split("text", " ")))).first()[0]
         assert words == n, name
