@@ -7,6 +7,8 @@ TOLERANCE_ABS = "0.50"
 TOLERANCE_PCT = "0.01"
 EXACT_EPSILON = "0.005"
 MATCH_CONFIDENCE = {(1, "EXACT"): 1.00, (1, "TOLERANCE"): 0.95, (2, "EXACT"): 0.80, (2, "TOLERANCE"): 0.75}
+#: Tiers of kinds that the matcher does not give today.
+OTHER_CONFIDENCE = {("INVOICE", "MISMATCH"): 0.70, ("PO", "EXACT"): 0.85, ("PO", "TOLERANCE"): 0.80}
 FUZZY_CONFIDENCE = 0.60
 EXCEPTION_CONFIDENCE = {"Invoice Missing": 0.90, "Amount Mismatch": 0.85, "EXTRACTION_INCOMPLETE": 0.50}
 DEFAULT_CONFIDENCE = 0.50

@@ -56,6 +56,15 @@ def match_confidence(level: Column, stmt: Column, ledger: Column) -> Column:
     return F.when(level.isin(1, 2), out).when(level.isNotNull(), config.FUZZY_CONFIDENCE)
 
 
+def tier_confidence(kind: Column, status: Column) -> Column:
+    """Score of a kind of match (INVOICE, RO, PO, else fuzzy) and an amount status (EXACT, TOLERANCE, MISMATCH)."""
+    named = {("INVOICE" if level == 1 else "RO", s): score for (level, s), score in config.MATCH_CONFIDENCE.items()} | config.OTHER_CONFIDENCE
+    out = F.when(F.lit(False), config.FUZZY_CONFIDENCE)
+    for (k, s), score in named.items():
+        out = out.when((kind == k) & (status == s), score)
+    return out.otherwise(config.FUZZY_CONFIDENCE)
+
+
 def exception_confidence(reason: Column) -> Column:
     out = F.lit(config.DEFAULT_CONFIDENCE)
     for name, score in config.EXCEPTION_CONFIDENCE.items():

@@ -247,6 +247,20 @@ def report_rows(matched: DataFrame, exceptions: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(order)).select("place", *columns)
 
 
+def report_sections(summaries: DataFrame, matched: DataFrame, exceptions: DataFrame, log: DataFrame) -> DataFrame:
+    """Every statement's whole report as one dataset: summary, intake, matched, exception and audit rows by section and place.
+
+    ``log``: kind, statement_id, detail, ts. The newest intake event is the intake row, all other events are the audit section.
+    """
+    rows = report_rows(matched, exceptions).select("statement_id", "section", "place", F.concat_ws("|", "invoice_number", "detail").alias("text"))
+    summary = summaries.select("statement_id", F.lit("summary").alias("section"), F.lit(1).alias("place"), F.concat_ws("|", "overall_status", "matched_count", "exception_count").alias("text"))
+    intake = log.where("kind = 'INTAKE'").groupBy("statement_id").agg(F.max_by("detail", F.struct("ts", "detail")).alias("text"))
+    intake = intake.select("statement_id", F.lit("intake").alias("section"), F.lit(1).alias("place"), "text")
+    order = Window.partitionBy("statement_id").orderBy("ts", "kind", "detail")
+    audit = log.where("kind <> 'INTAKE'").select("statement_id", F.lit("audit").alias("section"), F.row_number().over(order).alias("place"), F.concat_ws("|", "kind", "detail").alias("text"))
+    return summary.unionByName(intake).unionByName(rows).unionByName(audit)
+
+
 def review_files(review: DataFrame) -> DataFrame:
     """Files with pending review rows, their number and their categories; rows without a file are one group."""
     counts = review.where("review_status = 'PENDING_REVIEW'").groupBy("source_file", "rejection_category").agg(F.count("*").alias("n"))

@@ -6,11 +6,11 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import of_duck, of_spark
-from tallyloom.plans import extraction_queries, intake_queries, job_queries, match_queries, registry, report_queries, scalar_queries, stream_queries
+from tallyloom.plans import extraction_queries, intake_queries, job_queries, match_queries, registry, report_queries, scalar_queries, source_queries, stream_queries
 from tallyloom.plans.views import Views
 
 BUILDS = {}
-for module in (match_queries, intake_queries, report_queries, job_queries, scalar_queries, extraction_queries, stream_queries):
+for module in (match_queries, intake_queries, report_queries, job_queries, scalar_queries, extraction_queries, source_queries, stream_queries):
     BUILDS.update(module.add.builds)
 #: Queries whose result cannot be empty are all but these.
 MAY_BE_EMPTY = {"erp_rows_reused"}
