@@ -32,7 +32,7 @@ from __future__ import annotations
 
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import settle, table
-from tallyloom.llm.word_ids import VOCABULARY_SIZE, word_ids
+from tallyloom.llm.word_ids import VOCABULARY_SIZE, WordIds, word_ids
 
 #: Rows whose crc32(id as text) leaves this remainder are held out.
 HELD_OUT = (7, 2)
@@ -91,10 +91,16 @@ def training_windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cut(line, WINDOW + 1)[every], cut(known, WINDOW + 1)[every]
 
 
+def _ids_of(text: str, line: bytes, words: Iterable[bytes], speller: WordIds) -> bytes:
+    """Ids of a text: word by word as ``words`` are spelt, but whole where a mark of a special token may stand (``line``: lower case)."""
+    return speller.of_text(text) if b"<|" in line else b"".join(words)
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (kind, key, n): word counts and id counts of the rows not held out."""
     table_ = word_ids()
     words: Counter = Counter()
+    marked: Counter = Counter()  # words of texts whose ids are not those of their words
     id_counts = np.zeros(VOCABULARY_SIZE)
 
     def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -103,25 +109,33 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def counted() -> pa.RecordBatch:
         nonlocal id_counts
-        keys = np.fromiter(map(_key, words), np.int64, len(words))
-        n = np.fromiter(words.values(), np.int64, len(words))
         spelt = [table_[w] for w in words]
-        times = np.repeat(n, [len(p) // 4 for p in spelt])
+        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) // 4 for p in spelt])
         id_counts += np.bincount(np.frombuffer(b"".join(spelt), "<u4"), weights=times, minlength=VOCABULARY_SIZE)
+        words.update(marked)
+        marked.clear()
+        keys = np.fromiter(map(_key, words), np.int64, len(words))
+        n = np.fromiter(words.values(), np.int64, len(words))
         words.clear()
         return rows(_WORD, keys, n)
 
     ends = fresh = 0
     for batch in batches:
         for value in batch.column(0):
-            line = (value.as_py() or "").encode().lower().split()
-            words.update(line)
+            text = value.as_py() or ""
+            low = text.encode().lower()
+            line = low.split()
+            if b"<|" in low:
+                marked.update(line)
+                id_counts += np.bincount(np.frombuffer(table_.of_text(text), "<u4"), minlength=VOCABULARY_SIZE)
+            else:
+                words.update(line)
             ends += 1
             fresh += len(line)
-            if len(words) >= COUNTED or fresh >= COUNTED_WORDS:
+            if len(words) + len(marked) >= COUNTED or fresh >= COUNTED_WORDS:
                 yield counted()
                 fresh = 0
-    if words:
+    if words or marked:
         yield counted()
     if ends:
         id_counts[END_ID] += ends
@@ -324,8 +338,9 @@ def _held(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The batch's training windows, about ``HELD`` at a time."""
     table_, parts, n = word_ids(), [], 0
     for value in batch.column(0):
-        line = (value.as_py() or "").encode().lower().split()
-        ids = np.frombuffer(b"".join(map(table_.__getitem__, line)) + _END, "<u4")
+        text = value.as_py() or ""
+        line = text.encode().lower()
+        ids = np.frombuffer(_ids_of(text, line, map(table_.__getitem__, line.split()), table_) + _END, "<u4")
         parts.append(training_windows(ids))
         n += len(parts[-1][0])
         if n >= HELD:
@@ -482,8 +497,7 @@ def _score(model: Model, keys: np.ndarray, logs: np.ndarray, end_log: float):
                     text = value.as_py() or ""
                     line = text.encode().lower()
                     numbers = list(map(table_.__getitem__, line.split()))
-                    ids = table_.speller.of_text(text) if b"<|" in line else b"".join(map(table_.spelt.__getitem__, numbers))
-                    packed.append(ids + _END)
+                    packed.append(_ids_of(text, line, map(table_.spelt.__getitem__, numbers), table_.speller) + _END)
                     lines.append(np.array(numbers, np.int64))
                 word_keys, word_logs = table_.columns()
                 for at in lines:

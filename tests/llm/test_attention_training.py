@@ -22,3 +22,22 @@ def test_every_id_is_a_target_once_behind_its_context(monkeypatch):
     assert found == want and len(windows_of) > 1
     last = windows_of[-2][0]  # the long text: contexts are the ids before
     assert (last[1:, : lm.CONTEXT + 1] == last[:-1, lm.SCORED :]).all()
+
+
+def test_texts_with_marks_are_spelt_alike_when_counted_trained_and_scored():
+    texts = ["plain words here", "a <|endoftext|> b <|startoftext|>", "A <| b", "<|endoftext|>", "plain words", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    want = [np.frombuffer(word_ids().of_text(t or ""), "<u4").tolist() + [lm.END_ID] for t in texts]
+    trained = []
+    for windows, valid in lm._held(batch):
+        trained += windows[:, lm.CONTEXT + 1 :][valid[:, lm.CONTEXT + 1 :]].tolist()
+    assert trained == sum(want, [])
+    counts, words = {}, {}
+    for rows in lm._gather(iter([batch])):
+        for kind, key, n in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            of = counts if kind == lm._ID else words
+            of[key] = of.get(key, 0) + n
+    flat = sum(want, [])
+    assert counts == {k: flat.count(k) for k in set(flat)}
+    line = sum(((t or "").lower().split() for t in texts), [])
+    assert words == {lm._key(w.encode()): line.count(w) for w in set(line)} | {lm._END_KEY: len(texts)}
