@@ -196,28 +196,39 @@ def bucket_columns(words: DataFrame, bounds: list[tuple[str, float]], rest: str)
 def row_clusters(words: DataFrame, tolerance: float) -> DataFrame:
     """Visual rows: words in order of y join the first row whose running mean of y is near.
 
-    ``words``: page_id, x, y, text. One page is folded at a time, with built-in functions.
+    ``words``: page_id, x, y, text. No word can join a row beyond a gap in y that is
+    wider than the tolerance, so a page is cut at such gaps and each piece is folded by
+    itself, with built-in functions.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("y", "x", "text")))
+    order = Window.partitionBy("page_id").orderBy("y", "x", "text")
+    placed = words.select("page_id", F.col("x").cast("double"), F.col("y").cast("double"), "text")
+    gap = F.coalesce(F.col("y") - F.lag("y").over(order) > tolerance * (1 + 1e-9) + 1e-9, F.lit(False))  # rounding of means stays below
+    pieces = placed.withColumn("gap", gap.cast("int")).withColumn("piece", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     kind = "array<struct<y:double,n:int,words:array<struct<x:double,text:string>>>>"
 
     def put(rows: Column, w: Column) -> Column:
         near = F.get(F.filter(F.transform(rows, lambda r, i: F.when(F.abs(r["y"] - w["y"]) <= tolerance, i)), lambda i: i.isNotNull()), F.lit(0))
         word = F.struct(w["x"].alias("x"), w["text"].alias("text"))
-        grown = F.transform(
-            rows,
-            lambda r, i: F.when(
-                i == near,
-                F.struct(((r["y"] * r["n"] + w["y"]) / (r["n"] + 1)).alias("y"), (r["n"] + 1).alias("n"), F.array_append(r["words"], word).alias("words")),
-            ).otherwise(r),
-        )
-        fresh = F.array_append(rows, F.struct(w["y"].alias("y"), F.lit(1).alias("n"), F.array(word).alias("words")))
-        return F.when(near.isNull(), fresh).otherwise(grown).cast(kind)
 
-    pages = words.select("page_id", F.col("x").cast("double"), F.col("y").cast("double"), "text").groupBy("page_id").agg(ordered.alias("w"))
-    folded = pages.select("page_id", F.aggregate("w", F.array().cast(kind), put).alias("rows"))
-    lines = folded.select("page_id", F.posexplode(F.array_sort("rows", lambda a, b: F.when(a["y"] < b["y"], -1).when(a["y"] > b["y"], 1).otherwise(0))).alias("row_no", "r"))
-    return lines.select("page_id", "row_no", F.array_join(F.transform(F.sort_array("r.words"), lambda w: w["text"]), " ").alias("text"))
+        def into(at: Column) -> Column:
+            grown = F.transform(
+                rows,
+                lambda r, i: F.when(
+                    i == at,
+                    F.struct(((r["y"] * r["n"] + w["y"]) / (r["n"] + 1)).alias("y"), (r["n"] + 1).alias("n"), F.array_append(r["words"], word).alias("words")),
+                ).otherwise(r),
+            )
+            fresh = F.array_append(rows, F.struct(w["y"].alias("y"), F.lit(1).alias("n"), F.array(word).alias("words")))
+            return F.when(at.isNull(), fresh).otherwise(grown).cast(kind)
+
+        return _bound(near, into)
+
+    ordered = F.sort_array(F.collect_list(F.struct("y", "x", "text")))
+    folded = pieces.groupBy("page_id", "piece").agg(ordered.alias("w")).select("page_id", "piece", F.aggregate("w", F.array().cast(kind), put).alias("rows"))
+    by_y = F.array_sort("rows", lambda a, b: F.when(a["y"] < b["y"], -1).when(a["y"] > b["y"], 1).otherwise(0))
+    lines = folded.select("page_id", "piece", F.posexplode(by_y).alias("at", "r"))
+    row_no = F.row_number().over(Window.partitionBy("page_id").orderBy("piece", "at")) - 1
+    return lines.select("page_id", row_no.alias("row_no"), F.array_join(F.transform(F.sort_array("r.words"), lambda w: w["text"]), " ").alias("text"))
 
 
 def is_page_furniture(transaction: Column, *others: Column, header_words: tuple[str, ...] = config.PAGE_HEADER_WORDS, titles: tuple[str, ...] = config.REPORT_TITLES) -> Column:

@@ -55,7 +55,10 @@ add(
 add(
     "pseudo_table", lambda v: read_table(v.spark, v.sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(extraction.pseudo_table(F.col("text"))).alias("row_no", "cells")).select(
         "doc_id", "row_no", F.size("cells").alias("n_cells"), F.get("cells", F.lit(0)).alias("first_cell")),
-    None,
+    r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '^[\s\x0B\x1C-\x1F\x85\p{Z}]+|[\s\x0B\x1C-\x1F\x85\p{Z}]+$', '', 'g')), lambda s: s<>'') AS lines FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT doc_id, CAST(generate_subscripts(lines, 1)-1 AS INT) AS row_no, unnest(lines) AS line FROM l),
+    c AS (SELECT *, string_split_regex(line, '[\s\x0B]{2,}') AS wide, string_split_regex(line, '[\s\x0B]+') AS narrow FROM p)
+    SELECT doc_id, row_no, CAST(CASE WHEN len(wide)=1 THEN len(narrow) ELSE len(wide) END AS INT) AS n_cells, CASE WHEN len(wide)=1 THEN narrow[1] ELSE wide[1] END AS first_cell FROM c""",
 )
 add(
     "find_header",
@@ -148,7 +151,14 @@ add(
 add(
     "row_cluster",
     lambda v: extraction.row_clusters(_items(v).select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").cast("double").alias("x"), (F.col("l_quantity") / 4).alias("y"), F.col("l_partkey").cast("string").alias("text")), 1.0),
-    None,
+    """WITH RECURSIVE w AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, x, t) AS k, count(*) OVER (PARTITION BY page_id) AS n FROM
+      (SELECT l_orderkey AS page_id, CAST(l_linenumber AS DOUBLE) AS x, CAST(l_quantity/4 AS DOUBLE) AS y, CAST(l_partkey AS VARCHAR) AS t FROM lineitem)),
+    f AS (SELECT page_id, k, n, [{'y': y, 'n': 1, 'ws': [{'x': x, 't': t}]}] AS r FROM w WHERE k=1
+      UNION ALL SELECT page_id, k, n, CASE WHEN hit=0 THEN list_append(r, {'y': y, 'n': 1, 'ws': [{'x': x, 't': t}]}) ELSE
+        list_concat(r[1:hit-1], [{'y': (r[hit].y*r[hit].n+y)/(r[hit].n+1), 'n': r[hit].n+1, 'ws': list_append(r[hit].ws, {'x': x, 't': t})}], r[hit+1:]) END FROM
+        (SELECT w.*, f.r, coalesce(list_position(list_transform(f.r, lambda e: abs(e.y-w.y)<=1.0), true), 0) AS hit FROM f JOIN w ON w.page_id=f.page_id AND w.k=f.k+1)),
+    e AS (SELECT page_id, unnest(r) AS r, generate_subscripts(r, 1) AS made FROM f WHERE k=n)
+    SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY r.y, made)-1 AS INT) AS row_no, array_to_string(list_transform(list_sort(r.ws), lambda e: e.t), ' ') AS text FROM e""",
 )
 add(
     "fallback_mapping",

@@ -58,13 +58,13 @@ add("table_versions", _versions, fixtures("SELECT statement_id, seq, CAST(CASE W
 
 
 def _vouchers(v: Views):
-    """A workbook for every statement, written as two sheets and read back; every third line names no bill or has no amount."""
+    """A workbook for every vendor, written as two sheets and read back; every third line names no bill or has no amount."""
     k = F.col("seq") % 6
     text = F.when(k == 2, F.lit(None)).otherwise(F.concat(F.lit("$"), F.format_number(F.col("outstanding_amount"), 2)))
     described = F.when(k == 5, F.lit("Payment")).when(k == 1, F.concat(F.lit("bill credit #"), "invoice_number")).otherwise(F.concat(F.lit(" Bill #"), "invoice_number"))
     items = v.lines.select(F.col("seq").cast("int").alias("pos"), F.lit(1).alias("page"), F.date_format("invoice_date", "M/d/yyyy").alias("date"), described.alias("description"), *[F.lit("1, \"x\"").alias(c) for c in ("orig_amount", "amount_due", "discount")],
-                           text.alias("applied_amount"), F.col("statement_id").alias("file"))
-    pages = v.lines.groupBy(F.col("statement_id").alias("file")).agg(F.first("vendor_id").alias("vendor")).withColumn("pos", F.explode(F.array(F.lit(1), F.lit(0))))
+                           text.alias("applied_amount"), F.concat("vendor_id", F.lit(".xlsx")).alias("file"))
+    pages = v.lines.select(F.concat("vendor_id", F.lit(".xlsx")).alias("file"), F.col("vendor_id").alias("vendor")).distinct().withColumn("pos", F.explode(F.array(F.lit(1), F.lit(0))))
     vendor = F.when(F.col("pos") == 0, F.col("vendor")).otherwise(F.lit("a later row"))
     summary = pages.select("pos", vendor.alias("vendor"), F.lit("3/9/2002").alias("voucher_date"), F.lit("77").alias("check_number"), F.lit("$1").alias("grand_total"), "file")
     path = scratch(v.spark, "vouchers")
@@ -75,7 +75,7 @@ def _vouchers(v: Views):
 add(
     "voucher_rows", _vouchers,
     fixtures("""SELECT 'VOUCHER-'||vid AS statement_id, vid AS vendor_id, vendor_id AS vendor_name, invoice_number, strftime(CAST(invoice_date AS DATE),'%Y-%m-%d') AS invoice_date,
-    CAST(outstanding_amount AS DOUBLE) AS outstanding_amount, '2002-03-09' AS posting_date, statement_id AS source_file, CAST(seq AS INT) AS pos
+    CAST(outstanding_amount AS DOUBLE) AS outstanding_amount, '2002-03-09' AS posting_date, vendor_id||'.xlsx' AS source_file, CAST(seq AS INT) AS pos
     FROM (SELECT *, CASE vendor_id WHEN 'NATION_1' THEN 'FIRST' ELSE vendor_id END AS vid FROM f_stmt) WHERE seq%6 NOT IN (2,5)"""),
 )
 add(
