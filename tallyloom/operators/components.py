@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from tallyloom.sources.tables import forget, settle
 
 
-def component_labels(edges: DataFrame, name: str = "stars") -> DataFrame:
+def component_labels(edges: DataFrame, name: str = "stars", made: list[DataFrame] | None = None) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b: long); label is the component's smallest node.
 
     Large-star and small-star steps alternate until the edges stay the same. Each
     step groups by node with a map-side minimum and joins the minimum back, so a
     hub costs no more than its edges; only a count and a checksum reach the driver,
-    and each step's table goes when the next one is written.
+    and each step's table goes when the next one is written. The last one, which the
+    result reads, is added to ``made``.
     """
     edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = settle(edges.distinct(), name)
@@ -22,6 +23,8 @@ def component_labels(edges: DataFrame, name: str = "stars") -> DataFrame:
     while True:
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if tuple(state) == last or not state[0]:
+            if made is not None:
+                made.append(edges)
             return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
         last = tuple(state)
         both = edges.union(edges.select("b", "a"))

@@ -13,7 +13,8 @@ far, and no others. Level-2 candidates are looked for only
 where a line may get there: it has no ledger row of its number, or another line
 has an edge to each of them. They are found through buckets of the amount, so the
 join's size follows the number of near amounts and not the square of a vendor's
-rows. Edges are written to the shared folder once.
+rows. Edges are written to the shared folder once, and go with the other tables of
+the search when the lines' components are written.
 
 The number of either side is the normalised one where there is one, else the raw
 one. Null and empty numbers, repair orders and amounts find nothing; lines without
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tallyloom import config
 from tallyloom.operators.components import component_labels
-from tallyloom.sources.tables import settle
+from tallyloom.sources.tables import forget, settle
 
 MONEY = "decimal(18,2)"
 LINE = ["statement_id", "seq"]
@@ -188,38 +189,50 @@ def _decided(edges: DataFrame) -> DataFrame:
     )
 
 
-def _contested(edges: DataFrame) -> DataFrame:
-    """Every ledger row that a statement's lines have edges to, and whether there are two such lines."""
-    return edges.groupBy("statement_id", "erp_seq").agg((F.min("seq") < F.max("seq")).alias("contested"))
+def _rows(edges: DataFrame) -> DataFrame:
+    """Every ledger row that a statement's lines have edges to: its first line, and whether there is another."""
+    return edges.groupBy("statement_id", "erp_seq").agg(F.min("seq").alias("head"), (F.min("seq") < F.max("seq")).alias("contested"))
 
 
-def needed_edges(lines: DataFrame, ledger: DataFrame) -> DataFrame:
+def needed_edges(lines: DataFrame, ledger: DataFrame, made: list[DataFrame] | None = None) -> DataFrame:
     """All level-1 edges, and the level-2 edges of the lines that may need them.
 
-    A line with an uncontested ledger row of its number never gets to level 2. New
-    level-2 edges can contest more rows, so lines are added until none is left to add.
+    A line that holds a ledger row of its number, one that no other line has an edge
+    to, never gets to level 2. New level-2 edges take rows from lines that held them, so
+    lines are added until none is left to add. A round joins the rows held so far with
+    its new edges only. The tables of edges are added to ``made``.
     """
+    made = [] if made is None else made
     first = settle(level1_edges(lines, ledger), "level1")
-    second = settle(level2_edges(lines.join(first.select(*LINE).distinct(), LINE, "left_anti"), ledger), "level2")
-    edges, tried = first.unionByName(second), None
-    while True:
-        stuck = first.join(_contested(edges), ["statement_id", "erp_seq"]).groupBy(*LINE).agg(F.min("contested").alias("all"))
-        stuck = stuck.where("all").select(*LINE)
-        stuck = settle(stuck if tried is None else stuck.join(tried, LINE, "left_anti"), "stuck")
-        if stuck.isEmpty():
-            return edges
-        tried = stuck if tried is None else tried.unionByName(stuck)
-        edges = edges.unionByName(settle(level2_edges(lines.join(stuck, LINE, "left_semi"), ledger), "level2"))
-
-
-def _node(kind: str, number: str) -> Column:
-    return F.xxhash64("statement_id", F.lit(kind), number)
-
-
-def components(marked: DataFrame) -> DataFrame:
-    """(statement_id, seq, component) of the lines that contest a row; ``marked``: edges with ``contested``."""
-    contested = settle(marked.where("contested").select(*LINE, _node("line", "seq").alias("a"), _node("row", "erp_seq").alias("b")), "contested")
-    labels = component_labels(contested.select("a", "b"), "line-components")
+    made.append(first)
+    held = settle(_rows(first).where(~F.col("contested")).select("statement_id", "erp_seq", F.col("head").alias("seq"), F.lit(False).alias("lost")), "held")
+    found, edges = settle(level2_edges(lines.join(held, LINE, "left_anti"), ledger), "level2"), first
+    made.append(found)
+    while not found.isEmpty():
+        edges = edges.unionByName(found)
+        taken = found.select("statement_id", "erp_seq", F.lit(True).alias("taken")).distinct()
+        before, kept = held, held.where(~F.col("lost")).drop("lost").join(taken, ["statement_id", "erp_seq"], "left")
+        held = settle(kept.select("statement_id", "erp_seq", "seq", F.col("taken").isNotNull().alias("lost")), "held")
+        forget(before)
+        stuck = held.where("lost").select(*LINE).distinct().join(held.where(~F.col("lost")).select(*LINE), LINE, "left_anti")
+        found = settle(level2_edges(lines.join(stuck, LINE, "left_semi"), ledger), "level2")
+        made.append(found)
+    forget(held)
+    return edges
+
+
+def _line(seq: str) -> Column:
+    return F.xxhash64("statement_id", seq)
+
+
+def components(edges: DataFrame, made: list[DataFrame] | None = None) -> DataFrame:
+    """(statement_id, seq, component) of the lines that contest a ledger row; each is linked to the row's first line."""
+    rows = _rows(edges).where("contested").drop("contested")
+    linked = edges.join(rows, ["statement_id", "erp_seq"]).select(*LINE, _line("seq").alias("a"), _line("head").alias("b"))
+    made = [] if made is None else made
+    contested = settle(linked.distinct(), "contested")
+    made.append(contested)
+    labels = component_labels(contested.select("a", "b"), "line-components", made)
     own = contested.select(*LINE, "a").distinct().join(labels, F.col("a") == F.col("node"), "left")
     return own.select(*LINE, F.coalesce("label", "a").alias("component"))
 
@@ -229,15 +242,21 @@ def match(lines: DataFrame, ledger: DataFrame) -> DataFrame:
 
     ``lines``: statement_id, seq, vendor_id, invoice_number, ro_number, outstanding_amount and more.
     ``ledger``: vendor_id, erp_seq, invoice_number, ro_number, outstanding_amount. Either side may
-    have invoice_number_normalized.
+    have invoice_number_normalized. What the joins read of both is written once, as they read it in every round.
     """
-    edges = needed_edges(lines, ledger)
-    marked = settle(edges.join(_contested(edges), ["statement_id", "erp_seq"]), "marked")
-    placed = settle(marked.drop("contested").join(components(marked), LINE, "left"), "placed")
+    keyed = ["vendor_id", "invoice_number", "ro_number", "outstanding_amount"]
+    made = [settle(_keyed(lines, LINE + keyed), "lines"), settle(_keyed(ledger, ["erp_seq", *keyed]), "ledger")]
+    edges = needed_edges(*made, made)
+    placed = settle(edges.join(components(edges, made), LINE, "left"), "placed")
+    forget(*made)
     decided = _decided(placed.where("component is null").drop("component"))
     return _stated(lines, decided.unionByName(folded(placed.where("component is not null"))))
 
 
+def _keyed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*columns, *[c for c in ("invoice_number_normalized",) if c in rows.columns])
+
+
 def _stated(lines: DataFrame, decisions: DataFrame) -> DataFrame:
     reason = F.when(F.col("level").isNull(), F.coalesce("reason", F.lit("Invoice Missing")))
     return lines.join(decisions, LINE, "left").withColumn("reason", reason).withColumn(

@@ -148,19 +148,20 @@ def test_components_join_what_contested_rows_connect(spark):
     from pyspark.sql import functions as F
 
     rng = random.Random(8)
-    edges = [(f"S{rng.randrange(3)}", rng.randrange(80), rng.randrange(70)) for _ in range(160)]
-    label = {}
+    edges = [(f"S{rng.randrange(9)}", rng.randrange(80), rng.randrange(70)) for _ in range(480)]
+    label, lines_of = {}, {}
     for s, line, row in edges:  # union by renaming
+        lines_of.setdefault((s, row), set()).add(line)
         a, b = label.setdefault((s, "l", line), (s, "l", line)), label.setdefault((s, "r", row), (s, "r", row))
         if a != b:
             label = {k: a if v == b else v for k, v in label.items()}
-    marked = spark.createDataFrame([(*e, True) for e in edges] + [("S9", 1, 1, False)], "statement_id string, seq long, erp_seq long, contested boolean")
-    found = {(r["statement_id"], r["seq"]): r["component"] for r in matching.components(marked).collect()}
-    want = {(s, n): v for (s, kind, n), v in label.items() if kind == "l"}
+    frame = spark.createDataFrame([*edges, ("S9", 1, 1)], "statement_id string, seq long, erp_seq long")
+    found = {(r["statement_id"], r["seq"]): r["component"] for r in matching.components(frame).collect()}
+    want = {(s, line): label[s, "l", line] for s, line, row in edges if len(lines_of[s, row]) > 1}
     assert found.keys() == want.keys()
     pairs = {(found[k], want[k]) for k in found}
     assert len(pairs) == len(set(found.values())) == len(set(want.values())) > 20
-    assert matching.components(marked.where(F.lit(False))).count() == 0
+    assert matching.components(frame.where(F.lit(False))).count() == 0
 
 
 def test_salvage_goes_on_behind_a_bad_element():
