@@ -58,17 +58,23 @@ def _any(text: Column, words: list[str]) -> Column:
     return out
 
 
+def _field_a(h: Column) -> Column:
+    out = F.when(F.lit(False), "")
+    for name, words in config.COLUMN_KEYWORDS:
+        hit = _any(h, words)
+        out = out.when(hit | (h == "amount") if name == "amount" else hit, name)
+    return out
+
+
 def header_field_a(header: Column) -> Column:
     """Field of a header in a keyed table: the first branch with a keyword in it."""
+    return _bound(normalize_header(header), _field_a)
 
-    def field(h: Column) -> Column:
-        out = F.when(F.lit(False), "")
-        for name, words in config.COLUMN_KEYWORDS:
-            hit = _any(h, words)
-            out = out.when(hit | (h == "amount") if name == "amount" else hit, name)
-        return out
 
-    return _bound(normalize_header(header), field)
+def _named(headers: DataFrame, text: Column, field: Callable[[Column], Column]) -> DataFrame:
+    """Headers that have a field, by ``field`` of ``text``; as a row of an array the text is worked out once and the field in generated code."""
+    named = headers.select("*", F.explode(F.array(text)).alias("_text")).withColumn("field", field(F.col("_text")))
+    return named.where("field is not null").drop("_text")
 
 
 def map_columns_a(headers: DataFrame, values: DataFrame | None = None, sample: int = 200) -> DataFrame:
@@ -78,38 +84,38 @@ def map_columns_a(headers: DataFrame, values: DataFrame | None = None, sample: i
     taken, by its first ``sample`` values that are not null; without values or at equal
     shares the first. ``values``: doc_id, pos, header, row_num, value.
     """
-    mapped = headers.withColumn("field", header_field_a(F.col("header"))).where("field is not null")
+    mapped = _named(headers, normalize_header(F.col("header")), _field_a)
     place = F.struct(F.lit(None).cast("double").alias("share"), "pos", "header")
     if values is not None:
         invoices = mapped.where("field = 'invoice_number'").select("doc_id", "pos", "header").distinct()
-        several = invoices.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-        share = account_shares(values.join(several, "doc_id", "left_semi").join(invoices, ["doc_id", "pos", "header"], "left_semi"), sample)
+        several = invoices.withColumn("n", F.count("*").over(Window.partitionBy("doc_id"))).where("n > 1").drop("n")
+        share = account_shares(values.join(several, ["doc_id", "pos", "header"], "left_semi"), sample)
         mapped = mapped.join(share.withColumn("field", F.lit("invoice_number")), ["doc_id", "pos", "header", "field"], "left")
         place = F.struct(F.coalesce("share", F.lit(2.0)).alias("share"), "pos", "header")  # a share is at most 1
     best = mapped.groupBy("doc_id", "field").agg(F.min(place).alias("best"))
     return best.select("doc_id", "field", "best.header", "best.pos")
 
 
-def header_field_b(header: Column) -> Column:
-    """Field of a header in a page table."""
+def _field_b(h: Column) -> Column:
+    dated = h.contains("date")
+    out = (
+        F.when(~dated & (_any(h, config.TABLE_INVOICE_KEYWORDS) | h.rlike(r"\bref\b")), "invoice_number")
+        .when(h.contains("invoice") & dated, "invoice_date")
+        .when(h.contains("due") & dated, "due_date")
+    )
+    for name, words in config.TABLE_KEYWORDS:
+        out = out.when(_any(h, words), name)
+    return out
 
-    def field(h: Column) -> Column:
-        dated = h.contains("date")
-        out = (
-            F.when(~dated & (_any(h, config.TABLE_INVOICE_KEYWORDS) | h.rlike(r"\bref\b")), "invoice_number")
-            .when(h.contains("invoice") & dated, "invoice_date")
-            .when(h.contains("due") & dated, "due_date")
-        )
-        for name, words in config.TABLE_KEYWORDS:
-            out = out.when(_any(h, words), name)
-        return out
 
-    return _bound(strip(F.lower(header)), field)
+def header_field_b(header: Column) -> Column:
+    """Field of a header in a page table."""
+    return _bound(strip(F.lower(header)), _field_b)
 
 
 def map_columns_b(headers: DataFrame) -> DataFrame:
     """Last header of each field, but the first of ``amount``; at one position the first by text."""
-    mapped = headers.where("header is not null and header <> ''").withColumn("field", header_field_b(F.col("header"))).where("field is not null")
+    mapped = _named(headers.where("header is not null and header <> ''"), strip(F.lower(F.col("header"))), _field_b)
     rank = F.when(F.col("field") == "amount", -F.col("pos")).otherwise(F.col("pos"))
     return mapped.groupBy("doc_id", "field").agg(F.min_by("header", F.struct(-rank, "header")).alias("header"), F.max_by("pos", rank).alias("pos"))
 
