@@ -16,6 +16,11 @@ def _parse(text: Column, formats: list[str]) -> Column:
     return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in formats))
 
 
+def moment(value: Column) -> Column:
+    """The time that an ISO text names, a day's being its beginning; null for none, for empty texts and for what names no day."""
+    return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}"), value.try_cast("timestamp"))
+
+
 def friendly_date(value: Column) -> Column:
     """``12 Dec 2025``, the text itself if no spelling fits, a dash if there is none."""
     text = strip(value)

@@ -153,6 +153,17 @@ def _date() -> Column:
     return F.to_date("submitted_at")
 
 
+def _iso(pattern: str) -> Column:
+    return F.date_format("submitted_at", pattern)
+
+
+add(
+    "moment",
+    lambda v: v.jobs.select("job_id", dates.moment(_spell(F.col("id"), [
+        _iso("yyyy-MM-dd'T'HH:mm:ss'+00:00'"), _iso("yyyy-MM-dd HH:mm:ss"), _iso("yyyy-MM-dd"), F.lit("12:30"), F.lit(""), _iso("yyyy-MM-dd'T'HH:mm:ss'+02:00'")])).alias("at")),
+    fixtures("""SELECT job_id, CASE id%6 WHEN 2 THEN date_trunc('day', s) WHEN 5 THEN s - INTERVAL 2 HOUR WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE s END AS at
+    FROM (SELECT *, CAST(date_trunc('second', submitted_at) AS TIMESTAMP) AS s FROM f_jobs)"""),
+)
 add(
     "friendly_date",
     lambda v: v.jobs.select("job_id", dates.friendly_date(_spell(F.col("id"), [

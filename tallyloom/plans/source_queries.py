@@ -10,7 +10,7 @@ from tallyloom.plans.extraction_queries import _documents
 from tallyloom.plans.oracles import fixtures, stated
 from tallyloom.plans.register import Register
 from tallyloom.plans.views import Views
-from tallyloom.sources import event_log, inputs, vouchers
+from tallyloom.sources import event_log, extraction_cache, inputs, tables, vouchers
 from tallyloom.streaming.intake import scratch
 
 add = Register()
@@ -57,6 +57,35 @@ def _versions(v: Views):
 add("table_versions", _versions, fixtures("SELECT statement_id, seq, CAST(CASE WHEN seq%3>0 THEN outstanding_amount END AS DOUBLE) AS amount FROM f_stmt"))
 
 
+def _cached(v: Views):
+    """Three batches of extractions, the second of which comes twice."""
+    found = v.jobs.select("id", F.sha2("pdf_filename", 256).alias("document_hash"), F.concat(F.lit("S"), F.col("id") % 7).alias("statement_id"), F.col("submitted_at").alias("ingestion_timestamp"),
+                          F.col("pdf_filename").alias("source_file"), F.col("status").alias("extraction_method"), (F.col("id") % 5).alias("row_count"))
+    cache = extraction_cache.open_cache(v.spark, scratch(v.spark, "cache"))
+    for batch in (0, 1, 1, 2):
+        extraction_cache.write_entries(cache, found.where(F.col("id") % 3 == batch), batch)
+    return extraction_cache.entries(cache)
+
+
+add(
+    "cache_write", _cached,
+    fixtures("""SELECT sha256(pdf_filename) AS document_hash, 'S'||(id%7) AS statement_id, submitted_at AS ingestion_timestamp, pdf_filename AS source_file, status AS extraction_method,
+    CAST(id%5 AS BIGINT) AS row_count, CAST(id%3 AS BIGINT) AS batch FROM f_jobs
+    QUALIFY row_number() OVER (PARTITION BY pdf_filename, id%7 ORDER BY id%3 DESC, submitted_at DESC, status DESC, id%5 DESC)=1"""),
+)
+
+
+def _copied(v: Views):
+    """Jobs copied from one store to another."""
+    old, new = scratch(v.spark, "store"), scratch(v.spark, "copy")
+    v.jobs.write.parquet(old)
+    tables.copy_rows(v.spark, old, new, "id", ["id", "job_id", "status"])
+    return v.spark.read.parquet(new)
+
+
+add("rows_copied", _copied, fixtures("SELECT id, job_id, status FROM f_jobs"))
+
+
 def _vouchers(v: Views):
     """A workbook for every vendor, written as two sheets and read back; every third line names no bill or has no amount."""
     k = F.col("seq") % 6

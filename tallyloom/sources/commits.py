@@ -56,7 +56,7 @@ class CommitTable:
         return self.entries().where(F.col("batch") < before).agg(F.max("high")).first()[0]
 
 
-def newest_of(rows: DataFrame, key: str) -> DataFrame:
+def newest_of(rows: DataFrame, *key: str) -> DataFrame:
     """Delete-then-insert by key over commits: of each key the rows of its newest batch."""
-    last = rows.groupBy(key).agg(F.max("batch").alias("batch"))
-    return rows.join(last, [key, "batch"])
+    last = rows.groupBy(*key).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [*key, "batch"])

@@ -45,9 +45,10 @@ def upsert(current: DataFrame, changes: DataFrame, key: list[str], order: str) -
     return current.join(changes, key, "left_anti").unionByName(changes)
 
 
-def copy_rows(spark: SparkSession, source: str, target: str) -> None:
-    """Row copy between stores."""
-    spark.read.parquet(source).write.mode("overwrite").parquet(target)
+def copy_rows(spark: SparkSession, source: str, target: str, order: str, columns: list[str]) -> None:
+    """Copies ``columns`` into a store that must not exist yet; its files follow each other by ``order`` and are sorted within."""
+    rows = spark.read.parquet(source).select(*columns)
+    rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).write.parquet(target)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyloom.operators import matching
-from tallyloom.sources import event_log, inputs, vouchers
+from tallyloom.sources import event_log, extraction_cache, inputs, tables, vouchers
 
 
 def test_good_and_bad_documents_add_up(spark):
@@ -89,3 +89,38 @@ def test_an_event_is_logged_once(spark, tmp_path):
 def test_unknown_kinds_score_like_fuzzy_ones(spark):
     rows = spark.createDataFrame([("PO", "EXACT"), ("FUZZY", "MISMATCH"), (None, None), ("RO", "MISMATCH"), ("INVOICE", "MISMATCH")], "k string, s string")
     assert [r[0] for r in rows.select(matching.tier_confidence(F.col("k"), F.col("s"))).collect()] == [0.85, 0.6, 0.6, 0.6, 0.7]
+
+
+def test_cache_entries_are_those_of_the_newest_batch(spark, tmp_path):
+    schema = "document_hash string, statement_id string, ingestion_timestamp timestamp, source_file string, extraction_method string, row_count int, other int"
+    cache = extraction_cache.open_cache(spark, str(tmp_path / "cache"))
+
+    def rows(*found):
+        return spark.createDataFrame([(h, s, datetime.fromisoformat(t), f, m, n, 0) for h, s, t, f, m, n in found], schema)
+
+    first = rows(("h", "S1", "2024-01-01", "a", "x", 3), ("h", "S1", "2024-01-02", "b", "x", 2), ("h", "S2", "2024-01-01", "a", "x", 9), (None, "S1", "2024-01-01", "a", "x", 1))
+    assert extraction_cache.write_entries(cache, first, 0)
+    assert not extraction_cache.write_entries(cache, rows(("h", "S1", "2025-01-01", "z", "x", 7)), 0)  # the batch again
+    assert extraction_cache.write_entries(cache, rows(("h", "S1", "2023-01-01", "c", "y", 0)), 1)
+    found = {(r["document_hash"], r["statement_id"], r["source_file"], r["row_count"], r["batch"]) for r in extraction_cache.entries(cache).collect()}
+    assert found == {("h", "S1", "c", 0, 1), ("h", "S2", "a", 9, 0)}
+    assert extraction_cache.write_entries(cache, first.limit(0), 2) and extraction_cache.entries(cache).count() == 2
+
+
+def test_copied_rows_follow_each_other_by_file(spark, tmp_path):
+    old, new = str(tmp_path / "old"), str(tmp_path / "new")
+    spark.range(1000).select((F.col("id") * 7919 % 1000).alias("id"), F.lit("x").alias("extra")).repartition(5).write.parquet(old)
+    tables.copy_rows(spark, old, new, "id", ["id"])
+    files = spark.read.parquet(new).groupBy(F.input_file_name().alias("f")).agg(F.min("id").alias("a"), F.max("id").alias("z")).orderBy("f").collect()
+    assert spark.read.parquet(new).columns == ["id"] and spark.read.parquet(new).count() == 1000
+    assert all(one["z"] < two["a"] for one, two in zip(files, files[1:], strict=False))
+
+
+def test_scan_of_a_statement_opens_its_folder_only(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    tables.replace_statements(spark.createDataFrame([(f"S{k % 9}", k) for k in range(90)], "statement_id string, n int"), path)
+    found = tables.statement_rows(spark.read.parquet(path), "S4")
+    assert sorted(r["n"] for r in found.collect()) == list(range(4, 90, 9))
+    assert found.select(F.input_file_name().alias("f")).distinct().where("f not like '%statement_id=S4%'").isEmpty()
+    assert "PartitionFilters: [isnotnull(statement_id" in found._jdf.queryExecution().toString()
+    assert tables.statement_rows(spark.read.parquet(path), "S99").count() == 0
