@@ -12,6 +12,7 @@ seen counts at the newest time seen.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,7 +30,8 @@ class Walk:
     """The queue of one file; times are whole microseconds. ``out`` gets (job, event, time)."""
 
     def __init__(self, running: str | None, since: int, seen: int, waiting: list[str], limit: int):
-        self.running, self.since, self.seen, self.waiting, self.limit = running, since, seen, waiting, limit
+        self.running, self.since, self.seen, self.limit = running, since, seen, limit
+        self.waiting, self.known = deque(waiting), set(waiting)
         self.out: list[tuple[str, str, int]] = []
 
     def claim(self, job: str, at: int) -> None:
@@ -40,26 +42,31 @@ class Walk:
         self.out.append((self.running, event, at))
         self.running = None
         if self.waiting:
-            self.claim(self.waiting.pop(0), at)
+            job = self.waiting.popleft()
+            self.known.remove(job)
+            self.claim(job, at)
 
-    def expire(self, now: int) -> None:
+    def expire(self, now: int, but: str | None = None) -> None:
+        """Time limits up to ``now``, one after the other; job ``but`` may still end at its limit."""
         while self.running is not None and self.since + self.limit <= now:
+            if self.running == but and now == self.since + self.limit:
+                return
             self.clear("TIMED_OUT", self.since + self.limit)
 
     def submitted(self, job: str) -> None:
         if self.running is None:
             self.claim(job, self.seen)
-        elif job != self.running and job not in self.waiting:
+        elif job != self.running and job not in self.known:
             self.waiting.append(job)
+            self.known.add(job)
 
     def take(self, kind: str, job: str, at: int) -> None:
         self.seen = max(self.seen, at)
-        if kind == "END" and job == self.running and self.seen <= self.since + self.limit:
+        self.expire(self.seen, job if kind == "END" else None)
+        if kind == "END" and job is not None and job == self.running:
             self.clear("ENDED", self.seen)
-        else:
-            self.expire(self.seen)
-            if kind == "SUBMIT":
-                self.submitted(job)
+        elif kind == "SUBMIT":
+            self.submitted(job)
 
 
 class InFlight(StatefulProcessor):

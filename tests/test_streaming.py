@@ -135,3 +135,11 @@ def test_queue_equals_a_sequential_walk_over_restarts(spark, tmp_path):
     zero = int((datetime(2024, 1, 1) - datetime(1970, 1, 1)).total_seconds())
     found = sorted((r["pdf_filename"], r["job_id"], r["event"], r["at"] // 1_000_000 - zero) for r in table.read().collect())
     assert found == sequential(events) and {e for _, _, e, _ in found} == {"CLAIMED", "ENDED", "TIMED_OUT"}
+
+
+def test_the_end_of_a_job_that_a_time_limit_has_let_in_counts():
+    """No event lies between the limit of the first job and the end of the second; a third ends at its limit."""
+    walk = queue.Walk(None, 0, 0, [], LIMIT)
+    for at, kind, job in [(0, "SUBMIT", "a"), (5, "SUBMIT", "b"), (6, "SUBMIT", "c"), (130, "END", "b"), (230, "END", "c")]:
+        walk.take(kind, job, at)
+    assert walk.out == [("a", "CLAIMED", 0), ("a", "TIMED_OUT", 100), ("b", "CLAIMED", 100), ("b", "ENDED", 130), ("c", "CLAIMED", 130), ("c", "ENDED", 230)]
