@@ -167,3 +167,36 @@ def test_components_join_what_contested_rows_connect(spark):
 def test_salvage_goes_on_behind_a_bad_element():
     assert extraction.salvage_objects('{"rows": [{"a": 1}, {bad: 2}, null, {"b": 3}], "x": [{"c": 4}]}') == ['{"a": 1}', '{"b": 3}']
     assert extraction.salvage_objects('{"rows": [{"a": "} ]"}, {"b": {"c": 1}}, {"d"') == ['{"a": "} ]"}', '{"b": {"c": 1}}']
+
+
+def test_tables_of_the_search_grow_with_lines_and_rows(spark, monkeypatch):
+    """Every line is near to every ledger row: pairs go with the square, tables must not."""
+    n, sizes = 200, []
+    lines = spark.createDataFrame([(f"S{k % 5}", "V", "2026-07", f"L{k}", "R", _money("100.00"), k) for k in range(n)], LINES)
+    ledger = spark.createDataFrame([("V", f"E{k}", "R", _money("100.10"), k) for k in range(n)], LEDGER)
+
+    def counted(df, name):
+        sizes.append(df.count())
+        return tables.settle(df, name)
+
+    monkeypatch.setattr(matching, "settle", counted)
+    found = matching.match(lines, ledger).orderBy("seq").collect()
+    assert [r["erp_seq"] for r in found] == [k // 5 for k in range(n)]
+    assert max(sizes) <= 2 * n
+
+
+@pytest.mark.parametrize("numbers,block", [("AB", 100_000), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 20)])
+def test_trees_and_blocks_equal_the_whole_fold(spark, monkeypatch, numbers, block):
+    """Numbers of many rows, groups dealt by statement, null and negative amounts, two vendors, numbers that connect repair orders."""
+    import random
+
+    monkeypatch.setattr(matching, "LINES", block)
+    rng, lines, ledger = random.Random(5), [], []
+    amount = lambda: rng.choice([None, _money(f"{rng.randrange(-105, 105)}.00"), _money(f"{rng.randrange(9800, 10200) / 100:.2f}")])
+    for k in range(400):
+        lines.append((f"S{k % 7}", rng.choice("VW"), "2026-07", rng.choice([*numbers, "", None]), rng.choice(["R", "T", "U", "", None]), amount(), k))
+        ledger.append((rng.choice("VW"), rng.choice([*numbers, "x", "", None]), rng.choice(["R", "T", "U", "", None]), amount(), k))
+    lines, ledger = spark.createDataFrame(lines, LINES), spark.createDataFrame(ledger, LEDGER)
+    columns = ["statement_id", "seq", "status", "level", "reason", "erp_seq", "erp_amount", "erp_invoice"]
+    one, other = (sorted(map(tuple, f(lines, ledger).select(*columns).collect()), key=str) for f in (matching.match, matching.fold_all))
+    assert one == other and {r[3] for r in one} == {1, 2, None}
