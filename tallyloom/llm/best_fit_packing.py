@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import settle, table
-from tallyloom.llm.word_ids import word_ids
+from tallyloom.llm.word_ids import REMEMBERED, word_ids
 
 CAPACITY = 2048
 END_ID = 0
@@ -73,7 +73,7 @@ def _fills(bins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.bincount(bins, weights=lengths).astype(np.int64)[bins] if len(bins) else bins
 
 
-def _pack_partition(capacity: int):
+def _pack_partition(capacity: int, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         next_bin = TaskContext.get().partitionId() << 33
         pieces: list[tuple] = []
@@ -93,7 +93,7 @@ def _pack_partition(capacity: int):
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "at", "fill"],
             )
 
-        ids_of, step, end = word_ids().of_text, capacity * _ID_BYTES, END_ID.to_bytes(_ID_BYTES, "little")
+        ids_of, step, end = word_ids(remembered=remembered).of_text, capacity * _ID_BYTES, END_ID.to_bytes(_ID_BYTES, "little")
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = ids_of(text.as_py() or "") + end
@@ -151,11 +151,15 @@ def merge_underfull(bins: DataFrame, capacity: int = CAPACITY, node_bins: int =
 
 
 def pack(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, node_bins: int = NODE_BINS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, node_bins: int = NODE_BINS,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
-    """One row per piece: its document, place in the document, checksum of its ids, sequence and offset."""
+    """One row per piece: its document, place in the document, checksum of its ids, sequence and offset.
+
+    A worker's table of words holds at most ``remembered``; fewer take less memory and more time.
+    """
     picked = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text")
-    pieces = settle(picked.mapInArrow(_pack_partition(capacity), _PIECES), "pieces")
+    pieces = settle(picked.mapInArrow(_pack_partition(capacity, remembered), _PIECES), "pieces")
     under = F.col("fill") <= capacity - SLACK
     placed = merge_underfull(pieces.where(under & (F.col("at") == 0)).select("bin", "fill"), capacity, node_bins)
     moved = pieces.where(under).join(placed, "bin", "left")

@@ -168,10 +168,11 @@ def train(
     return fit(x[order], y[order])
 
 
-def _scores(machine: Machine, texts: list[str | None]) -> np.ndarray:
+def _scores(machine: Machine, texts: list[str | None] | pa.Array) -> np.ndarray:
     out = np.zeros(len(texts))
     for k in range(0, len(texts), CHUNK):
-        part = [np.concatenate(features(t or "")) for t in texts[k : k + CHUNK]]
+        some = texts[k : k + CHUNK]
+        part = [np.concatenate(features(t or "")) for t in (some.to_pylist() if isinstance(some, pa.Array) else some)]
         out[k : k + CHUNK] = machine.score(np.stack(part))
     return out
 
@@ -181,7 +182,7 @@ def classify(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = pa.array(_scores(machine, batch.column(2).to_pylist()), pa.float64())
+            scores = pa.array(_scores(machine, batch.column(2)), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scores], names=["doc_id", "held_out", "score"])
 
     picked = docs.select(
@@ -196,7 +197,7 @@ def accepted(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            texts = batch.column(batch.schema.get_field_index(text_col))
             yield batch.filter(pa.array(_scores(machine, texts) >= CUT))
 
     return docs.mapInArrow(run, docs.schema)

@@ -44,8 +44,9 @@ def _byte_letters() -> dict[int, str]:
 class WordIds(dict):
     """Maps a lower-case word (UTF-8 bytes) to its ids (little-endian unsigned 32 bits)."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, remembered: int = REMEMBERED):
         super().__init__()
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
@@ -54,7 +55,7 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         ids = self.spell(word)
         if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.remembered:
                 self.clear()
             self[word] = ids
         return ids
@@ -67,7 +68,7 @@ class WordIds(dict):
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            if len(self.parts) >= REMEMBERED:
+            if len(self.parts) >= self.remembered:
                 self.parts.clear()
             spelt = part.encode().decode("latin-1").translate(self.letters)
             ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
@@ -86,6 +87,6 @@ class WordIds(dict):
 
 
 @cache
-def word_ids(path: str | None = None) -> WordIds:
+def word_ids(path: str | None = None, remembered: int = REMEMBERED) -> WordIds:
     """The worker's own table."""
-    return WordIds(path)
+    return WordIds(path, remembered)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from tallyloom.llm import best_fit_packing, pii_anchors, quality_fm
 from tallyloom.llm.common import settle, table
+from tallyloom.llm.word_ids import WordIds
 from test_llm_operators import AWKWARD, SCHEMA, check_packing, deduped
 from test_near_copies import brute
 
@@ -53,3 +54,12 @@ def test_stages_on_awkward_rows(spark, sf_dir):
     assert sorted(near, key=str) == sorted([1, 2, None, 5, 6, 7, 8, 9], key=str)
     masked = {r["doc_id"]: r["text"] for r in corpus_pipeline.mask_personal(spark, docs, sf_dir).collect()}
     assert masked == {r[0]: None if r[1] is None else pii_anchors.redacted(r[1]) for r in AWKWARD}
+
+
+def test_packing_is_the_same_whatever_its_workers_remember(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").coalesce(1)
+    one, other = (sorted(map(tuple, best_fit_packing.pack(docs, **kept).select("doc_id", "piece", "ids_crc32", "length").collect())) for kept in ({}, {"remembered": 5}))
+    assert one == other and WordIds(remembered=5).remembered == 5
+    words = WordIds(remembered=5)
+    words.of_text("a b c d e f g h i j k")
+    assert len(words) <= 5 and len(words.parts) <= 5
