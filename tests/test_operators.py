@@ -200,3 +200,13 @@ def test_trees_and_blocks_equal_the_whole_fold(spark, monkeypatch, numbers, bloc
     columns = ["statement_id", "seq", "status", "level", "reason", "erp_seq", "erp_amount", "erp_invoice"]
     one, other = (sorted(map(tuple, f(lines, ledger).select(*columns).collect()), key=str) for f in (matching.match, matching.fold_all))
     assert one == other and {r[3] for r in one} == {1, 2, None}
+
+
+def test_a_line_goes_through_the_matcher_whole(spark):
+    """One decision for each line: those of one place are not multiplied by a join back, other columns stay, lines without a place find nothing."""
+    lines = [("S", "V", "2026-07", "A", None, _money("1.00"), 1, 7), ("S", "V", "2026-07", "A", None, _money("1.00"), 1, 8), (None, "V", "2026-08", "A", None, _money("1.00"), 2, 9), ("S", None, None, "A", None, None, 3, None)]
+    ledger = spark.createDataFrame([("V", "A", None, _money("1.00"), k) for k in (0, 1)], LEDGER)
+    found = matching.match(spark.createDataFrame(lines, LINES + ", more int"), ledger)
+    rows = {(r["more"], r["statement_period"], r["status"], r["level"]) for r in found.collect()}
+    assert found.count() == 4
+    assert rows == {(7, "2026-07", "MATCHED", 1), (8, "2026-07", "MATCHED", 1), (9, "2026-08", "EXCEPTION", None), (None, None, "EXCEPTION", None)}
