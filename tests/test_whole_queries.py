@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import extraction
+from tallyloom.operators import extraction, quality
 from tallyloom.plans import registry
+from tallyloom.plans.views import Views
 from tallyloom.sources.tables import read_table
 
 
@@ -41,3 +42,20 @@ def test_every_word_is_in_a_column_and_in_a_row(spark):
     for name in ("bucket_columns", "row_cluster"):
         words = registry.QUERIES[name](spark, path).agg(F.sum(F.size(F.split("text", " ")))).first()[0]
         assert words == n, name
+
+
+def _written(frame):
+    """Names of the written tables that ``frame`` reads, and its other files."""
+    folders = [path.split("/")[-2] for path in frame.inputFiles()]
+    tables = {f.removeprefix("tallyloom-").rsplit("-", 1)[0] for f in folders if f.startswith("tallyloom-")}
+    return tables, [f for f in folders if not f.startswith("tallyloom-")]
+
+
+def test_exceptions_and_their_events_read_what_was_raised_once(spark, sf_dir):
+    assert _written(Views(spark, sf_dir).exceptions) == ({"raised"}, [])
+
+
+def test_skipped_rows_are_those_of_the_routing(spark, sf_dir):
+    views = Views(spark, sf_dir)
+    one, other = quality.skipped(views.raw), views.routed.where("route = 'SKIPPED'").select(*quality.skipped(views.raw).columns)
+    assert sorted(map(str, one.collect())) == sorted(map(str, other.collect())) and not one.isEmpty()
