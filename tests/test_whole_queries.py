@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.operators import extraction, quality
-from tallyloom.plans import registry
+from tallyloom.plans import registry, report_queries
 from tallyloom.plans.views import Views
 from tallyloom.sources.tables import read_table
 
@@ -59,3 +59,8 @@ def test_skipped_rows_are_those_of_the_routing(spark, sf_dir):
     views = Views(spark, sf_dir)
     one, other = quality.skipped(views.raw), views.routed.where("route = 'SKIPPED'").select(*quality.skipped(views.raw).columns)
     assert sorted(map(str, one.collect())) == sorted(map(str, other.collect())) and not one.isEmpty()
+
+
+def test_open_lists_read_lines_of_their_reason_from_the_decisions(spark, sf_dir):
+    for name in ("open_exceptions", "open_exceptions_missing", "open_exceptions_mismatch"):
+        assert _written(report_queries.add.builds[name](Views(spark, sf_dir))) == ({"raised", "decisions"}, []), name
