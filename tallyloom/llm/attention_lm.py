@@ -1,11 +1,12 @@
 """Language-model scoring with a causal self-attention model trained in numpy.
 
-Passes over all documents, none of which keeps texts anywhere:
+Passes, of which the first alone spells texts:
 
-1. ``gather`` counts words and subword ids of every training document.
+1. ``gather`` spells every document, counts words and subword ids of those of
+   training, and settles the ids beside the texts.
 2. Training rounds: every training document belongs to one round, by the hash of
    its text; later rounds are larger. In a round, partitions start from the same
-   weights and run Adam once over the contiguous windows of their texts, so every
+   weights and run Adam once over the contiguous windows of their ids, so every
    id of every training document is a target exactly once. Weights and the
    optimiser's moments are then averaged in two levels, by number of windows.
 3. Scoring: each text becomes overlapping windows of ids; a window scores only
@@ -31,19 +32,21 @@ also of clashing names, are not read.
 from __future__ import annotations
 
 from array import array
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import cache
+from math import prod
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import settle, table
-from tallyloom.llm.word_ids import VOCABULARY_SIZE, WordIds, word_ids
+from tallyloom.llm.word_ids import VOCABULARY_SIZE, word_ids
 
 #: Rows whose crc32(id as text) leaves this remainder are held out.
 HELD_OUT = (7, 2)
@@ -51,8 +54,7 @@ START_ID, END_ID = 49_406, 49_407
 CONTEXT, SCORED = 4, 20
 WINDOW = CONTEXT + SCORED
 COMMON_WORDS = 500_000
-#: Distinct words that a task counts before it sends them on, and words that a scoring task remembers.
-COUNTED, COUNTED_WORDS = 300_000, 8_000_000
+#: Distinct words, and bytes of them, that a worker numbers before it begins again.
 TABLED, TABLED_BYTES = 600_000, 48_000_000
 CLASSES, WIDTH, HIDDEN, BUCKETS = 64, 16, 32, 2_048
 RATE, WARM, SLOWING, NODES, SEED = 0.01, 30, 500, 64, 11
@@ -64,10 +66,12 @@ ROUNDS = (1, 2, 5)
 HELD = 10_000
 #: Windows scored at a time.
 BLOCK = 192
+#: Texts read at a time.
+READ = 1_024
 
-_END_KEY = xxhash.xxh64_intdigest(b" end") - (1 << 63)
-_WORD, _ID = 0, 1
-_START, _END = START_ID.to_bytes(4, "little"), END_ID.to_bytes(4, "little")
+#: Stands for the end of a text; no word holds a space.
+_END_WORD = b" end"
+_WORD, _ID, _TEXT = 0, 1, 2
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -79,69 +83,128 @@ def _key(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
-def training_windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of a text of ids closed by the end id, as in scoring, and which of their places hold ids."""
-    n = -(-len(ids) // SCORED)
-    line = np.full(n * SCORED + CONTEXT + 1, END_ID, np.int32)
-    line[: CONTEXT + 1] = START_ID
-    line[CONTEXT + 1 : CONTEXT + 1 + len(ids)] = ids
-    known = np.arange(len(line)) < CONTEXT + 1 + len(ids)
-    every = slice(None, None, SCORED)
-    cut = np.lib.stride_tricks.sliding_window_view
-    return cut(line, WINDOW + 1)[every], cut(known, WINDOW + 1)[every]
+_END_KEY = _key(_END_WORD)
 
 
-def _ids_of(text: str, line: bytes, words: Iterable[bytes], speller: WordIds) -> bytes:
-    """Ids of a text: word by word as ``words`` are spelt, but whole where a mark of a special token may stand (``line``: lower case)."""
-    return speller.of_text(text) if b"<|" in line else b"".join(words)
+class Numbers(dict):
+    """Numbers words as a worker meets them, and holds their keys by number."""
+
+    def __init__(self):
+        super().__init__()
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.bytes, self.keys = 0, array("q")
+
+    def __missing__(self, word: bytes) -> int:
+        self.keys.append(_key(word))
+        self.bytes += len(word)
+        self[word] = number = len(self.keys) - 1
+        return number
+
+    def full(self) -> bool:
+        return len(self) >= TABLED or self.bytes >= TABLED_BYTES
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of all texts in turn, each closed by the end, and how many each text has."""
+        trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        words = pc.ascii_split_whitespace(trimmed)
+        sizes = pc.list_value_length(words).to_numpy().astype(np.int64)
+        encoded = words.flatten().dictionary_encode()
+        of_word = np.array([self[w] for w in encoded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()], np.int64)
+        closed = np.full(int(sizes.sum()) + len(sizes), self[_END_WORD], np.int64)
+        closed[np.arange(len(closed) - len(sizes)) + np.repeat(np.arange(len(sizes)), sizes)] = of_word[encoded.indices.to_numpy()]
+        blank = pc.equal(trimmed, "").to_numpy(zero_copy_only=False)  # taken as one empty word
+        if blank.any():
+            closed = np.delete(closed, (np.cumsum(sizes + 1) - 2)[blank])
+            sizes[blank] = 0
+        return closed, sizes + 1
+
+
+class Spelt(Numbers):
+    """Numbered words with their ids."""
+
+    def clear(self) -> None:
+        super().clear()
+        self.ids, self.ends, self.spell = array("H"), array("q", [0]), word_ids().spell
+
+    def __missing__(self, word: bytes) -> int:
+        number = super().__missing__(word)
+        self.ids.extend(memoryview(self.spell(word)).cast("I") if word and word != _END_WORD else [END_ID])
+        self.ends.append(len(self.ids))
+        return number
+
+    def ids_of(self, numbers: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lines of numbered words (none is empty) in turn, and where each line's ids end."""
+        ids, ends = np.frombuffer(self.ids, np.uint16), np.frombuffer(self.ends, np.int64)
+        first, n = ends[numbers], ends[numbers + 1]
+        n -= first
+        upto = np.cumsum(n)
+        first -= upto - n
+        at = np.repeat(first, n)
+        at += np.arange(len(at))
+        return ids[at], upto[np.cumsum(sizes) - 1]
+
+
+@cache
+def _spelt() -> Spelt:
+    """The worker's own table, until training begins."""
+    return Spelt()
+
+
+_COUNTED = {"kind": pa.int8(), "key": pa.int64(), "n": pa.int64()}
+_SPELT = {"doc_id": pa.int64(), "held_out": pa.bool_(), "part": pa.int8(), "text": pa.string(), "ids": pa.binary()}
+_GATHERED = "kind byte, key long, n long, doc_id long, held_out boolean, part byte, text string, ids binary"
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, key, n): word counts and id counts of the rows not held out."""
-    table_ = word_ids()
-    words: Counter = Counter()
-    marked: Counter = Counter()  # words of texts whose ids are not those of their words
-    id_counts = np.zeros(VOCABULARY_SIZE)
-
-    def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys), pa.array(n)]
-        return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "n"])
-
-    def counted() -> pa.RecordBatch:
-        nonlocal id_counts
-        spelt = [table_[w] for w in words]
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) // 4 for p in spelt])
-        id_counts += np.bincount(np.frombuffer(b"".join(spelt), "<u4"), weights=times, minlength=VOCABULARY_SIZE)
-        words.update(marked)
-        marked.clear()
-        keys = np.fromiter(map(_key, words), np.int64, len(words))
-        n = np.fromiter(words.values(), np.int64, len(words))
-        words.clear()
-        return rows(_WORD, keys, n)
-
-    ends = fresh = 0
+    """Rows (kind, key, n): word counts and id counts of the texts not held out.
+
+    Batches are texts alone, all of training, or (text, doc_id, held_out, part). The latter come back as rows of
+    kind ``_TEXT`` with their ids (little-endian unsigned 16 bits, closed by the end id) among the counts.
+    """
+    table_ = _spelt()
+    word_counts, id_counts, wide = np.zeros(0, np.int64), np.zeros(VOCABULARY_SIZE, np.int64), False
+
+    def rows(kind: int, length: int, **columns: pa.Array) -> pa.RecordBatch:
+        columns["kind"] = pa.array(np.full(length, kind, np.int8))
+        schema = pa.schema(_COUNTED | (_SPELT if wide else {}))
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(length, f.type) for f in schema], schema=schema)
+
+    def counted(kind: int, counts: np.ndarray, keys: np.ndarray | None = None) -> pa.RecordBatch:
+        seen = np.flatnonzero(counts)
+        return rows(kind, len(seen), key=pa.array(seen if keys is None else keys[seen]), n=pa.array(counts[seen]))
+
     for batch in batches:
-        for value in batch.column(0):
-            text = value.as_py() or ""
-            low = text.encode().lower()
-            line = low.split()
-            if b"<|" in low:
-                marked.update(line)
-                id_counts += np.bincount(np.frombuffer(table_.of_text(text), "<u4"), minlength=VOCABULARY_SIZE)
-            else:
-                words.update(line)
-            ends += 1
-            fresh += len(line)
-            if len(words) + len(marked) >= COUNTED or fresh >= COUNTED_WORDS:
-                yield counted()
-                fresh = 0
-    if words or marked:
-        yield counted()
-    if ends:
-        id_counts[END_ID] += ends
-        seen = np.flatnonzero(id_counts)
-        yield rows(_ID, seen, id_counts[seen].astype(np.int64))
-        yield rows(_WORD, np.array([_END_KEY]), np.array([ends]))
+        wide = batch.num_columns > 1
+        for k in range(0, batch.num_rows, READ):
+            part = batch.slice(k, READ)
+            if table_.full():
+                yield counted(_WORD, word_counts, np.array(table_.keys, np.int64)[: len(word_counts)])
+                word_counts = word_counts[:0]
+                table_.clear()
+            texts = part.column(0)
+            numbers, sizes = table_.of(texts)
+            ids, ends = table_.ids_of(numbers, sizes)
+            marked = np.flatnonzero(pc.match_substring(pc.fill_null(texts, ""), "<|"))
+            if len(marked):  # ids of texts where a mark of a special token may stand are not those of their words
+                each = np.split(ids, ends[:-1])
+                for j in marked:
+                    each[j] = np.append(np.frombuffer(word_ids().of_text(texts[j].as_py()), "<u4"), END_ID).astype(np.uint16)
+                ids, ends = np.concatenate(each), np.cumsum([len(e) for e in each])
+            taught = ~part.column(2).to_numpy(zero_copy_only=False) if wide else np.ones(len(texts), bool)
+            new = np.bincount(numbers[np.repeat(taught, sizes)], minlength=len(table_.keys))
+            new[: len(word_counts)] += word_counts
+            word_counts = new
+            id_counts += np.bincount(ids[np.repeat(taught, np.diff(ends, prepend=0))], minlength=VOCABULARY_SIZE)
+            if wide:
+                offsets = np.concatenate([[0], 2 * ends]).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u2"))])
+                yield rows(_TEXT, len(texts), text=texts, doc_id=part.column(1), held_out=part.column(2), part=part.column(3), ids=packed)
+    if len(word_counts):
+        yield counted(_WORD, word_counts, np.array(table_.keys, np.int64)[: len(word_counts)])
+        yield counted(_ID, id_counts)
 
 
 class Classes(NamedTuple):
@@ -174,18 +237,19 @@ _LARGEST = np.float32(60)
 _MASK = np.where(np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None], 0, -1e9).astype(np.float32)
 
 
+_SIZES = {name: prod(shape) for name, shape in _SHAPES.items()}
+
+
 def _views(flat: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for name, shape in _SHAPES.items():
-        size = int(np.prod(shape))
-        out[name] = flat[at : at + size].reshape(shape)
+    for name, size in _SIZES.items():
+        out[name] = flat[at : at + size].reshape(_SHAPES[name])
         at += size
     return out
 
 
 def initial_weights() -> np.ndarray:
-    size = sum(int(np.prod(s)) for s in _SHAPES.values())
-    flat = np.random.default_rng(SEED).normal(0, 0.15, size).astype(np.float32)
+    flat = np.random.default_rng(SEED).normal(0, 0.15, sum(_SIZES.values())).astype(np.float32)
     w = _views(flat)
     w["grown"][:], w["bias"][:] = 0, 0
     w["out"] *= 0.3
@@ -199,7 +263,7 @@ class Room:
         self.dtype, self.held = dtype, {}
 
     def __call__(self, name: str, *shape: int) -> np.ndarray:
-        n = int(np.prod(shape))
+        n = prod(shape)
         found = self.held.get(name)
         if found is None or len(found) < n:
             found = self.held[name] = np.empty(n, self.dtype)
@@ -211,31 +275,47 @@ class Room:
         return found
 
 
-def _forward(w: dict[str, np.ndarray], x: np.ndarray, room: Room) -> tuple[np.ndarray, ...]:
-    """The block over embedded windows ``x``; the last result holds the logits of every scored place."""
+class Folded(NamedTuple):
+    """Products of weights that stand next to each other: places meet by ``near``, their mixture goes through ``mixed``."""
+
+    near: np.ndarray
+    mixed: np.ndarray
+    lift: np.ndarray  # of the classes: exponents of their bias
+
+
+def _folded(w: dict[str, np.ndarray]) -> Folded:
+    key, value = w["key_value"][:, :WIDTH], w["key_value"][:, WIDTH:]
+    return Folded(w["query"] @ key.T * w["query"].dtype.type(WIDTH**-0.5), value @ w["mix"], np.exp(np.minimum(w["bias"], _LARGEST)))
+
+
+def _exp(x: np.ndarray) -> np.ndarray:
+    """Exponents in place of ``x``; to look for large ones costs less than to cut all."""
+    if x.max(initial=0) > _LARGEST:
+        np.minimum(x, _LARGEST, out=x)
+    return np.exp(x, out=x)
+
+
+def _forward(w: dict[str, np.ndarray], folded: Folded, x: np.ndarray, room: Room) -> tuple[np.ndarray, ...]:
+    """The block over embedded windows ``x``; the last result holds the logits of every scored place without their bias."""
     n, rows = len(x), len(x) * SCORED
     late = room("late", n, SCORED, WIDTH)
     late[:] = x[:, CONTEXT:]
     late = late.reshape(rows, WIDTH)
-    q = np.matmul(late, w["query"] * x.dtype.type(WIDTH**-0.5), out=room("q", rows, WIDTH)).reshape(n, SCORED, WIDTH)
-    kv = np.matmul(x.reshape(-1, WIDTH), w["key_value"], out=room("kv", n * WINDOW, 2 * WIDTH)).reshape(n, WINDOW, 2 * WIDTH)
-    k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
-    a = np.matmul(q, k.transpose(0, 2, 1), out=room("a", n, SCORED, WINDOW))
+    u = np.matmul(late, folded.near, out=room("u", rows, WIDTH)).reshape(n, SCORED, WIDTH)
+    a = np.matmul(u, x.transpose(0, 2, 1), out=room("a", n, SCORED, WINDOW))
     a += _MASK
-    np.exp(np.minimum(a, _LARGEST, out=a), out=a)
+    _exp(a)
     mass = (a.reshape(rows, WINDOW) @ room.ones(WINDOW))[:, None]
-    m = np.matmul(a, v, out=room("m", n, SCORED, WIDTH)).reshape(rows, WIDTH)
+    m = np.matmul(a, x, out=room("m", n, SCORED, WIDTH)).reshape(rows, WIDTH)
     m /= mass
-    h = np.matmul(m, w["mix"], out=room("h", rows, WIDTH))
+    h = np.matmul(m, folded.mixed, out=room("h", rows, WIDTH))
     h += late
     r = np.matmul(h, w["grow"], out=room("r", rows, HIDDEN))
     r += w["grown"]
-    np.maximum(r, 0, out=r)
-    f = np.matmul(r, w["shrink"], out=room("f", rows, WIDTH))
+    r += np.abs(r, out=room("sizes", rows, HIDDEN))  # twice the positive part
+    f = np.matmul(r, w["shrink"] * w["shrink"].dtype.type(0.5), out=room("f", rows, WIDTH))
     f += h
-    d = np.matmul(f, w["out"], out=room("d", rows, CLASSES))
-    d += w["bias"]
-    return late, q, k, v, a, mass, m, h, r, f, np.minimum(d, _LARGEST, out=d)
+    return late, u, a, mass, m, h, r, f, np.matmul(f, w["out"], out=room("d", rows, CLASSES))
 
 
 def _train_batch(flat: np.ndarray, ids: np.ndarray, valid: np.ndarray, classes: Classes, room: Room | None = None) -> tuple[np.ndarray, float]:
@@ -246,65 +326,71 @@ def _train_batch(flat: np.ndarray, ids: np.ndarray, valid: np.ndarray, classes:
     room = room or Room(flat.dtype)
     slope = room("slope", len(flat))
     w, g = _views(flat), _views(slope)
+    folded = _folded(w)
     n, rows = len(ids), len(ids) * SCORED
-    inputs, targets = ids[:, :-1], classes.of_id[ids[:, CONTEXT + 1 :]].ravel()
+    inputs, targets = ids[:, :-1], np.take(classes.of_id, ids[:, CONTEXT + 1 :]).ravel()
     counted = valid[:, CONTEXT + 1 :].ravel()
+    flat_ids = inputs.ravel()
+    # Ids by bucket: each distinct one is embedded once, and one row for it goes back to the tables.
+    order = np.argsort((flat_ids % BUCKETS * _LAYERS + flat_ids // BUCKETS).astype(np.uint16), kind="stable")
+    ordered = np.take(flat_ids, order)
+    fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    starts = np.flatnonzero(fresh)
+    ordered = ordered[starts]
+    bucket, kind = ordered % BUCKETS, np.take(classes.of_id, ordered)
     x, spare = room("x", n, WINDOW, WIDTH), room("spare", n, WINDOW, WIDTH)
-    np.take(w["bucket"], inputs % BUCKETS, 0, out=x, mode="clip")
-    x += np.take(w["kind"], classes.of_id[inputs], 0, out=spare, mode="clip")
+    number = np.empty(len(flat_ids), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    np.take(w["bucket"][bucket] + w["kind"][kind], number.reshape(n, WINDOW), 0, out=x, mode="clip")
     x += w["place"]
-    late, q, k, v, a, mass, m, h, r, f, d = _forward(w, x, room)
-    np.exp(d, out=d)
-    total, at, ones = d @ room.ones(CLASSES), np.arange(rows), room.ones(rows)
-    loss = -np.log(d[at, targets] / total) @ counted / counted.sum()
-    d[at, targets] -= total
-    share = (counted / (total * counted.sum())).astype(flat.dtype)[:, None]
-    # ``d`` times ``share`` is the slope of the logits; the share goes to the narrower factor.
-    np.matmul((f * share).T, d, out=g["out"])
-    np.matmul(share[:, 0], d, out=g["bias"])
-    df = np.matmul(d, w["out"].T, out=room("df", rows, WIDTH))
-    df *= share
+    late, u, a, mass, m, h, r, f, d = _forward(w, folded, x, room)
+    _exp(d)
+    # The bias lifts a class's exponents alike, so it goes to the narrower factors.
+    total, at, n_counted = d @ folded.lift, np.arange(rows) * CLASSES + targets, counted.sum()
+    lift, hits = np.take(folded.lift, targets), np.take(d, at)
+    loss = -np.log(hits * lift / total) @ counted / n_counted
+    d.reshape(-1)[at] = hits - total / lift
+    share = (counted / (total * n_counted)).astype(flat.dtype)
+    # ``d`` times ``share`` and the lift is the slope of the logits.
+    spread = np.multiply(f, share[:, None], out=spare.reshape(-1, WIDTH)[:rows])
+    np.multiply(np.matmul(d.T, spread, out=room("out", CLASSES, WIDTH)).T, folded.lift, out=g["out"])
+    np.multiply(np.matmul(share, d, out=g["bias"]), folded.lift, out=g["bias"])
+    df = np.matmul(d, w["out"].T * folded.lift[:, None], out=room("df", rows, WIDTH))
+    df *= share[:, None]
     dr = np.matmul(df, w["shrink"].T, out=room("dr", rows, HIDDEN))
     dr *= r > 0
     np.matmul(r.T, df, out=g["shrink"])
+    g["shrink"] *= flat.dtype.type(0.5)
     np.matmul(h.T, dr, out=g["grow"])
-    np.matmul(ones, dr, out=g["grown"])
+    np.matmul(room.ones(rows), dr, out=g["grown"])
     dh = np.matmul(dr, w["grow"].T, out=room("dh", rows, WIDTH))
     dh += df
-    np.matmul(m.T, dh, out=g["mix"])
-    dm = np.matmul(dh, w["mix"].T, out=room("dm", rows, WIDTH))
+    d_mixed = m.T @ dh
+    np.matmul(w["key_value"][:, WIDTH:].T, d_mixed, out=g["mix"])
+    np.matmul(d_mixed, w["mix"].T, out=g["key_value"][:, WIDTH:])
+    dm = np.matmul(dh, folded.mixed.T, out=room("dm", rows, WIDTH))
     dm /= mass
     inner = np.einsum("ij,ij->i", dm, m).reshape(n, SCORED, 1)
     dm = dm.reshape(n, SCORED, WIDTH)
-    ds = np.matmul(dm, v.transpose(0, 2, 1), out=room("ds", n, SCORED, WINDOW))
+    ds = np.matmul(dm, x.transpose(0, 2, 1), out=room("ds", n, SCORED, WINDOW))
     ds -= inner
     ds *= a
-    dkv = room("dkv", n, WINDOW, 2 * WIDTH)
-    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])
-    np.matmul(a.transpose(0, 2, 1), dm, out=dkv[:, :, WIDTH:])
-    dkv = dkv.reshape(-1, 2 * WIDTH)
-    dq = np.matmul(ds, k, out=room("dq", n, SCORED, WIDTH)).reshape(rows, WIDTH)
-    dq *= flat.dtype.type(WIDTH**-0.5)
-    np.matmul(late.T, dq, out=g["query"])
-    np.matmul(x.reshape(-1, WIDTH).T, dkv, out=g["key_value"])
-    dx = np.matmul(dkv, w["key_value"].T, out=room("dx", n * WINDOW, WIDTH)).reshape(n, WINDOW, WIDTH)
-    dh += np.matmul(dq, w["query"].T, out=room("spare", rows, WIDTH))
+    dx = np.matmul(ds.transpose(0, 2, 1), u, out=room("dx", n, WINDOW, WIDTH))
+    dx += np.matmul(a.transpose(0, 2, 1), dm, out=spare)
+    du = np.matmul(ds, x, out=room("du", n, SCORED, WIDTH)).reshape(rows, WIDTH)
+    d_near = late.T @ du * flat.dtype.type(WIDTH**-0.5)
+    np.matmul(d_near, w["key_value"][:, :WIDTH], out=g["query"])
+    np.matmul(d_near.T, w["query"], out=g["key_value"][:, :WIDTH])
+    dh += np.matmul(du, folded.near.T, out=spare.reshape(-1, WIDTH)[:rows])
     dx[:, CONTEXT:] += dh.reshape(n, SCORED, WIDTH)
     dx.sum(0, out=g["place"])
-    # Sums by id, then by bucket: one row for each distinct id goes to the tables.
-    flat_ids = inputs.ravel()
-    order = np.argsort((flat_ids % BUCKETS * _LAYERS + flat_ids // BUCKETS).astype(np.uint16), kind="stable")
-    ordered = flat_ids[order]
-    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    by_id = np.add.reduceat(np.take(dx.reshape(-1, WIDTH), order, 0, out=room("spare", n * WINDOW, WIDTH), mode="clip"), starts, axis=0)
-    ordered = ordered[starts]
-    bucket = ordered % BUCKETS
+    by_id = np.add.reduceat(np.take(dx.reshape(-1, WIDTH), order, 0, out=spare.reshape(-1, WIDTH), mode="clip"), starts, axis=0)
     heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     g["bucket"][:] = 0
     g["bucket"][bucket[heads]] = np.add.reduceat(by_id, heads, axis=0)
-    kinds = np.zeros((CLASSES, len(ordered)), flat.dtype)
-    kinds[classes.of_id[ordered], np.arange(len(ordered))] = 1
-    np.matmul(kinds, by_id, out=g["kind"])
+    kinds = np.zeros((len(ordered), CLASSES), flat.dtype)
+    kinds[np.arange(len(ordered)), kind] = 1
+    np.matmul(kinds.T, by_id, out=g["kind"])
     return slope, float(loss)
 
 
@@ -334,24 +420,59 @@ class Learner:
             self.weights -= np.multiply(np.divide(self.mean, spare, out=spare), np.float32(rate), out=spare)
 
 
+class Windows(NamedTuple):
+    """Windows over texts of ids: where each begins in ``line``, its text, and how many ids lie between that text's first and its own."""
+
+    line: np.ndarray
+    at: np.ndarray
+    text: np.ndarray
+    first: np.ndarray
+    lengths: np.ndarray
+
+    def ids(self, some: slice) -> np.ndarray:
+        """Rows of WINDOW + 1 ids, of which those behind the context are targets."""
+        return np.lib.stride_tricks.sliding_window_view(self.line, WINDOW + 1)[self.at[some]]
+
+    def left(self, some: slice) -> np.ndarray:
+        """Ids of the text from the first target on."""
+        return self.lengths[self.text[some]] - self.first[some]
+
+
+def windows_of(texts: list[np.ndarray]) -> Windows:
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    n_windows = -(-lengths // SCORED)
+    room = n_windows * SCORED + CONTEXT + 1
+    starts = np.cumsum(room) - room
+    line = np.full(int(room.sum()), END_ID, np.int32)
+    for start, ids in zip(starts.tolist(), texts, strict=True):
+        line[start : start + CONTEXT + 1] = START_ID
+        line[start + CONTEXT + 1 : start + CONTEXT + 1 + len(ids)] = ids
+    text = np.repeat(np.arange(len(lengths)), n_windows)
+    first = (np.arange(len(text)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)) * SCORED
+    return Windows(line, starts[text] + first, text, first, lengths)
+
+
+def _ids_of(column: pa.Array) -> list[np.ndarray]:
+    """Ids of each row of ``column``: packed ones as ``_gather`` settles them, or those of texts."""
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        return [np.append(np.frombuffer(word_ids().of_text(t or ""), "<u4"), END_ID) for t in column.to_pylist()]
+    return [np.frombuffer(p, "<u2") for p in column.to_pylist()]
+
+
 def _held(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The batch's training windows, about ``HELD`` at a time."""
-    table_, parts, n = word_ids(), [], 0
-    for value in batch.column(0):
-        text = value.as_py() or ""
-        line = text.encode().lower()
-        ids = np.frombuffer(_ids_of(text, line, map(table_.__getitem__, line.split()), table_) + _END, "<u4")
-        parts.append(training_windows(ids))
-        n += len(parts[-1][0])
-        if n >= HELD:
-            yield tuple(map(np.concatenate, zip(*parts, strict=True)))
-            parts, n = [], 0
-    if parts:
-        yield tuple(map(np.concatenate, zip(*parts, strict=True)))
+    """The batch's training windows, about ``HELD`` at a time, and which of their places hold ids."""
+    texts, k, n = _ids_of(batch.column(0)), 0, 0
+    for upto, ids in enumerate(texts, 1):
+        n += -(-len(ids) // SCORED)
+        if n >= HELD or upto == len(texts):
+            w, every = windows_of(texts[k:upto]), slice(None)
+            yield w.ids(every), np.arange(-CONTEXT - 1, SCORED) < w.left(every)[:, None]
+            k, n = upto, 0
 
 
 def _fit_partition(state: np.ndarray, steps: int, classes: Classes, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _spelt().clear()
         learner, seen = Learner(state, steps, classes, seed), 0
         for batch in batches:
             for windows, valid in _held(batch):
@@ -379,8 +500,9 @@ class Model(NamedTuple):
     classes: Classes
 
 
-def train(gathered: DataFrame, texts: DataFrame, rounds: int = len(ROUNDS)) -> Model:
+def train(gathered: DataFrame, rounds: int = len(ROUNDS)) -> Model:
     """Classes from all id counts; the state is averaged over partitions after every round."""
+    taught = gathered.where((F.col("kind") == _TEXT) & ~F.col("held_out"))
     counts = np.zeros(VOCABULARY_SIZE, np.int64)
     by_id = gathered.where(F.col("kind") == _ID).groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # of the vocabulary
     counts[by_id.column("key").to_numpy()] = by_id.column("n").to_numpy()
@@ -388,9 +510,8 @@ def train(gathered: DataFrame, texts: DataFrame, rounds: int = len(ROUNDS)) -> M
     closes = np.array([(name_of(k) or "").endswith("</w>") for k in range(VOCABULARY_SIZE)])
     classes, weights = frequency_classes(counts, closes), initial_weights()
     state, steps, done = np.stack([weights, np.zeros_like(weights), np.zeros_like(weights)]), 0, 0
-    part = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(sum(ROUNDS)))
     for turn, parts in enumerate(ROUNDS[:rounds]):
-        share = texts.where((part >= done) & (part < done + parts)).select("text")
+        share = taught.where((F.col("part") >= done) & (F.col("part") < done + parts)).select("ids")
         done += parts
         fitted = share.mapInArrow(_fit_partition(state, steps, classes, SEED + turn), "node long, n long, steps long, state binary")
         nodes = fitted.groupBy("node").applyInArrow(_average, "n long, steps long, state binary").toArrow()  # at most NODES rows
@@ -406,6 +527,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.w = w = _views(model.weights)
+        self.folded = _folded(w)
         self.of_id, self.share = model.classes.of_id.astype(np.int32), model.classes.share
         every = np.arange(len(model.classes.of_id))
         self.embedded = w["bucket"][every % BUCKETS] + w["kind"][model.classes.of_id]
@@ -416,106 +538,78 @@ class Scorer:
         n = len(ids)
         x = np.take(self.embedded, ids[:, :-1], axis=0, out=self.room("x", n, WINDOW, WIDTH), mode="clip")
         x += self.w["place"]
-        logits = _forward(self.w, x, self.room)[-1]
-        chosen = logits[np.arange(n * SCORED), self.of_id[ids[:, CONTEXT + 1 :]].ravel()]
-        np.exp(logits, out=logits)
-        chosen -= np.log(logits @ self.room.ones(CLASSES))
+        logits = _forward(self.w, self.folded, x, self.room)[-1]
+        targets = np.take(self.of_id, ids[:, CONTEXT + 1 :]).ravel()
+        chosen = np.take(logits, np.arange(n * SCORED) * CLASSES + targets) + np.take(self.w["bias"], targets)
+        chosen -= np.log(_exp(logits) @ self.folded.lift)
         return chosen.reshape(n, SCORED) / np.log(10)
 
     def log10(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each text of ids, which is closed by the end id."""
-        lengths = np.array([len(t) for t in texts])
-        n_windows = -(-lengths // SCORED)
-        room = n_windows * SCORED + CONTEXT + 1
-        starts = np.cumsum(room) - room
-        line = np.full(int(room.sum()), END_ID, np.int32)
-        for start, ids in zip(starts.tolist(), texts, strict=True):
-            line[start : start + CONTEXT + 1] = START_ID
-            line[start + CONTEXT + 1 : start + CONTEXT + 1 + len(ids)] = ids
-        text = np.repeat(np.arange(len(lengths)), n_windows)
-        first = (np.arange(len(text)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)) * SCORED
-        windows = np.lib.stride_tricks.sliding_window_view(line, WINDOW + 1)
-        value = np.zeros(len(text))
-        for k in range(0, len(text), BLOCK):
-            of, begin = text[k : k + BLOCK], first[k : k + BLOCK]
-            ids = windows[starts[of] + begin]
-            each = self.class_logs(ids) + self.share[ids[:, CONTEXT + 1 :]]
-            each[np.arange(SCORED)[None, :] >= (lengths[of] - begin)[:, None]] = 0
-            value[k : k + BLOCK] = each.sum(1)
-        return np.bincount(text, weights=value, minlength=len(lengths))
-
-
-class _WordTable(dict):
-    """Numbers words as a task meets them; by number: ids, key, and log10(count + 1) or NaN for a rare word."""
-
-    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        w = windows_of(texts)
+        value = np.zeros(len(w.at))
+        for k in range(0, len(value), BLOCK):
+            some = slice(k, k + BLOCK)
+            ids = w.ids(some)
+            each = self.class_logs(ids) + np.take(self.share, ids[:, CONTEXT + 1 :])
+            each[np.arange(SCORED) >= w.left(some)[:, None]] = 0
+            value[some] = each.sum(1)
+        return np.bincount(w.text, weights=value, minlength=len(texts))
+
+
+class Logged(Numbers):
+    """Numbered words with log10(count + 1), or NaN for a rare word."""
+
+    def __init__(self, common: np.ndarray, common_logs: np.ndarray):
         super().__init__()
-        self.bytes = 0
-        self.common, self.common_logs, self.speller = keys, logs, word_ids()
-        self.trim(0)
+        self.common, self.common_logs = common, common_logs
 
-    def __missing__(self, word: bytes) -> int:
-        self.keys.append(_key(word))
-        self.bytes += len(word)
-        self.spelt.append(self.speller.spell(word))
-        self[word] = number = len(self.spelt) - 1
-        return number
+    def clear(self) -> None:
+        super().clear()
+        self.logs = array("d")
 
     def columns(self) -> tuple[np.ndarray, np.ndarray]:
         """Keys and logs of all numbers; the words met since the last call are looked up together."""
         keys, k = np.array(self.keys, np.int64), len(self.logs)
         if k < len(keys):
-            at = np.minimum(np.searchsorted(self.common, keys[k:]), max(0, len(self.common) - 1))
-            found = np.full(len(at), np.nan)
+            found = np.full(len(keys) - k, np.nan)
             if len(self.common):
+                at = np.minimum(np.searchsorted(self.common, keys[k:]), len(self.common) - 1)
                 hit = self.common[at] == keys[k:]
                 found[hit] = self.common_logs[at[hit]]
             self.logs.frombytes(found.tobytes())
         return keys, np.array(self.logs)
 
-    def trim(self, most: int = TABLED) -> None:
-        if len(self) >= most or self.bytes >= TABLED_BYTES:
-            self.clear()
-            self.bytes = 0
-            self.spelt, self.keys, self.logs = [], array("q"), array("d")
+
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values.astype(np.int64)))
 
 
-def _score(model: Model, keys: np.ndarray, logs: np.ndarray, end_log: float):
+def _score(model: Model, keys: np.ndarray, logs: np.ndarray):
     """Rows with the model's score, the base parts of common words, and the rare words' keys and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_ids().clear()
-        table_, scorer = _WordTable(keys, logs), Scorer(model)
+        _spelt().clear()
+        table_, scorer = Logged(keys, logs), Scorer(model)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                n, known, base, rare_keys, rare_counts, packed = [], [], [], [], [], []
-                table_.trim()
-                lines = []
-                for value in part.column(2):
-                    text = value.as_py() or ""
-                    line = text.encode().lower()
-                    numbers = list(map(table_.__getitem__, line.split()))
-                    packed.append(_ids_of(text, line, map(table_.spelt.__getitem__, numbers), table_.speller) + _END)
-                    lines.append(np.array(numbers, np.int64))
+            for k in range(0, batch.num_rows, READ):
+                part = batch.slice(k, READ)
+                if table_.full():
+                    table_.clear()
+                numbers, sizes = table_.of(part.column(2))
                 word_keys, word_logs = table_.columns()
-                for at in lines:
-                    found = word_logs[at]
-                    lacks = np.isnan(found)
-                    rare, times = np.unique(at[lacks], return_counts=True)
-                    n.append(len(at) + 1)
-                    known.append(len(at) - int(lacks.sum()) + 1)
-                    base.append(float(found[~lacks].sum()) + end_log)
-                    rare_keys.append(word_keys[rare])
-                    rare_counts.append(times)
-                scores = scorer.log10([np.frombuffer(p, "<u4") for p in packed])
+                found, starts = word_logs[numbers], np.cumsum(sizes) - sizes
+                lacks = np.isnan(found)
+                found[lacks] = 0
+                rare, times = np.unique(np.repeat(np.arange(len(sizes)), sizes)[lacks] << 32 | numbers[lacks], return_counts=True)
+                ends = np.searchsorted(rare, np.arange(1, len(sizes) + 1) << 32)
                 rows = np.arange(row, row + part.num_rows)
                 row += part.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows), part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                     pa.array(base, pa.float64()), pa.array(scores), pa.array(rare_keys, pa.list_(pa.int64())),
-                     pa.array(rare_counts, pa.list_(pa.int64()))],
+                    [pa.array(rows), part.column(0), part.column(1), pa.array(sizes), pa.array(sizes - np.add.reduceat(lacks.astype(np.int64), starts)),
+                     pa.array(np.add.reduceat(found, starts)), pa.array(scorer.log10(_ids_of(part.column(3)))),
+                     _lists(word_keys[rare & 0xFFFFFFFF], ends), _lists(times, ends)],
                     names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"],
                 )
 
@@ -530,11 +624,11 @@ _SCORED = (
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = len(ROUNDS)) -> DataFrame:
     """Base and model scores of every document, learnt from those not held out."""
+    part = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(sum(ROUNDS))).cast("byte").alias("part")
     picked = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text")
-    )
-    taught = picked.where(~F.col("held_out")).select("text")
-    gathered = settle(taught.mapInArrow(_gather, "kind byte, key long, n long"), "gathered")
+        F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out")
+    ).select("text", "doc_id", "held_out", part)
+    gathered = settle(picked.mapInArrow(_gather, _GATHERED), "gathered", codec="zstd")
     counts = settle(gathered.where(F.col("kind") == _WORD).groupBy("key").agg(F.sum("n").alias("c")), "counts")
     bits = counts.groupBy(F.length(F.bin("c")).alias("bits")).agg(F.count("*").alias("n"), F.sum("c").alias("total"))
     by_bits = sorted(bits.collect(), reverse=True)  # at most 63 rows
@@ -547,11 +641,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     table_ = counts.where(F.col("c") >= least).toArrow()  # at most COMMON_WORDS rows
     keys, values = table_.column("key").to_numpy(), table_.column("c").to_numpy()
     order = np.argsort(keys)
-    ends = [int(r["c"]) for r in counts.where(F.col("key") == _END_KEY).collect()]
-    logs = np.log10(values[order] + 1.0)
-    model = train(gathered, taught, rounds)
-    run = _score(model, keys[order], logs, float(np.log10(sum(ends) + 1.0)))
-    scored = settle(picked.mapInArrow(run, _SCORED), "scored")
+    run = _score(train(gathered, rounds), keys[order], np.log10(values[order] + 1.0))
+    texts = gathered.where(F.col("kind") == _TEXT).select("doc_id", "held_out", "text", "ids")
+    scored = settle(texts.mapInArrow(run, _SCORED), "scored")
 
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select(
         "row", F.col("w.rare").alias("key"), F.col("w.times").alias("times")
@@ -562,7 +654,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     each = float(np.log10(total + distinct + 1.0))
     return scored.join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
-        (F.col("known") - (0 if ends else 1) + F.coalesce("more", F.lit(0))).alias("n_known"),
+        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"),
         "score",

@@ -63,6 +63,11 @@ class WordIds(dict):
     def spell(self, word: bytes) -> bytes:
         """Ids of a lower-case word, not remembered."""
         text = word.decode()
+        if text.isascii():  # most words are letters, or letters and one mark
+            if text.isalpha():
+                return self._part(text.lower())
+            if text[:-1].isalpha() and text[-1] in ".,;:!?":
+                return self._part(text[:-1].lower()) + self._part(text[-1])
         return b"".join(map(self._part, _PARTS.findall(text.lower()))) if _PLAIN.fullmatch(text) else self._whole(text)
 
     def _part(self, part: str) -> bytes:
@@ -70,7 +75,7 @@ class WordIds(dict):
         if ids is None:
             if len(self.parts) >= self.remembered:
                 self.parts.clear()
-            spelt = part.encode().decode("latin-1").translate(self.letters)
+            spelt = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
             ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
             if len(part) <= LONGEST:
                 self.parts[part] = ids
