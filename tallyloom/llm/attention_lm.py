@@ -66,8 +66,8 @@ ROUNDS = (1, 2, 5)
 HELD = 10_000
 #: Windows scored at a time.
 BLOCK = 192
-#: Texts read at a time.
-READ = 1_024
+#: Texts read at a time, and bytes of them if they are more than one.
+READ, READ_BYTES = 1_024, 8_000_000
 
 #: Stands for the end of a text; no word holds a space.
 _END_WORD = b" end"
@@ -153,6 +153,16 @@ def _spelt() -> Spelt:
     return Spelt()
 
 
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose ``column`` holds texts; long texts come a few at a time."""
+    upto, k = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64), 0
+    while k < len(upto):
+        most = READ_BYTES + (upto[k - 1] if k else 0)
+        n = min(READ, max(1, int(np.searchsorted(upto, most, "right")) - k))
+        yield batch.slice(k, n)
+        k += n
+
+
 _COUNTED = {"kind": pa.int8(), "key": pa.int64(), "n": pa.int64()}
 _SPELT = {"doc_id": pa.int64(), "held_out": pa.bool_(), "part": pa.int8(), "text": pa.string(), "ids": pa.binary()}
 _GATHERED = "kind byte, key long, n long, doc_id long, held_out boolean, part byte, text string, ids binary"
@@ -178,8 +188,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         wide = batch.num_columns > 1
-        for k in range(0, batch.num_rows, READ):
-            part = batch.slice(k, READ)
+        for part in _parts(batch, 0):
             if table_.full():
                 yield counted(_WORD, word_counts, np.array(table_.keys, np.int64)[: len(word_counts)])
                 word_counts = word_counts[:0]
@@ -593,8 +602,7 @@ def _score(model: Model, keys: np.ndarray, logs: np.ndarray):
         table_, scorer = Logged(keys, logs), Scorer(model)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for k in range(0, batch.num_rows, READ):
-                part = batch.slice(k, READ)
+            for part in _parts(batch, 2):
                 if table_.full():
                     table_.clear()
                 numbers, sizes = table_.of(part.column(2))

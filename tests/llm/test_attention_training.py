@@ -91,3 +91,13 @@ def test_block_equals_a_plain_version():
     assert np.allclose(lm.Scorer(lm.Model(flat, classes)).class_logs(ids), want, rtol=1e-9)
     loss = lm._train_batch(flat, ids, np.ones(ids.shape, bool), classes)[1]
     assert np.isclose(loss, -want.mean() * np.log(10), rtol=1e-9)
+
+
+def test_long_texts_are_read_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(lm, "READ", 3)
+    monkeypatch.setattr(lm, "READ_BYTES", 10)
+    texts = ["a" * n for n in (4, 4, 4, 30, 0, 0, 0, 0, 9, 1)] + [None]
+    parts = [p.column(0).to_pylist() for p in lm._parts(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]).slice(0), 0)]
+    assert sum(parts, []) == texts
+    assert [len(p) for p in parts] == [2, 1, 1, 3, 3, 1]
+    assert list(lm._parts(pa.RecordBatch.from_arrays([pa.array([], pa.string())], names=["text"]), 0)) == []
