@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from tallyloom.operators import extraction, quality
 from tallyloom.plans import registry, report_queries
 from tallyloom.plans.views import Views
+from tallyloom.sources import fixtures
 from tallyloom.sources.tables import read_table
 
 
@@ -64,3 +67,15 @@ def test_skipped_rows_are_those_of_the_routing(spark, sf_dir):
 def test_open_lists_read_lines_of_their_reason_from_the_decisions(spark, sf_dir):
     for name in ("open_exceptions", "open_exceptions_missing", "open_exceptions_mismatch"):
         assert _written(report_queries.add.builds[name](Views(spark, sf_dir))) == ({"raised", "decisions"}, []), name
+
+
+def test_all_runs_count_what_is_open_now(spark, sf_dir):
+    views = Views(spark, sf_dir)
+    written = {r["statement_id"]: r["exception_count"] for r in views.all_summaries.collect()}
+    unusable = fixtures.base(spark, sf_dir).where("okey % 30 in (0, 1)").selectExpr("statement_id", "okey * 2 as seq")  # no number, no amount
+    raised = views.decisions.where("status = 'EXCEPTION'").select("statement_id", "seq").unionAll(unusable)
+    still_open = Counter(r["statement_id"] for r in raised.collect() if r["seq"] % 7)
+    want = {k: (still_open[k], "EXCEPTIONS_PRESENT" if still_open[k] else "RECONCILED") for k in written}
+    found = report_queries.add.builds["all_runs"](views).collect()
+    assert len(found) == len(want) and {r["statement_id"]: (r["exception_count"], r["overall_status"]) for r in found} == want
+    assert any(still_open[k] > n for k, n in written.items()) and any(still_open[k] < n for k, n in written.items())
